@@ -131,6 +131,18 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * down[start] + U(0xD6E8FEB86659FD93) * (end - start).astype(U))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def fold(raw: np.ndarray) -> np.ndarray:
+    """A copy with A-Z and the Latin-1 capitals (UTF-8 lead byte C3) in lower case; lengths don't change."""
+    out = _LOWER[raw]
+    upper = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
+    out[upper] += 0x20
+    return out
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 

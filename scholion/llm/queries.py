@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholion.llm import common as c
+from scholion.llm import language as _language
 from scholion.llm import toxicity as _toxicity
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.language_id(c.table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _toxicity.toxicity(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language": op7_language,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scholion.llm import common as c
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 40_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1400, 16_000
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7)
 SCORE_LIMIT = 0.7
@@ -51,9 +51,7 @@ def tokenize(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
     if len(raw) == 0:
         none = np.zeros(0, np.int64)
         return Tokens(none, none, np.zeros(len(offsets), np.int64), np.zeros(1, np.int64), np.zeros((len(PREFIXES) + 1, 0), np.uint64))
-    raw = raw.copy()
-    upper = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)) + 1  # Latin-1 capitals
-    raw[upper] += 0x20
+    raw = c.fold(raw)
     solid = _TOKEN[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
@@ -64,7 +62,7 @@ def tokenize(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
     stops[:-1] += np.cumsum(edge[:-1], dtype=np.int32)
     part = stops[start]
     seq = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(start)] if len(start) else np.zeros(1, np.int64)
-    prefix = c.prefix_hash(raw, c.FOLDED_CODE)
+    prefix = c.prefix_hash(raw)
     keys = np.empty((len(PREFIXES) + 1, len(start)), np.uint64)
     keys[0] = c.span_hash(prefix, start, end) ^ np.uint64(0x5851F42D4C957F2D)
     for k, n in enumerate(PREFIXES, 1):
@@ -154,16 +152,17 @@ def token_labels(tokens: Tokens, toxic: np.ndarray, least: float = 20.0, open_le
     for k in rows:
         keys, inverse = np.unique(tokens.keys[k], return_inverse=True)
         seen = np.unique(inverse.astype(np.int64) * n + doc)
-        words.append(seen // n + base)
-        of.append(seen % n)
-        inverses[k] = inverse + base
+        words.append((seen // n + base).astype(np.int32))
+        of.append((seen % n).astype(np.int32))
+        inverses[k] = (inverse + base).astype(np.int32)
         base += len(keys)
+        del keys, inverse, seen
     words, of = np.concatenate(words), np.concatenate(of)
     clean = np.bincount(words[~toxic[of]], minlength=base)
     words, of = words[toxic[of]], of[toxic[of]]
 
     def ratio(words, of):
-        a = np.min([np.bincount(np.unique(words * n + g[of]) // n, minlength=base) for g in groups], axis=0).astype(float)
+        a = np.min([np.bincount(np.unique(words.astype(np.int64) * n + g[of]) // n, minlength=base) for g in groups], axis=0).astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
             out = 2 * (a * np.log(a / ((a + clean) * share)) + np.where(clean > 0, clean * np.log(clean / ((a + clean) * (1 - share))), 0))
             pure = (a / n1) / (a / n1 + clean / n0)
@@ -200,7 +199,7 @@ def train_field(tokens: Tokens, label: np.ndarray, epochs: int = 6, batch: int =
     random = np.random.default_rng(7)
     cold = cold[random.permutation(len(cold))[: 3 * hot.sum() + 2000]]
     chosen = np.r_[np.flatnonzero(hot), cold]
-    columns = (tokens.keys % np.uint64(BUCKETS)).astype(np.int64)
+    columns = (tokens.keys % np.uint64(BUCKETS)).astype(np.int32)
     weights, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
     rest, rest_squares = np.array([-2.0, 0, 0, 0, 0]), np.full(5, 1e-2)  # bias, step
     for _ in range(epochs):

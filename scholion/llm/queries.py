@@ -7,22 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholion.llm import common as c
+from scholion.llm import fingerprint as _fingerprint
 from scholion.llm import language as _language
+from scholion.llm import mixing as _mixing
+from scholion.llm import pieces as _pieces
+from scholion.llm import resampling as _resampling
 from scholion.llm import toxicity as _toxicity
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fingerprint.edited_pairs(c.table(spark, sf_dir, "documents"))
+
+
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resampling.resample(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces.encode(c.table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.language_id(c.table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.replicate(c.table(spark, sf_dir, "documents")).drop("shuffle_key")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _toxicity.toxicity(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprint": op2_fingerprint,
+    "op3_resampling": op3_resampling,
+    "op4_pieces": op4_pieces,
     "op7_language": op7_language,
+    "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": _mixing.ORACLE,
+}

@@ -10,6 +10,7 @@ from scholion.llm import common as c
 from scholion.llm import fingerprint as _fingerprint
 from scholion.llm import language as _language
 from scholion.llm import mixing as _mixing
+from scholion.llm import pages as _pages
 from scholion.llm import pieces as _pieces
 from scholion.llm import resampling as _resampling
 from scholion.llm import toxicity as _toxicity
@@ -31,6 +32,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.language_id(c.table(spark, sf_dir, "documents"))
 
 
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages.extract(c.table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.replicate(c.table(spark, sf_dir, "documents")).drop("shuffle_key")
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_resampling": op3_resampling,
     "op4_pieces": op4_pieces,
     "op7_language": op7_language,
+    "op8_pages": op8_pages,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }

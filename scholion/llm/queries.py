@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholion.llm import common as c
 from scholion.llm import fingerprint as _fingerprint
+from scholion.llm import jaccard as _jaccard
 from scholion.llm import language as _language
 from scholion.llm import mixing as _mixing
 from scholion.llm import pages as _pages
@@ -28,6 +29,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces.encode(c.table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.jaccard_groups(c.table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.language_id(c.table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprint": op2_fingerprint,
     "op3_resampling": op3_resampling,
     "op4_pieces": op4_pieces,
+    "op5_jaccard": op5_jaccard,
     "op7_language": op7_language,
     "op8_pages": op8_pages,
     "op9_mixing": op9_mixing,

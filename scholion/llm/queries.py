@@ -14,6 +14,7 @@ from scholion.llm import mixing as _mixing
 from scholion.llm import pages as _pages
 from scholion.llm import pieces as _pieces
 from scholion.llm import resampling as _resampling
+from scholion.llm import suffix as _suffix
 from scholion.llm import toxicity as _toxicity
 
 
@@ -33,6 +34,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_groups(c.table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.repeats(c.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.language_id(c.table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_resampling": op3_resampling,
     "op4_pieces": op4_pieces,
     "op5_jaccard": op5_jaccard,
+    "op6_suffix": op6_suffix,
     "op7_language": op7_language,
     "op8_pages": op8_pages,
     "op9_mixing": op9_mixing,

@@ -11,6 +11,7 @@ from scholion.llm import fingerprint as _fingerprint
 from scholion.llm import jaccard as _jaccard
 from scholion.llm import language as _language
 from scholion.llm import mixing as _mixing
+from scholion.llm import neighbours as _neighbours
 from scholion.llm import pages as _pages
 from scholion.llm import pieces as _pieces
 from scholion.llm import resampling as _resampling
@@ -18,6 +19,10 @@ from scholion.llm import suffix as _suffix
 from scholion.llm import toxicity as _toxicity
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours.near_duplicates(c.table(spark, sf_dir, "embeddings"))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fingerprint.edited_pairs(c.table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_fingerprint": op2_fingerprint,
     "op3_resampling": op3_resampling,
     "op4_pieces": op4_pieces,

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +26,18 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _SHIPPED.add(application)
     return spark
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Take the cluster's shared folder; make one only where the setting is absent (tests)."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scholion-checkpoint-"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives the loss of any executor."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

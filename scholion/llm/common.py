@@ -7,12 +7,14 @@ Kernels run inside ``mapInArrow`` on byte-bounded chunks, so a task's memory fol
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scholion.operators.graph import connected_components  # noqa: F401
+from scholion.session import cut_lineage  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 U = np.uint64
 
@@ -21,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the cluster's shared folder; make one only where the setting is absent (tests)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scholion-checkpoint-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -191,7 +178,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     return out
 
 
-# ---------------------------------------------------------------- components
+# ---------------------------------------------------------------- groups
 
 
 class Forest:
@@ -219,31 +206,6 @@ class Forest:
         return True
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(vertex, component) for every vertex of ``links``; component is its smallest reachable vertex.
-
-    Min-label propagation with pointer jumping on DataFrames: every round takes the smallest label among
-    the neighbours, then the label of one's label, so rounds grow with the logarithm of a chain. Each round
-    is cut by a reliable checkpoint. Hub vertices only meet partial minima and joins that AQE may split.
-    """
-    both = links.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v is not null and w is not null and v <> w")
-    both = cut_lineage(both.unionByName(both.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
-    labels = cut_lineage(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        after = cut_lineage(
-            labels.join(near, "v", "left")
-            .join(jump, "label", "left")
-            .select("v", F.least("label", "near", "far").alias("label"), (F.least("label", "near", "far") < F.col("label")).alias("moved"))
-        )
-        moved = after.where("moved").limit(1).count()
-        labels = after.select("v", "label")
-        if not moved:
-            return labels.select(F.col("v").alias("vertex"), F.col("label").alias("component"))
-    raise RuntimeError(f"labels still moved after {max_rounds} rounds")
-
-
 def held_out(id_column: str = "doc_id"):
     """True where crc32 of the id as text leaves 1 modulo 3; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))

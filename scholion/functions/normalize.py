@@ -11,7 +11,8 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+
+from scholion.functions.arrow import arrow_udf
 
 #: Words that stand for a missing identifier.
 EMPTY_WORDS = ["", "none", "null", "nan", "n/a", "undefined"]
@@ -75,7 +76,7 @@ def title(x) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(F.coalesce(_col(x), F.lit(""))), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def exact_title(texts: pd.Series) -> pd.Series:
     def one(text):
         folded = unicodedata.normalize("NFKC", text or "").casefold()

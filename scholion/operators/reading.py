@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
-from pyspark.sql.functions import pandas_udf
+
+from scholion.functions.arrow import arrow_udf
 
 CHUNK, PACK = 4000, 24_000
 
@@ -42,7 +43,7 @@ def cut_points(text: str, size: int = CHUNK) -> list[int]:
     return ends
 
 
-@pandas_udf("array<int>")
+@arrow_udf("array<int>")
 def _cut_points(texts: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([np.array(cut_points(t or "", s), np.int32) for t, s in zip(texts, sizes)])
 

@@ -65,7 +65,7 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ATTEMPTS = (
-    "attempts AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS record_id, user_id AS host, ts AS at, CASE event_type "
+    "attempts AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS record_id, user_id AS host, ts AS tried, CASE event_type "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _OUTCOME.items())
     + " ELSE event_type END AS outcome FROM events)"
 )
@@ -334,7 +334,7 @@ def failing_hosts(spark, d):
 
 
 @query(
-    f"""WITH {_ATTEMPTS} SELECT CAST(CAST(at AS DATE) AS VARCHAR) AS run, count(*) AS attempts, count(*) FILTER (outcome = 'downloaded') AS downloaded
+    f"""WITH {_ATTEMPTS} SELECT CAST(CAST(tried AS DATE) AS VARCHAR) AS run, count(*) AS attempts, count(*) FILTER (outcome = 'downloaded') AS downloaded
 FROM attempts GROUP BY ROLLUP (run)"""
 )
 def merge_runs(spark, d):
@@ -482,7 +482,7 @@ def element_cells(spark, d):
 
 @query(
     f"""WITH {_WORKS}, w AS (SELECT doc_id, title_key, string_split({_NT.format("abstract")}, ' ') AS words FROM works WHERE title_key IS NOT NULL AND n_chars <= 3000),
-g AS (SELECT doc_id, title_key, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), i -> list_aggregate(words[i:i + 4], 'string_agg', ' '))) ELSE [] END AS s FROM w),
+g AS (SELECT doc_id, title_key, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' '))) ELSE [] END AS s FROM w),
 first AS (SELECT title_key, min(doc_id) AS head FROM g GROUP BY title_key)
 SELECT f.head, b.doc_id, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) END, 6) AS dice
 FROM first f JOIN g a ON a.doc_id = f.head JOIN g b ON b.title_key = f.title_key WHERE b.doc_id <> f.head"""
@@ -494,7 +494,7 @@ def shingle_pairs(spark, d):
 
 
 @query(
-    f"""WITH {_WORKS}, t AS (SELECT doc_id, nt, list_distinct(list_filter(string_split(nt, ' '), x -> NOT list_contains({families.STOP_LIST_SQL}, x))) AS words,
+    f"""WITH {_WORKS}, t AS (SELECT doc_id, nt, list_distinct(list_filter(string_split(nt, ' '), lambda x: NOT list_contains({families.STOP_LIST_SQL}, x))) AS words,
   list_aggregate(string_split(nt, ' ')[1:3], 'string_agg', ' ') AS block FROM works WHERE title_key IS NOT NULL),
 h AS (SELECT block, min(doc_id) AS head FROM t GROUP BY block)
 SELECT h.head, b.doc_id, len(list_intersect(a.words, b.words)) AS shared_tokens,
@@ -550,8 +550,8 @@ def cohort_fingerprint(spark, d):
 
 
 @query(
-    """SELECT DISTINCT l_suppkey AS seed, 'references' AS direction, l_partkey AS neighbour FROM lineitem WHERE l_suppkey <= 3
-UNION SELECT DISTINCT l_partkey, 'cited_by', l_suppkey FROM lineitem WHERE l_partkey <= 3"""
+    """SELECT DISTINCT l_suppkey AS seed, 'references' AS direction, l_partkey AS neighbour FROM lineitem WHERE l_suppkey BETWEEN 1 AND 3
+UNION SELECT DISTINCT l_partkey, 'cited_by', l_suppkey FROM lineitem WHERE l_partkey BETWEEN 1 AND 3"""
 )
 def citation_one_hop(spark, d):
     edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))

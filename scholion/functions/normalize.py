@@ -40,11 +40,9 @@ def doi(x) -> Column:
     text = F.url_decode(F.regexp_replace(F.regexp_replace(identifier_text(x), r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25"))
     text = F.regexp_replace(text, r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
     found = F.lower(F.regexp_replace(F.regexp_extract(text, r"(?i)(10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+)", 1), r"[.,;]+$", ""))
-    for _ in range(8):
-        opened = F.length(F.regexp_replace(found, r"[^(]", ""))
-        closed = F.length(F.regexp_replace(found, r"[^)]", ""))
-        found = F.when(found.endswith(")") & (closed > opened), F.regexp_replace(found, r"\)$", "")).otherwise(found)
-    return found
+    count = lambda x, ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
+    shorter = lambda x: F.when(x.endswith(")") & (count(x, ")") > count(x, "(")), F.regexp_replace(x, r"\)$", "")).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), found, lambda x, _: shorter(x))
 
 
 def _from_address(text: Column, hosts: list[str]) -> Column:

@@ -17,9 +17,9 @@ SOURCE_PRIORITY = {"pubmed": 0, "europe_pmc": 1, "crossref": 2, "openalex": 3, "
 
 
 def source_priority(source) -> Column:
-    chain = None
+    chain = F
     for name, place in SOURCE_PRIORITY.items():
-        chain = (chain or F).when(F.col(source) == name, place)
+        chain = chain.when(F.col(source) == name, place)
     return chain.otherwise(99)
 
 

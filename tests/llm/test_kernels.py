@@ -249,3 +249,14 @@ def test_repeated_blocks_need_distinct_pages():
     assert pages.repeated_blocks(made) == [[True, False, True]] * 4
     assert pages.repeated_blocks([made[0]] * 5) == [[False] * 3] * 5
     assert pages.repeated_blocks([]) == []
+
+
+def test_framed_pages_lose_what_the_host_prints_only():
+    rng = random.Random(1)
+    text = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    notice, quote = "please sign up for our weekly letter to stay informed", "a passage that two or three articles quote word for word here"
+    made = [[text(k), notice, text(k)] + ([quote] if k < 3 else []) for k in range(10)]
+    found = pages.repeated_blocks(made, [True] * 10)
+    assert all(row == [False, True, False, False][: len(row)] for row in found)
+    same = text(0)  # near copies of one article
+    assert not any(map(any, pages.repeated_blocks([[same, same + f" end {k}"] for k in range(9)], [True] * 9)))

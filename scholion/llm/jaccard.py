@@ -1,6 +1,7 @@
 """N-gram Jaccard join: which documents' shingle sets overlap by at least 85 %, by prefix-tree joins.
 
-A document's set holds the 64-bit hashes of its distinct 4-word shingles (A-Z folded). Sets x and y link when
+A document's set holds its distinct 4-word shingles (A-Z folded) as 64-bit hashes, of which 48 bits travel; two
+shingles of a pair of long documents are mixed up with a probability of about one in a billion. Sets x and y link when
 100 * |x & y| >= 85 * |x | y|.
 
 1. Shingles are dealt by hash in packed blocks; each task counts, for its share of the shingles, in how many
@@ -43,6 +44,20 @@ BUCKET_WORDS = 2_000_000
 _ROUTE_SALT = c.stream(41, ROUTES)
 
 
+_LOW48 = c.U((1 << 48) - 1)
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """Six bytes a shingle: the low 48 bits of its hash tell shingles apart."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def least_overlap(n, share: int = SHARE):
     """ceil(share * n / 100)."""
     return -(-share * n // 100)
@@ -53,7 +68,7 @@ def least_overlap(n, share: int = SHARE):
 
 def _pack(flush: int, sets: list[np.ndarray], ids: list, buckets: int):
     size = np.array([len(s) for s in sets], np.int64)
-    tokens = np.concatenate(sets) if sets else np.zeros(0, c.U)
+    tokens = (np.concatenate(sets) if sets else np.zeros(0, c.U)) & _LOW48
     owner = np.repeat(np.arange(len(sets)), size)
     bucket = ((tokens >> c.U(33)) % c.U(buckets)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
@@ -65,7 +80,7 @@ def _pack(flush: int, sets: list[np.ndarray], ids: list, buckets: int):
         [
             pa.array(np.r_[bucket[cuts].astype(np.int32), np.int32(flush % buckets)]),
             pa.array(np.full(n + 1, flush, np.int64)),
-            pa.array([tokens[a:b].tobytes() for a, b in zip(cuts, ends)] + [None], pa.binary()),
+            pa.array([pack(tokens[a:b]) for a, b in zip(cuts, ends)] + [None], pa.binary()),
             pa.array([np.diff(owner[a:b], prepend=0).astype(np.uint16).tobytes() for a, b in zip(cuts, ends)] + [None], pa.binary()),
             pa.array([None] * (n + 1), pa.binary()),
             pa.array([None] * n + [ids], pa.list_(pa.int64())),
@@ -104,7 +119,7 @@ def _count(table: pa.Table) -> pa.Table:
     data = [r for r in rows if r["tokens"] is not None]
     out = [r for r in rows if r["tokens"] is None]
     if data:
-        parts = [np.frombuffer(r["tokens"], c.U) for r in data]
+        parts = [unpack(r["tokens"]) for r in data]
         tokens = np.concatenate(parts)
         order = np.argsort(tokens)
         ranked = tokens[order]
@@ -119,7 +134,7 @@ def _count(table: pa.Table) -> pa.Table:
             keep = n >= 2
             if keep.any():
                 owner = np.cumsum(np.frombuffer(r["owners"], np.uint16), dtype=np.int64)[keep]
-                out.append(r | {"tokens": part[keep].tobytes(), "owners": owner.astype(np.uint16).tobytes(), "counts": np.minimum(n[keep], (1 << 32) - 1).astype(np.uint32).tobytes()})
+                out.append(r | {"tokens": pack(part[keep]), "owners": owner.astype(np.uint16).tobytes(), "counts": np.minimum(n[keep], (1 << 32) - 1).astype(np.uint32).tobytes()})
     return pa.Table.from_pylist(out, schema=_PACKED_SCHEMA)
 
 
@@ -138,7 +153,7 @@ def _assemble(share: int):
         digest, kept, routes, prefix = ([None] * len(ids) for _ in range(4))
         if data:
             owner = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in data]).astype(np.int64)
-            tokens = np.concatenate([np.frombuffer(r["tokens"], c.U) for r in data])
+            tokens = np.concatenate([unpack(r["tokens"]) for r in data])
             counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in data])
             many = np.bincount(owner, minlength=len(ids))
             alive = (many >= least_overlap(sizes, share)) & (sizes > 0)
@@ -149,9 +164,9 @@ def _assemble(share: int):
             ends = np.searchsorted(owner, np.arange(len(ids)), "right")
             for k in np.flatnonzero(alive):
                 mine = tokens[ends[k] - many[k] : ends[k]]
-                name = mine.tobytes() if many[k] == sizes[k] else mine.tobytes() + repr((own["flush"], int(k))).encode()
+                name = pack(mine) if many[k] == sizes[k] else pack(mine) + repr((own["flush"], int(k))).encode()
                 digest[k] = hashlib.blake2b(name, digest_size=16).digest()
-                kept[k] = mine.tobytes()
+                kept[k] = pack(mine)
                 routes[k] = [int(mine[np.argmin(c.mix(mine ^ salt))].astype(np.int64)) for salt in _ROUTE_SALT]
                 prefix[k] = mine[: many[k] - int(least_overlap(sizes[k], share)) + 1].astype(np.int64).tolist()
         return pa.table(
@@ -270,7 +285,7 @@ def _block_links(share: int):
 
     def close(rows, out):
         if len(rows) > 1:
-            found = trie_links([np.frombuffer(r["tokens"], c.U) for r in rows], [r["n"] for r in rows], [r["joined"] for r in rows], share)
+            found = trie_links([unpack(r["tokens"]) for r in rows], [r["n"] for r in rows], [r["joined"] for r in rows], share)
             out += [(rows[a]["key"], rows[b]["key"]) for a, b in found]
 
     def run(batches):

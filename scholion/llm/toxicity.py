@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scholion.llm import common as c
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1400, 16_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 2400, 12_000
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7)
 SCORE_LIMIT = 0.7

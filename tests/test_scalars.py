@@ -154,3 +154,19 @@ def test_abstract_evidence(spark):
     words = [f"word{k}long" for k in range(120)]
     rows = spark.createDataFrame([(" ".join(words), " ".join(words)), (" ".join(words), " ".join(words[::-1])), ("", "")], "a string, b string")
     assert [r.strong for r in families.abstract_evidence(rows, "a", "b").collect()] == [True, False, False]
+
+
+def test_shared_budget():
+    plan = query_plan.share_budget(PLAN, 5)
+    assert [(r["source"], r["limit"]) for r in plan["routes"]] == [("pubmed", 3), ("pubmed", 2), ("europe_pmc", 3), ("europe_pmc", 2)]
+    for bad, budget in ((PLAN, 1), (PLAN | {"routes": [{"id": "x", "source": "arxiv", "query": "q"}]}, 9)):
+        with pytest.raises(query_plan.PlanError):
+            query_plan.share_budget(bad, budget)
+
+
+def test_metadata_evidence(spark):
+    title, abstract = "a very specific title about hyperchloremia outcomes cohort mortality", " ".join(f"finding{k}long" for k in range(120))
+    rows = [(1, title, ["Anna Leeson", "Bob Chandler"], 2020, abstract, "preprint"), (2, title, ["Leeson A", "Chandler B"], 2021, abstract, "journal"), (3, title, ["Leeson A", "Chandler B"], 2018, "other", "journal")]
+    frame = spark.createDataFrame(rows, "id long, title string, authors array<string>, year int, abstract string, role string")
+    found = {r.id: r.reasons for r in families.metadata_evidence(frame).collect()}
+    assert found[2] == [] and found[3] == ["incompatible_or_missing_years", "insufficient_distinctive_abstract"]

@@ -109,6 +109,7 @@ def _shingle(buckets: int, size: int):
                     total = sum(map(len, held))
         if held:
             yield from _pack((part << 24) + seq, held, ids, buckets)
+        c.release()
 
     return run
 
@@ -135,6 +136,7 @@ def _count(table: pa.Table) -> pa.Table:
             if keep.any():
                 owner = np.cumsum(np.frombuffer(r["owners"], np.uint16), dtype=np.int64)[keep]
                 out.append(r | {"tokens": pack(part[keep]), "owners": owner.astype(np.uint16).tobytes(), "counts": np.minimum(n[keep], (1 << 32) - 1).astype(np.uint32).tobytes()})
+    c.release()
     return pa.Table.from_pylist(out, schema=_PACKED_SCHEMA)
 
 

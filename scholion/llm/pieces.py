@@ -35,7 +35,7 @@ from scholion.llm import common as c
 META = "▁"
 MODEL = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-MEMO, MEMO_LENGTH = 300_000, 48
+MEMO, MEMO_LENGTH = 200_000, 48
 
 
 @dataclass

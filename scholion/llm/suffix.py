@@ -156,6 +156,7 @@ def _route(buckets: int, least: int):
                     held, total = [], 0
         if total:
             yield flush()
+        c.release()
 
     return run
 
@@ -390,6 +391,7 @@ def _search(buckets: int, least: int):
             spans.append(merge_spans(new))
             at = to
         merged = merge_spans(np.concatenate(spans))
+        c.release()
         return pa.Table.from_batches([_rows([(b, None, x.tobytes(), None) for b, x in _deal(merged, c.mix(merged["doc"].view(c.U)), buckets)])])
 
     return run

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from scholion.llm import common as c
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 2400, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1800, 12_000
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7)
 SCORE_LIMIT = 0.7
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _TOKEN = np.zeros(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -258,6 +258,14 @@ def fit(texts: list[str], toxic: np.ndarray) -> Crf | None:
     return model
 
 
+def fit_sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str) -> Crf | None:
+    rows = labelled_sample(docs, labels, id_column, text, label)
+    model = fit(rows["text"].tolist(), rows["y"].to_numpy(int))
+    del rows
+    c.release()
+    return model
+
+
 def score_chunk(model: Crf | None, raw: np.ndarray, offsets: np.ndarray):
     """(score, spans) of each document; spans: lists of (start, end) in code points of tokens likelier toxic than not."""
     n = len(offsets) - 1
@@ -320,8 +328,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text: st
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted, spans) for every row of ``docs``."""
     spark = docs.sparkSession
-    rows = labelled_sample(docs, labels, id_column, text, label)
-    model = spark.sparkContext.broadcast(fit(rows["text"].tolist(), rows["y"].to_numpy(int)))
+    model = spark.sparkContext.broadcast(fit_sample(docs, labels, id_column, text, label))
 
     def score(batches):
         for batch in batches:
@@ -341,8 +348,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     """The rows of ``docs`` whose score stays below the limit, all columns kept, without a join: text and
     decision travel together through the scorer."""
     spark = docs.sparkSession
-    rows = labelled_sample(docs, labels, id_column, text, "toxic")
-    model = spark.sparkContext.broadcast(fit(rows["text"].tolist(), rows["y"].to_numpy(int)))
+    model = spark.sparkContext.broadcast(fit_sample(docs, labels, id_column, text, "toxic"))
     names = docs.columns
 
     def keep(batches):
@@ -351,5 +357,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
                 value, _ = score_chunk(model.value, *c.text_buffer(c.column(part, text)))
                 part = part.filter(pa.array(value < SCORE_LIMIT))
                 yield pa.RecordBatch.from_arrays(part.columns, names)
+        c.release()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -11,8 +11,10 @@ share, and blocks covered by them to ``COVER`` or more are boilerplate. On pages
 are enough. Inside a frame articles quote and repeat each other, so there a substring must be on ``FRAMED_SHARE`` of
 the host's pages (``FRAMED_PAGES`` at least): what the host prints on its articles, not what they have in common. Pages
 whose frame is mostly shared are copies of an article: they aren't counted, and nothing is cut from them.
-Hosts with more than ``SECTION`` pages are dealt into sections by a hash of the page, each with an array of its own: what
-a host puts on its pages recurs in every section.
+Hosts with more than ``SECTION`` pages are dealt into sections by content, so copies of a page meet, and decided by the same
+counts: every section counts the distinct pages of its substrings (64-bit hashes) once, the counts are added up over the
+host, dealt by hash, and every section gets back which of its substrings the host repeats. The same is done for the
+pages that count inside a frame. What is boilerplate doesn't depend on the number of sections.
 
 White space inside a block (no-break spaces too) becomes one space, blocks are trimmed and joined by one line feed;
 table cells and line breaks count as white space. Character references are decoded once.
@@ -24,6 +26,7 @@ rows.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -35,7 +38,7 @@ from scholion.llm import common as c
 
 MIN_TOKENS, MIN_PAGES, COVER, SECTION = 8, 3, 0.8, 2000
 FRAMED_PAGES, FRAMED_SHARE, COPY = 5, 0.6, 0.5
-LARGE_HOSTS = 50_000
+LARGE_HOSTS, FLUSH, ROWS = 50_000, 4 << 20, 256
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript".split())
@@ -213,6 +216,29 @@ def bounded_suffix_array(stream: np.ndarray, length: int) -> tuple[np.ndarray, n
     return np.argsort(rank, kind="stable"), rank
 
 
+def _covered(starts: np.ndarray, length: int = MIN_TOKENS) -> np.ndarray:
+    """Tokens within ``length`` of a marked start."""
+    at = np.flatnonzero(starts)
+    change = np.bincount(at, minlength=len(starts) + length + 1)[: len(starts) + length + 1].astype(np.int64)
+    change[length:] -= np.bincount(at, minlength=len(starts) + 1)[: len(starts) + 1]
+    return np.cumsum(change)[: len(starts)] > 0
+
+
+def _mostly(gone: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Blocks that are covered to ``COVER`` or more."""
+    hits = np.diff(np.r_[0, np.r_[0, np.cumsum(gone)][np.cumsum(sizes)]])
+    return (hits >= COVER * sizes) & (hits > 0)
+
+
+def _witnesses(loose: np.ndarray, page_of: np.ndarray, n: int) -> np.ndarray:
+    """Pages less than ``COPY`` of which is shared."""
+    return np.bincount(page_of, loose, n) / np.bincount(page_of, minlength=n) < COPY
+
+
+def _needed(witnesses: int) -> int:
+    return max(FRAMED_PAGES, int(np.ceil(FRAMED_SHARE * witnesses)))
+
+
 def repeated_blocks(pages: list[list[str]], framed: list[bool] | None = None, length: int = MIN_TOKENS) -> list[list[bool]]:
     """Per page and block of one host: is it boilerplate?"""
     framed = [False] * len(pages) if framed is None else framed
@@ -240,60 +266,221 @@ def repeated_blocks(pages: list[list[str]], framed: list[bool] | None = None, le
     is_framed = np.array([framed[k] for k in distinct])
 
     def covered(common: np.ndarray) -> np.ndarray:
-        starts = np.flatnonzero(common[rank])
-        change = np.bincount(starts, minlength=len(stream) + length + 1)[: len(stream) + length + 1].astype(np.int64)
-        change[length:] -= np.bincount(starts, minlength=len(stream) + 1)[: len(stream) + 1]
-        return np.cumsum(change)[: len(stream)] > 0
+        return _covered(common[rank], length)
 
     loose = covered(np.bincount(held // n, minlength=len(rank)) >= MIN_PAGES)
-    share = np.bincount(page_of, loose, n) / np.bincount(page_of, minlength=n)
-    witness = is_framed & (share < COPY)
-    needed = max(FRAMED_PAGES, int(np.ceil(FRAMED_SHARE * witness.sum())))
-    strict = covered(np.bincount(held // n, witness[held % n], len(rank)) >= needed)
+    witness = is_framed & _witnesses(loose, page_of, n)
+    strict = covered(np.bincount(held // n, witness[held % n], len(rank)) >= _needed(witness.sum()))
     gone = np.where(is_framed[page_of], strict & witness[page_of], loose)
-    ends = np.cumsum(sizes)
-    hits = np.diff(np.r_[0, np.cumsum(gone)[ends - 1]])
-    verdict = (hits >= COVER * sizes) & (hits > 0)
+    verdict = _mostly(gone, sizes)
     begin = np.r_[0, np.cumsum([len(pages[k]) + 1 for k in distinct])]
     of = {k: verdict[begin[place] : begin[place] + len(pages[k])].tolist() for place, k in enumerate(distinct)}
     return [of.get(copy_of[k], drop[k]) for k in range(len(pages))]
 
 
+# ---------------------------------------------------------------- hosts of several sections
+
+
+def _section(pages: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pages, each one's blocks and a separator of one token: hash of the substring of ``MIN_TOKENS`` tokens from every
+    token on, whether it ends within its page, the page of every token, and tokens a block."""
+    pages = pages.combine_chunks() if isinstance(pages, pa.ChunkedArray) else pages
+    many = np.diff(pages.offsets.to_numpy()) + 1
+    place = np.ones(many.sum(), bool)
+    place[np.cumsum(many) - 1] = False
+    order = np.where(place, np.cumsum(place) - 1, place.sum())
+    raw, offsets = c.text_buffer(pa.concat_arrays([pages.flatten().cast(pa.large_string()), pa.array(["\x00"], pa.large_string())]).take(pa.array(order)))
+    raw = np.insert(raw, offsets[1:-1], 32) if len(order) else raw  # blocks hold single spaces: one more ends each
+    start, end, first = c.words(raw, offsets + np.r_[np.arange(len(order)), max(len(order) - 1, 0)])
+    sizes = np.diff(first)
+    token = c.span_hash(c.prefix_hash(raw), start, end)
+    page_of = np.repeat(np.repeat(np.arange(len(pages), dtype=np.int32), many), sizes)
+    after = np.cumsum(np.bincount(page_of, minlength=len(pages)))[page_of]  # where the next page begins
+    weight, gram = c.stream(MIN_TOKENS, MIN_TOKENS) | c.U(1), np.zeros(len(token), c.U)
+    with np.errstate(over="ignore"):
+        for k in range(min(MIN_TOKENS, len(token))):
+            gram[: len(token) - k] += token[k:] * weight[k]
+    return c.mix(gram), np.arange(len(token)) + MIN_TOKENS < after, page_of, sizes
+
+
+def _counts(gram: np.ndarray, page_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct substrings and on how many pages each is."""
+    order = np.lexsort((page_of, gram))
+    gram, page_of = gram[order], page_of[order]
+    once = np.r_[True, (gram[1:] != gram[:-1]) | (page_of[1:] != page_of[:-1])] if len(gram) else np.zeros(0, bool)
+    return np.unique(gram[once], return_counts=True)
+
+
+_PARTS = "host string, section int, bucket int, witnesses long, grams binary, counts binary"
+
+
+def _parts(host, section: int, sections: int, witnesses: int, gram: np.ndarray, page_of: np.ndarray) -> pa.Table:
+    """A section's counts, a row a bucket of hashes: as many buckets as sections, the empty ones too."""
+    grams, counts = _counts(gram, page_of)
+    bucket = (grams % c.U(sections)).astype(np.int64)
+    order = np.lexsort((counts == 1, bucket))  # substrings on one page last: their counts don't travel
+    bucket, grams, counts = bucket[order], grams[order], counts[order]
+    edges, more = np.arange(1, sections), counts > 1
+    return pa.table(
+        {
+            "host": pa.array([host] * sections, pa.string()),
+            "section": pa.array([section] * sections, pa.int32()),
+            "bucket": pa.array(range(sections), pa.int32()),
+            "witnesses": pa.array([witnesses] * sections, pa.int64()),
+            "grams": pa.array([x.tobytes() for x in np.split(grams, np.searchsorted(bucket, edges))], pa.binary()),
+            "counts": pa.array([x.astype(np.uint32).tobytes() for x in np.split(counts[more], np.searchsorted(bucket[more], edges))], pa.binary()),
+        }
+    )
+
+
+def _added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of a bucket: the substrings of every row; all distinct ones and their pages on the whole host."""
+    rows = [np.frombuffer(x, c.U) for x in table["grams"].to_pylist()]
+    grams, place = np.unique(np.concatenate(rows), return_inverse=True)
+    pages, at = np.bincount(place, minlength=len(grams)), 0
+    for row, x in zip(rows, table["counts"].to_pylist()):
+        counts = np.frombuffer(x, np.uint32)
+        pages[place[at : at + len(counts)]] += counts - 1
+        at += len(row)
+    return rows, grams, pages
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """To every section its substrings on ``MIN_PAGES`` pages of the host."""
+    rows, grams, pages = _added(table)
+    often = grams[pages >= MIN_PAGES]
+    back = [x[np.isin(x, often)].tobytes() for x in rows]
+    return pa.table({"host": table["host"], "section": table["section"], "grams": pa.array(back, pa.binary())})
+
+
+def _printed(table: pa.Table) -> pa.Table:
+    """The substrings of a bucket that the host prints inside its frames."""
+    _, grams, pages = _added(table)
+    printed = grams[pages >= _needed(sum(table["witnesses"].to_pylist()))]
+    return pa.table({"host": table["host"][:1], "printed": pa.array([printed.tobytes()], pa.binary())})
+
+
+def _joined(packed) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), c.U)
+
+
+def _host_wide(large: DataFrame, few: bool, ids: str) -> DataFrame:
+    """(copies, text) of the pages of hosts with several sections."""
+
+    def count(table: pa.Table) -> pa.Table:
+        c.release()
+        gram, whole, page_of, _ = _section(table["blocks"])
+        return _parts(table["host"][0].as_py(), table["section"][0].as_py(), table["sections"][0].as_py(), 0, gram[whole], page_of[whole])
+
+    def decide(table: pa.Table, repeated: pa.Table) -> tuple:
+        c.release()
+        framed = np.array(table["framed"].to_pylist(), bool)
+        gram, whole, page_of, sizes = _section(table["blocks"])
+        common = whole & np.isin(gram, _joined(repeated["grams"].to_pylist()))
+        loose = _covered(common)
+        return framed, gram, common, page_of, sizes, loose, framed & _witnesses(loose, page_of, len(framed))
+
+    def vote(table: pa.Table, repeated: pa.Table) -> pa.Table:
+        table = _distinct(table)
+        _, gram, common, page_of, _, _, witness = decide(table, repeated)
+        held = common & witness[page_of]
+        return _parts(table["host"][0].as_py(), table["section"][0].as_py(), table["sections"][0].as_py(), int(witness.sum()), gram[held], page_of[held])
+
+    def mark(table: pa.Table, repeated: pa.Table) -> pa.Table:
+        framed, _, _, _, sizes, loose, witness = decide(table, repeated)
+        lists = table["blocks"].to_pylist()
+        gone = iter(_mostly(loose, sizes).tolist())
+        drop = [[next(gone) for _ in (*p, None)] for p in lists]
+        kept = [p if f else [b for b, x in zip(p, d) if not x] for p, f, d in zip(lists, framed, drop)]
+        return pa.table({"host": table["host"], "witness": pa.array(witness.tolist(), pa.bool_()), "blocks": pa.array(kept, pa.list_(pa.string())), "copies": table["copies"]})
+
+    def finish(batches):
+        for whole_batch in batches:
+            for begin in range(0, whole_batch.num_rows, ROWS):
+                batch = whole_batch.slice(begin, ROWS)
+                lists, witness = c.column(batch, "blocks").to_pylist(), c.column(batch, "witness").to_pylist()
+                gram, whole, page_of, sizes = _section(c.column(batch, "blocks"))
+                common, at = np.zeros(len(gram), bool), np.cumsum(np.r_[0, np.bincount(page_of, minlength=len(lists))])
+                for k, printed in enumerate(c.column(batch, "printed").to_pylist()):
+                    if witness[k] and printed:
+                        common[at[k] : at[k + 1]] = np.isin(gram[at[k] : at[k + 1]], _joined(printed))
+                gone = iter(_mostly(_covered(common & whole), sizes).tolist())
+                drop = [[next(gone) for _ in (*p, None)] for p in lists]
+                texts = ["\n".join(b for b, x in zip(p, d) if not x) for p, d in zip(lists, drop)]
+                yield pa.RecordBatch.from_arrays([c.column(batch, "copies"), pa.array(texts, pa.string())], ["copies", "text"])
+
+    sections = large.groupBy("host", "section")
+    repeated = sections.applyInArrow(lambda t: count(_distinct(t)), _PARTS).groupBy("host", "bucket").applyInArrow(_repeated, "host string, section int, grams binary")
+    both = sections.cogroup(repeated.groupBy("host", "section"))
+    votes = both.applyInArrow(vote, _PARTS).groupBy("host", "bucket").applyInArrow(_printed, "host string, printed binary")
+    printed = votes.groupBy(F.col("host").alias("of")).agg(F.collect_list("printed").alias("printed"))
+    marked = both.applyInArrow(mark, f"host string, witness boolean, blocks array<string>, copies {ids}")
+    joined = marked.join(F.broadcast(printed) if few else printed, F.col("host") == F.col("of"), "left")
+    return joined.select("witness", "blocks", "copies", "printed").mapInArrow(finish, f"copies {ids}, text string")
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """The rows of a section, one for every content."""
+    first: dict[bytes, int] = {}
+    for k, (p, f) in enumerate(zip(table["blocks"], table["framed"])):
+        first.setdefault(_digest(f.as_py(), p.as_py()), k)
+    return table.take(pa.array(sorted(first.values()), pa.int64()))
+
+
+def _digest(framed: bool, found: list[str]) -> bytes:
+    return hashlib.blake2b("\x00".join((str(framed), *found)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     rows = pages.select(F.col(id_column).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
     hosted = rows.withColumn("host", F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit(""))))
     sizes = hosted.groupBy(F.col("host").alias("large")).agg(F.ceil(F.count(F.lit(1)) / SECTION).cast("int").alias("sections")).where("sections > 1")
-    if sizes.limit(LARGE_HOSTS + 1).count() <= LARGE_HOSTS:
+    few = sizes.limit(LARGE_HOSTS + 1).count() <= LARGE_HOSTS
+    if few:
         sizes = F.broadcast(sizes)  # else the pages move once more
-    sectioned = hosted.join(sizes, F.col("host") == F.col("large"), "left").withColumn(
-        "section", F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("sections")).cast("int"), F.lit(0))
-    )
+    sectioned = hosted.join(sizes, F.col("host") == F.col("large"), "left").withColumn("sections", F.coalesce("sections", F.lit(1)))
+    ids = f"array<struct<id:{kind},url:string>>"
 
     def cut(batches):
         for batch in batches:
+            packed: dict[tuple, list] = {}  # equal pages travel once
+            size = 0
             for part in c.chunks(batch, "html"):
-                found = [main_blocks(x) for x in c.column(part, "html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(c.column(part, x) for x in ("id", "url", "host", "section")),
-                        pa.array([f for _, f in found], pa.bool_()),
-                        pa.array([x for x, _ in found], pa.list_(pa.string())),
-                    ],
-                    ["id", "url", "host", "section", "framed", "blocks"],
-                )
+                for row in part.to_pylist():
+                    found, framed = main_blocks(row["html"])
+                    copies = packed.setdefault((row["host"], row["sections"], framed, *found), [])
+                    size += 0 if copies else sum(map(len, found))
+                    copies.append({"id": row["id"], "url": row["url"]})
+                if size > FLUSH:
+                    yield _packed_rows(packed, batch.schema.field("id").type)
+                    packed, size = {}, 0
+            if packed:
+                yield _packed_rows(packed, batch.schema.field("id").type)
 
     def clean(table: pa.Table) -> pa.Table:
         lists = table["blocks"].to_pylist()
         drop = repeated_blocks(lists, table["framed"].to_pylist())
         texts = ["\n".join(b for b, gone in zip(p, d) if not gone) for p, d in zip(lists, drop)]
-        return pa.table({"id": table["id"], "url": table["url"], "text": pa.array(texts, pa.string())})
-
-    out = (
-        sectioned.select("id", "url", "host", "section", "html")
-        .mapInArrow(cut, f"id {kind}, url string, host string, section int, framed boolean, blocks array<string>")
-        .groupBy("host", "section")
-        .applyInArrow(clean, f"id {kind}, url string, text string")
-    )
-    return out.select(F.col("id").alias(id_column), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+        return pa.table({"copies": table["copies"], "text": pa.array(texts, pa.string())})
+
+    schema = f"host string, section int, sections int, framed boolean, blocks array<string>, copies {ids}"
+    parsed = lambda where: sectioned.where(where).select("id", "url", "host", "sections", "html").mapInArrow(cut, schema)
+    small = parsed("sections = 1").groupBy("host", "section").applyInArrow(clean, f"copies {ids}, text string")
+    out = small.unionByName(_host_wide(parsed("sections > 1"), few, ids)).select(F.explode("copies").alias("copy"), "text")
+    return out.select(F.col("copy.id").alias(id_column), F.col("copy.url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _packed_rows(packed: dict[tuple, list], kind: pa.DataType) -> pa.RecordBatch:
+    """A row for every content of a host, its section by a hash of the content."""
+    keys = list(packed)
+    place = [int.from_bytes(_digest(k[2], k[3:])[:8], "big") % k[1] for k in keys]
+    copies = pa.list_(pa.struct([("id", kind), ("url", pa.string())]))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([k[0] for k in keys], pa.string()), pa.array(place, pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+            pa.array([k[2] for k in keys], pa.bool_()), pa.array([k[3:] for k in keys], pa.list_(pa.string())), pa.array(list(packed.values()), copies),
+        ],
+        ["host", "section", "sections", "framed", "blocks", "copies"],
+    )

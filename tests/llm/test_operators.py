@@ -217,6 +217,24 @@ def test_pages(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_pages_of_large_hosts_are_decided_by_the_counts_of_the_host(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(30))
+    menu, advert = "Home news sport weather and all other links here", "buy two of these fine garden chairs and get one free"
+    notice, quote = "please sign up for our weekly letter to stay informed", "a passage that three of all the articles quote word for word"
+    rows = [(k, f"http://h.example/{k}", f"<div>{menu}</div>" * (k % 2) + f"<p>{text()}</p>" + (f"<p>{advert}</p>" if k in (2, 31, 57) else "")) for k in range(60)]
+    rows += [(100 + k, f"http://f.example/{k}", f"<article><p>{text()}</p><p>{notice}</p>" + f"<p>{quote}</p>" * (k < 3) + "</article>") for k in range(60)]
+    rows += [(200 + k, "http://h.example/copy", f"<p>{menu} twice printed</p><p>{quote} on copies</p>") for k in range(40)]  # one page
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = sorted(map(tuple, pages.extract(frame).collect()))
+    monkeypatch.setattr(pages, "SECTION", 6)
+    assert sorted(map(tuple, pages.extract(frame).collect())) == whole
+    texts = {r[0]: r[2] for r in whole}
+    assert len(whole) == 160 and not any(menu in texts[k] or advert in texts[k] for k in range(60))
+    assert not any(notice in texts[100 + k] for k in range(60)) and all(quote in texts[100 + k] for k in range(3))
+    assert all(quote in texts[200 + k] for k in range(40))
+
+
 def test_pipeline(spark, tmp_path, docs, labels):
     import corpus_pipeline
 

@@ -1,5 +1,8 @@
 """Scalar functions, query plans and resolution against worked-out results."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +173,25 @@ def test_metadata_evidence(spark):
     frame = spark.createDataFrame(rows, "id long, title string, authors array<string>, year int, abstract string, role string")
     found = {r.id: r.reasons for r in families.metadata_evidence(frame).collect()}
     assert found[2] == [] and found[3] == ["incompatible_or_missing_years", "insufficient_distinctive_abstract"]
+
+
+def test_fuzzy_titles_compare_all_of_a_block_without_junk(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"same block {' '.join(rng.choice('abcdefgh') * rng.randint(1, 6) for _ in range(90))}" for _ in range(3)]
+    titles = [b if k == 0 else b[: 40 * k] + "x y" + b[40 * k + 2 :] for b in base for k in range(3)] + ["same block of another kind", "other block"]
+    frame = spark.createDataFrame([(100 - k, x) for k, x in enumerate(titles)], "id long, t string")
+    expected = set()
+    for a, x in sorted((100 - k, x) for k, x in enumerate(titles)):
+        for b, y in ((100 - k, y) for k, y in enumerate(titles)):
+            if a < b and x.split()[:2] == y.split()[:2]:
+                ratio = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+                if ratio >= 0.92:
+                    expected.add((a, b, round(ratio, 6)))
+    assert len(expected) >= 9
+    for part in (200, 2):
+        monkeypatch.setattr(families, "PART", part)
+        assert set(map(tuple, families.fuzzy_titles(frame, "id", "t").collect())) == expected
+    monkeypatch.setattr(families, "LONG", 0)
+    for x in titles:
+        for y in titles:
+            assert families.matching_ratio(x, y) == difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()

@@ -445,12 +445,21 @@ def conversation_receipts(spark, d):
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_sha FROM documents WHERE n_chars <= 2000 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def inverted_abstract(spark, d):
-    rows = table(spark, d, "documents").where("n_chars <= 2000").select("doc_id", n.clean_text("text").alias("t")).where("t <> ''")
+    return _inverted(table(spark, d, "documents").where("n_chars <= 2000"))
+
+
+def _inverted(docs):
+    rows = docs.select("doc_id", n.clean_text("text").alias("t")).where("t <> ''")
     words = rows.select("doc_id", F.posexplode(F.split("t", " ")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("positions"))
     return reading.rebuild_inverted(index, "doc_id", "w", "positions").select("doc_id", F.sha2("text", 256).alias("text_sha"))
 
 
+@query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_sha FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
+def inverted_abstract_whole(spark, d):
+    return _inverted(table(spark, d, "documents"))
+
+
 # ---------------------------------------------------------------- shredding
 
 
@@ -488,11 +497,20 @@ SELECT f.head, b.doc_id, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 0.0 ELSE 2
 FROM first f JOIN g a ON a.doc_id = f.head JOIN g b ON b.title_key = f.title_key WHERE b.doc_id <> f.head"""
 )
 def shingle_pairs(spark, d):
-    rows = works(spark, d).where("title_key is not null and n_chars <= 3000").select("doc_id", "title_key", families.shingles(F.split(n.title("abstract"), " "), 5).alias("s"))
+    return _shingled(works(spark, d).where("title_key is not null and n_chars <= 3000"))
+
+
+def _shingled(rows):
+    rows = rows.select("doc_id", "title_key", families.shingles(F.split(n.title("abstract"), " "), 5).alias("s"))
     pairs = families.pairs_with_head(rows, "title_key", "doc_id", "s")
     return pairs.select("head", "doc_id", F.round(families.dice("head_s", "s"), 6).alias("dice"))
 
 
+@query()
+def shingle_pairs_whole(spark, d):
+    return _shingled(works(spark, d).where("title_key is not null"))
+
+
 @query(
     f"""WITH {_WORKS}, t AS (SELECT doc_id, nt, list_distinct(list_filter(string_split(nt, ' '), lambda x: NOT list_contains({families.STOP_LIST_SQL}, x))) AS words,
   list_aggregate(string_split(nt, ' ')[1:3], 'string_agg', ' ') AS block FROM works WHERE title_key IS NOT NULL),

@@ -19,3 +19,12 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, oracle.DATA).count() >= 0
+
+
+def test_long_documents_are_in_the_whole_queries(spark, tmp_path):
+    title, body = "one long title of twenty letters", " ".join(f"w{k}" for k in range(900))
+    rows = [(1, f"{title}\n{body}", "en", "a", 4000), (2, f"{title}\n{body} more", "en", "a", None), (3, "short", "en", "a", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in catalogue.QUERIES["inverted_abstract_whole"](spark, str(tmp_path)).collect()) == [1, 2, 3]
+    (pair,) = catalogue.QUERIES["shingle_pairs_whole"](spark, str(tmp_path)).collect()
+    assert (pair.head, pair.doc_id) == (1, 2) and 0.99 < pair.dice < 1

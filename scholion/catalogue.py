@@ -426,12 +426,24 @@ def pack_chunks(spark, d):
 FROM q LEFT JOIN documents ON contains(lower(text), quote) GROUP BY item_id"""
 )
 def receipt_coverage(spark, d):
-    quotes = table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("quote"))
+    return _covered(spark, d, F.substring("text", 1, 40))
+
+
+def _covered(spark, d, passage):
+    quotes = table(spark, d, "benchmark").select("item_id", F.lower(passage).alias("quote"))
     held = families.quotes_held(table(spark, d, "documents"), "doc_id", "text", quotes, "item_id", "quote")
     counted = held.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
     return quotes.select("item_id").join(counted, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first")
 
 
+@query(
+    """WITH q AS (SELECT item_id, lower(text) AS quote FROM benchmark) SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first
+FROM q LEFT JOIN documents ON contains(lower(text), quote) GROUP BY item_id"""
+)
+def receipt_coverage_whole(spark, d):
+    return _covered(spark, d, F.col("text"))
+
+
 @query(
     """SELECT conv_id, turn, list_aggregate(list_sort(list_distinct(list(role) OVER w)), 'string_agg', ';') AS covered, CAST(sum(length(text)) OVER w AS BIGINT) AS chars
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""

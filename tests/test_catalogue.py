@@ -28,3 +28,11 @@ def test_long_documents_are_in_the_whole_queries(spark, tmp_path):
     assert sorted(r.doc_id for r in catalogue.QUERIES["inverted_abstract_whole"](spark, str(tmp_path)).collect()) == [1, 2, 3]
     (pair,) = catalogue.QUERIES["shingle_pairs_whole"](spark, str(tmp_path)).collect()
     assert (pair.head, pair.doc_id) == (1, 2) and 0.99 < pair.dice < 1
+
+
+def test_a_quotation_is_held_only_as_a_whole(spark, tmp_path):
+    quote = "A passage whose first forty letters are as they were, and then more"
+    docs = [(1, f"x {quote.upper()} y"), (2, quote[:50] + " another end"), (3, "none")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, quote)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["receipt_coverage_whole"](spark, str(tmp_path)).collect()] == [(7, 1, 1)]

@@ -495,7 +495,7 @@ def strip_tags(spark, d):
 
 @query()
 def element_cells(spark, d):
-    return shredding.example_cells(spark)
+    return shredding.cells(shredding.html_elements(table(spark, d, "pages"), "page_id", "html", mode="generic"), "page_id")
 
 
 # ---------------------------------------------------------------- families
@@ -568,12 +568,13 @@ def family_inventory(spark, d):
 
 @query()
 def result_groups(spark, d):
-    return families.example_effects(spark)
+    rows = table(spark, d, "documents").select("doc_id", F.explode(families.effects_of("text")).alias("e"))
+    return rows.select("doc_id", "e.*")
 
 
 @query()
 def cohort_fingerprint(spark, d):
-    return families.example_cohorts(spark)
+    return table(spark, d, "documents").select("doc_id", families.cohort_of("text").alias("c")).select("doc_id", "c.*")
 
 
 # ---------------------------------------------------------------- joins and graph
@@ -590,6 +591,17 @@ def citation_one_hop(spark, d):
     return graph.one_hop(edges, F.broadcast(seeds)).select(number("seed"), "direction", number("neighbour"))
 
 
+@query(
+    """SELECT DISTINCT l_suppkey AS seed, 'references' AS direction, l_partkey AS neighbour FROM lineitem
+UNION SELECT DISTINCT l_partkey, 'cited_by', l_suppkey FROM lineitem"""
+)
+def citation_one_hop_whole(spark, d):
+    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    seeds = edges.select(F.col("source").alias("seed")).union(edges.select("target")).distinct()
+    number = lambda x: F.substring(x, 2, 20).cast("long").alias(x)
+    return graph.one_hop(edges, seeds).select(number("seed"), "direction", number("neighbour"))
+
+
 @query(
     """SELECT o_orderkey, count(l_linenumber) AS locations, min(l_linenumber) FILTER (l_returnflag = 'N') AS best FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
 )

@@ -6,6 +6,7 @@ import pytest
 
 import oracle
 from scholion import catalogue
+from scholion.operators import shredding
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test tables")
 
@@ -36,3 +37,15 @@ def test_a_quotation_is_held_only_as_a_whole(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, quote)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in catalogue.QUERIES["receipt_coverage_whole"](spark, str(tmp_path)).collect()] == [(7, 1, 1)]
+
+
+def test_extraction_and_expansion_run_on_the_tables(spark, tmp_path):
+    text = "A total of 1,200 adults were studied. Death was seen (OR = 2.195, 95% CI: 1.4-3.2)."
+    spark.createDataFrame([(70, text), (71, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(80, shredding.EXAMPLE_TABLE)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(9, 8), (9, 8)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.point) for r in run("result_groups")] == [(70, "2.195")]
+    assert sorted((r.doc_id, r.sizes) for r in run("cohort_fingerprint")) == [(70, ["1200"]), (71, [])]
+    assert {r.page_id for r in run("element_cells")} == {80}
+    assert sorted(map(tuple, run("citation_one_hop_whole"))) == [(8, "cited_by", 9), (9, "references", 8)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -28,16 +29,35 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of its own only where the setting is absent and all tasks run on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="scholion-checkpoint-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the cluster's shared folder; make one only where the setting is absent (tests)."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scholion-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
+def cut_lineage(df: DataFrame, free: bool = False) -> DataFrame:
+    """Reliable checkpoint: survives the loss of any executor. With ``free``, what no variable refers to any more (the
+    shuffle files behind it, older checkpoints) is given back at once."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if free:
+        del df
+        free_files(out.sparkSession)
+    return out
+
+
+def free_files(spark: SparkSession) -> None:
+    """Collect garbage here and in the driver's JVM: Spark deletes shuffle and checkpoint files once their plans are gone,
+    which else happens whenever memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholion.operators.graph import connected_components  # noqa: F401
-from scholion.session import cut_lineage  # noqa: F401
+from scholion.session import cut_lineage, free_files, shared_folder  # noqa: F401
 
 CHUNK_BYTES = 1 << 20
 U = np.uint64

@@ -40,7 +40,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _suffix.repeats(c.table(spark, sf_dir, "documents")).drop("spans")
+    return _suffix.repeats(c.table(spark, sf_dir, "documents"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,8 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x, vectors y WHERE x.
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
 FROM vectors LEFT JOIN n ON a = vec_id LEFT JOIN comp ON v = vec_id""",
     "op5_jaccard": rf"""WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'),
     lambda x: x <> '') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),

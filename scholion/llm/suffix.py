@@ -8,14 +8,16 @@ Texts are UTF-8 bytes, matches stay within a document, occurrences may overlap,
    wherever they are. A segment is about 60 windows long and costs 31 bytes; no text moves yet.
 2. Segments are dealt by key, packed. A key met once is done. Segments with equal content (equal 64-bit digests; copies
    first meet within a task) are covered as a whole, and one of them stands for all. Only keys with different
-   contents go on.
+   contents go on. A key whose contents exceed ``LARGE`` bytes is split first, as often as needed: its segments are
+   halved by the distance of their windows from the minimizer, and the windows of a half share more bytes, which make
+   the new key. Equal windows stay together, keys get smaller, and a key that is down to one window is settled
+   by its content. So no task holds more than ``LARGE`` bytes of one key, whatever many documents share.
 3. Their bytes are fetched by one join and dealt by key. A task concatenates the segments, each ended by a
    separator of its own, sorts the suffixes by prefix doubling bounded at the least length, takes the
    Burrows-Wheeler transform and expands intervals breadth-first by backward extension: the intervals of
    all strings of length l, extended by the byte before, close every boundary whose common prefix is
    l, for l = 0, 1, ..., 399. Boundaries still open then lie between suffixes that share 400 bytes:
-   those windows repeat. Keys are independent, so a batch holds as many as fit ``BATCH`` bytes; a single key
-   beyond ``LARGE`` bytes has its windows counted by hash instead, which is linear.
+   those windows repeat. Keys are independent, so a batch holds as many as fit ``BATCH`` bytes.
 4. Spans are merged by document and joined with the texts.
 
 Defined results: a null text is empty; texts below 400 bytes lose nothing by themselves and are no match; equal
@@ -34,13 +36,14 @@ from pyspark.sql import DataFrame, functions as F
 from scholion.llm import common as c
 
 LEAST, GRAM, CLASSES = 400, 64, 3
-BATCH, LARGE = 1 << 20, 8 << 20
+BATCH, LARGE = 1 << 20, 4 << 20
+_PLACE = 33  # bits of a position in a chunk: the same for all chunks, so that equal windows always agree
 FLUSH_SEGMENTS, FLUSH_BYTES = 250_000, 8 << 20
 BUCKET_BYTES = 48 << 20
 
-_SEGMENT = np.dtype([("key", "u8"), ("digest", "u8"), ("doc", "i8"), ("start", "u4"), ("windows", "u2"), ("many", "u1")])
+_SEGMENT = np.dtype([("key", "u8"), ("digest", "u8"), ("doc", "i8"), ("start", "u4"), ("windows", "u2"), ("level", "u1")])
 _SPAN = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
-_WANT = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4"), ("key", "u8")])
+_WANT = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4"), ("key", "u8"), ("level", "u1")])  # level: of its halves; 0 where it isn't split
 _PACKED = "bucket int, segments binary, spans binary, wants binary"
 _NAMES = ["bucket", "segments", "spans", "wants"]
 
@@ -63,7 +66,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, docs: np.ndarray, least: int
     prefix = c.prefix_hash(raw)
     n = len(raw) - gram + 1
     at = np.arange(n)
-    bits = c.U(max(int(n).bit_length(), 1))
+    bits = c.U(_PLACE)
     value = c.span_hash(prefix, at, at + gram)
     value = ((value >> bits) << bits) | at.astype(c.U)
     value = np.r_[value, np.full(-n % width + width, ~c.U(0))]
@@ -91,6 +94,41 @@ def segments(raw: np.ndarray, offsets: np.ndarray, docs: np.ndarray, least: int
     return out
 
 
+def _halves(offset: int, width: int, level: int) -> tuple[int, int]:
+    """The range of distances from the minimizer that ``offset`` belongs to after ``level`` halvings of its class."""
+    step = -(-width // CLASSES)
+    low = offset // step * step
+    high = min(low + step, width)
+    for _ in range(level):
+        if high - low <= 1:
+            break
+        middle = (low + high) // 2
+        low, high = (low, middle) if offset < middle else (middle, high)
+    return low, high
+
+
+def halved(raw: np.ndarray, start: int, end: int, level: int, least: int) -> list[tuple]:
+    """The windows of the segment raw[start:end], by their distance from its minimizer: (key, digest, start, windows)."""
+    gram = min(GRAM, least)
+    width = least - gram + 1
+    body = raw[start:end]
+    prefix = c.prefix_hash(body)
+    at = np.arange(width)
+    value = c.span_hash(prefix, at, at + gram) >> c.U(_PLACE)
+    anchor = int(np.argmin(value))  # the leftmost of equals, as in ``segments``
+    windows = len(body) - least + 1
+    out, first = [], 0
+    while first < windows:
+        low, high = _halves(anchor - first, width, level)
+        n = min(anchor - first - low + 1, windows - first)
+        with np.errstate(over="ignore"):
+            key = c.mix(c.span_hash(prefix, np.array([anchor - low]), np.array([anchor - high + 1 + least])) + c.U(low * 1000 + high))
+            digest = c.mix(c.span_hash(prefix, np.array([first]), np.array([first + n - 1 + least])) + c.U(anchor - first))
+        out.append((int(key[0]), int(digest[0]), start + first, n))
+        first += n
+    return out
+
+
 def _collapse(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """One segment of each content, and the spans of those met more than once."""
     order = np.lexsort((rows["digest"], rows["key"]))
@@ -98,9 +136,7 @@ def _collapse(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     head = np.flatnonzero(np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["digest"][1:] != rows["digest"][:-1])])
     size = np.diff(np.r_[head, len(rows)])
     repeated = np.repeat(size > 1, size)
-    one = rows[head].copy()
-    one["many"] |= size > 1
-    return one, _spans(rows[repeated], least)
+    return rows[head], _spans(rows[repeated], least)
 
 
 def _spans(rows: np.ndarray, least: int) -> np.ndarray:
@@ -127,7 +163,7 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
 
 def _deal(rows: np.ndarray, by: np.ndarray, buckets: int):
     """(bucket, rows of it) pairs."""
-    bucket = (by.astype(c.U) % c.U(buckets)).astype(np.uint16)
+    bucket = (by.astype(c.U) % c.U(buckets)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
@@ -161,8 +197,8 @@ def _route(buckets: int, least: int):
     return run
 
 
-def _match(buckets: int, least: int):
-    """One bucket of keys -> spans and wanted bytes, dealt by document."""
+def _match(buckets: int, least: int, large: int):
+    """One bucket of keys -> spans and wanted bytes, dealt by document; segments of keys beyond ``large`` bytes are marked to be halved."""
 
     def run(table: pa.Table) -> pa.Table:
         spans = [np.frombuffer(x, _SPAN) for x in table["spans"].to_pylist() if x is not None]
@@ -182,6 +218,9 @@ def _match(buckets: int, least: int):
             wants = np.zeros(len(rest), _WANT)
             wants["doc"], wants["start"], wants["key"] = rest["doc"], rest["start"], rest["key"]
             wants["end"] = rest["start"].astype(np.int64) + rest["windows"] - 1 + least
+            _, of = np.unique(rest["key"], return_inverse=True)
+            beyond = np.bincount(of, wants["end"] - wants["start"].astype(np.int64))[of] > large if len(rest) else np.zeros(0, bool)
+            wants["level"] = np.where(beyond, rest["level"] + 1, 0)
         merged = merge_spans(np.concatenate(spans)) if spans else np.zeros(0, _SPAN)
         out = [(b, None, x.tobytes(), None) for b, x in _deal(merged, c.mix(merged["doc"].view(c.U)), buckets)]
         out += [(b, None, None, x.tobytes()) for b, x in _deal(wants, c.mix(wants["doc"].view(c.U)), buckets)]
@@ -307,22 +346,6 @@ def repeated_windows(pieces: list[np.ndarray], least: int = LEAST) -> list[np.nd
     return [found[a:b] - (e - s) for a, b, e, s in zip(cut[:-1], cut[1:], stop, sizes)]
 
 
-def counted_windows(pieces: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
-    """The same by counting 64-bit window hashes; linear, for one very large key."""
-    hashes = []
-    for p in pieces:
-        at = np.arange(max(len(p) - least + 1, 0))
-        hashes.append(c.span_hash(c.prefix_hash(p), at, at + least))
-    flat = np.concatenate(hashes)
-    order = np.argsort(flat)
-    ranked = flat[order]
-    same = np.r_[False, ranked[1:] == ranked[:-1]]
-    hit = np.zeros(len(flat), bool)
-    hit[order] = same | np.r_[same[1:], False]
-    cut = np.cumsum([0, *map(len, hashes)])
-    return [np.flatnonzero(hit[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-
-
 _FETCHED = "bucket int, heads binary, content binary"
 
 
@@ -350,6 +373,9 @@ def _fetch(buckets: int):
         for batch in batches:
             for text, wants in zip(c.column(batch, "text").to_pylist(), c.column(batch, "wants").to_pylist()):
                 raw, want = text.encode(), np.frombuffer(wants, _WANT)
+                want = want[want["level"] == 0]
+                if not len(want):
+                    continue
                 heads.append(want)
                 parts += [raw[a:b] for a, b in zip(want["start"].tolist(), want["end"].tolist())]
                 total += int((want["end"] - want["start"]).sum())
@@ -362,6 +388,28 @@ def _fetch(buckets: int):
     return run
 
 
+def _resegment(buckets: int, least: int):
+    """Documents with segments to be halved -> the halves, dealt by key."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, text, wants in zip(*(c.column(batch, x).to_pylist() for x in ("doc", "text", "wants"))):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                for want in np.frombuffer(wants, _WANT):
+                    if want["level"]:
+                        level = int(want["level"])
+                        out += [(key, digest, doc, start, n, level) for key, digest, start, n in halved(raw, int(want["start"]), int(want["end"]), level, least)]
+            if out:
+                rows, spans = _collapse(np.array(out, _SEGMENT), least)
+                packed = [(b, x.tobytes(), None, None) for b, x in _deal(rows, c.mix(rows["key"]), buckets)]
+                if len(spans):
+                    packed.append((int(rows["key"][0] % c.U(buckets)), None, merge_spans(spans).tobytes(), None))
+                yield _rows(packed)
+
+    return run
+
+
 def _search(buckets: int, least: int):
     """One bucket of keys with their bytes -> spans, dealt by document."""
 
@@ -381,8 +429,7 @@ def _search(buckets: int, least: int):
             while to < len(cuts) - 1 and total[cuts[to + 1]] - total[cuts[at]] <= BATCH:
                 to += 1
             rows = order[cuts[at] : cuts[to]]
-            large = total[cuts[to]] - total[cuts[at]] > LARGE
-            found = (counted_windows if large else repeated_windows)([content[begin[k] : begin[k] + size[k]] for k in rows.tolist()], least)
+            found = repeated_windows([content[begin[k] : begin[k] + size[k]] for k in rows.tolist()], least)
             n = np.array([len(f) for f in found])
             new = np.zeros(n.sum(), _SPAN)
             new["doc"] = np.repeat(head["doc"][rows], n)
@@ -400,31 +447,51 @@ def _search(buckets: int, least: int):
 # ---------------------------------------------------------------- the operator
 
 
-def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least: int = LEAST) -> DataFrame:
+_MARKS = "doc long, spans binary, wants binary"
+
+
+def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least: int = LEAST, large: int = LARGE) -> DataFrame:
     """(doc, spans: list of packed spans) of the documents that lose bytes; ``doc`` is a 64-bit key."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).head()[0] or 0
     partitions = c.shuffle_partitions(spark)
-    buckets = int(min(max(partitions, chars / BUCKET_BYTES), 60_000))
-    routed = rows.where(F.octet_length("text") >= least).mapInArrow(_route(buckets, least), _PACKED)
-    marks = c.cut_lineage(
-        routed.groupBy("bucket").applyInArrow(_match(buckets, least), _PACKED).groupBy("bucket").applyInArrow(_by_document, "doc long, spans binary, wants binary")
-    )
-    wanted = marks.where("wants is not null").select("doc", "wants")
-    fetched = rows.join(wanted, "doc").select("text", "wants").mapInArrow(_fetch(buckets), _FETCHED)
-    found = (
-        fetched.groupBy("bucket").applyInArrow(_search(buckets, least), _PACKED).groupBy("bucket").applyInArrow(_by_document, "doc long, spans binary, wants binary")
-    )
-    both = marks.where("spans is not null").select("doc", "spans").unionByName(found.select("doc", "spans"))
-    return c.cut_lineage(both.groupBy("doc").agg(F.collect_list("spans").alias("spans")))  # two at most
-
-
-def _cut(raw: bytes, packed: list[bytes] | None) -> tuple[bytes, list[tuple[int, int]]]:
+    buckets = int(max(partitions, chars / BUCKET_BYTES))
+
+    def settled(routed: DataFrame) -> DataFrame:
+        return routed.groupBy("bucket").applyInArrow(_match(buckets, least, large), _PACKED).groupBy("bucket").applyInArrow(_by_document, _MARKS)
+
+    marks = c.cut_lineage(settled(rows.where(F.octet_length("text") >= least).mapInArrow(_route(buckets, least), _PACKED)), free=True)
+    rounds, last = [marks], marks
+    while last.where(F.expr("wants is not null")).mapInArrow(_any_to_halve, "n int").limit(1).count():
+        split = rows.join(last.where("wants is not null").select("doc", "wants"), "doc").select("doc", "text", "wants")
+        last = c.cut_lineage(settled(split.mapInArrow(_resegment(buckets, least), _PACKED)), free=True)
+        rounds.append(last)
+    found = []
+    for marked in rounds:
+        wanted = marked.where("wants is not null").select("doc", "wants")
+        fetched = rows.join(wanted, "doc").select("text", "wants").mapInArrow(_fetch(buckets), _FETCHED)
+        # dealt by hand: coalescing by bytes would leave a few tasks with all the sorting
+        searched = fetched.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_search(buckets, least), _PACKED)
+        found += [marked.where("spans is not null").select("doc", "spans"), searched.groupBy("bucket").applyInArrow(_by_document, _MARKS).select("doc", "spans")]
+    both = found[0]
+    for more in found[1:]:
+        both = both.unionByName(more)
+    return c.cut_lineage(both.groupBy("doc").agg(F.collect_list("spans").alias("spans")), free=True)  # two a round
+
+
+def _any_to_halve(batches):
+    for batch in batches:
+        n = sum(bool(np.frombuffer(x, _WANT)["level"].any()) for x in c.column(batch, "wants").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([1] * min(n, 1), pa.int32())], ["n"])
+
+
+def _cut(raw: bytes, packed: list[bytes] | None, words: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and the spans that go: those that touch more than ``words`` words."""
     if not packed:
         return raw, []
     spans = merge_spans(np.concatenate([np.frombuffer(x, _SPAN) for x in packed]))
-    cuts = list(zip(spans["start"].tolist(), spans["end"].tolist()))
+    cuts = [(a, b) for a, b in zip(spans["start"].tolist(), spans["end"].tolist()) if not words or len(raw[a:b].split()) > words]
     kept, at = [], 0
     for a, b in cuts:
         kept.append(raw[at:a])
@@ -438,7 +505,8 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are (start, end) in bytes."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, spans, text) of every row; spans are (start, end) in bytes, text is what is
+    kept, without characters that were cut in two."""
     rows = _keyed(docs, id_column, text)
     joined = rows.join(repeated_spans(rows, least=least), "doc", "left").select("id", "text", "spans")
 
@@ -449,31 +517,35 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leas
                 for body, packed in zip(c.column(part, "text").to_pylist(), c.column(part, "spans").to_pylist()):
                     raw = body.encode()
                     kept, cuts = _cut(raw, packed)
-                    out.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in cuts]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                    out.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in cuts], kept.decode("utf-8", "ignore")))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [c.column(part, "id"), *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]],
-                    ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                    ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, text string"
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
-def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of the text; a character cut in two goes. Other columns are kept."""
+def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST, words: int = 0) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text, maximal runs of more than ``words`` words only; a character cut in
+    two goes. Other columns are kept."""
     names, schema = docs.columns, docs.schema
-    spans = repeated_spans(_keyed(docs, id_column, text), least=least).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__doc", F.xxhash64(F.col(id_column), F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    joined = keyed.join(spans, "__doc", "left").drop("__doc")
+    mark = "__cut"
+    while any(name.startswith(mark) for name in names):
+        mark += "_"
+    spans = repeated_spans(_keyed(docs, id_column, text), least=least).select(F.col("doc").alias(f"{mark}doc"), F.col("spans").alias(f"{mark}spans"))
+    keyed = docs.withColumn(f"{mark}doc", F.xxhash64(F.col(id_column), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    joined = keyed.join(spans, f"{mark}doc", "left").drop(f"{mark}doc")
 
     def run(batches):
         for batch in batches:
             for part in c.chunks(batch, text):
                 texts = [
-                    body if body is None or not packed else _cut(body.encode(), packed)[0].decode("utf-8", "ignore")
-                    for body, packed in zip(c.column(part, text).to_pylist(), c.column(part, "__spans").to_pylist())
+                    body if body is None or not packed else _cut(body.encode(), packed, words)[0].decode("utf-8", "ignore")
+                    for body, packed in zip(c.column(part, text).to_pylist(), c.column(part, f"{mark}spans").to_pylist())
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == text else c.column(part, x) for x in names], names)
 

@@ -1,7 +1,6 @@
 """N-gram Jaccard join: which documents' shingle sets overlap by at least 85 %, by prefix-tree joins.
 
-A document's set holds its distinct 4-word shingles (A-Z folded) as 64-bit hashes, of which 48 bits travel; two
-shingles of a pair of long documents are mixed up with a probability of about one in a billion. Sets x and y link when
+A document's set holds its distinct 4-word shingles (A-Z folded) as 64-bit hashes. Sets x and y link when
 100 * |x & y| >= 85 * |x | y|.
 
 1. Shingles are dealt by hash in packed blocks; each task counts, for its share of the shingles, in how many
@@ -17,8 +16,9 @@ shingles of a pair of long documents are mixed up with a probability of about on
    First come blocks of classes that share their smallest shingle under one of ``ROUTES`` hash functions, large
    blocks salted; this joins nearly all groups.
 4. Exact completion: linked sets share a shingle among their first |x| - ceil(0.85 |x|) + 1 in the common order.
-   Shingles whose holders already are one component can't add a link; the holders of each other one (once for
-   equal lists) meet in a block; blocks beyond ``BLOCK`` sets are cut into all pairs of parts. No cap anywhere.
+   Its holders meet in cells by size: sizes of linked sets differ by a factor of 100/85 at most, so each set is in the cell
+   of its size class and in the next. Cells whose sets already are one component can't add a link; each other one
+   (once for equal lists) is a block; blocks beyond ``BLOCK`` sets are cut into all pairs of parts. No cap anywhere.
 5. Components of links between classes, on the cluster.
 
 Defined results: texts without words have the empty set and link with nothing (component: their id); with fewer
@@ -44,18 +44,12 @@ BUCKET_WORDS = 2_000_000
 _ROUTE_SALT = c.stream(41, ROUTES)
 
 
-_LOW48 = c.U((1 << 48) - 1)
-
-
 def pack(tokens: np.ndarray) -> bytes:
-    """Six bytes a shingle: the low 48 bits of its hash tell shingles apart."""
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return tokens.astype("<u8").tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def least_overlap(n, share: int = SHARE):
@@ -68,9 +62,9 @@ def least_overlap(n, share: int = SHARE):
 
 def _pack(flush: int, sets: list[np.ndarray], ids: list, buckets: int):
     size = np.array([len(s) for s in sets], np.int64)
-    tokens = (np.concatenate(sets) if sets else np.zeros(0, c.U)) & _LOW48
+    tokens = np.concatenate(sets) if sets else np.zeros(0, c.U)
     owner = np.repeat(np.arange(len(sets)), size)
-    bucket = ((tokens >> c.U(33)) % c.U(buckets)).astype(np.uint16)
+    bucket = ((tokens >> c.U(33)) % c.U(buckets)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     tokens, owner, bucket = tokens[order], owner[order], bucket[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
@@ -152,7 +146,7 @@ def _assemble(share: int):
         own = next(r for r in rows if r["ids"] is not None)
         data = [r for r in rows if r["ids"] is None]
         ids, sizes = own["ids"], np.array(own["sizes"], np.int64)
-        digest, kept, routes, prefix = ([None] * len(ids) for _ in range(4))
+        digest, kept, routes = ([None] * len(ids) for _ in range(3))
         if data:
             owner = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in data]).astype(np.int64)
             tokens = np.concatenate([unpack(r["tokens"]) for r in data])
@@ -170,7 +164,6 @@ def _assemble(share: int):
                 digest[k] = hashlib.blake2b(name, digest_size=16).digest()
                 kept[k] = pack(mine)
                 routes[k] = [int(mine[np.argmin(c.mix(mine ^ salt))].astype(np.int64)) for salt in _ROUTE_SALT]
-                prefix[k] = mine[: many[k] - int(least_overlap(sizes[k], share)) + 1].astype(np.int64).tolist()
         return pa.table(
             {
                 "id": pa.array(ids, pa.int64()),
@@ -178,7 +171,6 @@ def _assemble(share: int):
                 "digest": pa.array(digest, pa.binary()),
                 "tokens": pa.array(kept, pa.binary()),
                 "routes": pa.array(routes, pa.list_(pa.int64())),
-                "prefix": pa.array(prefix, pa.list_(pa.int64())),
             }
         )
 
@@ -315,53 +307,84 @@ def _meet(rows: DataFrame, share: int) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
+def _prefixes(share: int):
+    """Classes (key, n, tokens) -> (key, level, shingle) of every shingle of the prefix, at the class of the set's size and the next."""
+
+    def run(batches):
+        for batch in batches:
+            keys, levels, shingles = [], [], []
+            for key, n, raw in zip(*(c.column(batch, x).to_pylist() for x in ("key", "n", "tokens"))):
+                tokens = unpack(raw)
+                first = tokens[: len(tokens) - int(least_overlap(n, share)) + 1].astype(np.int64)
+                level = size_class(n, share)
+                keys.append(np.full(2 * len(first), key, np.int64))
+                levels.append(np.repeat(np.array([level, level + 1], np.int32), len(first)))
+                shingles += [first, first]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, levels, shingles)], ["key", "level", "shingle"])
+
+    return run
+
+
+def size_class(n: int, share: int = SHARE) -> int:
+    """A number that grows with n; of linked sets it differs by one at most."""
+    level, bound = 0, 1
+    while bound < n:  # bounds: 1, and the largest size that links with one more than the bound before
+        bound, level = (bound + 1) * 100 // share, level + 1
+    return level
+
+
 def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, share: int = SHARE) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).head()[0] or 0
     partitions = c.shuffle_partitions(spark)
-    buckets = int(min(max(partitions, chars / 6 / BUCKET_WORDS), 60_000))
-    packed = rows.mapInArrow(_shingle(buckets, size), _PACKED)
-    counted = packed.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_count, _PACKED)
-    every = c.cut_lineage(
-        counted.drop("bucket")
-        .groupBy("flush")
-        .applyInArrow(_assemble(share), "id long, n long, digest binary, tokens binary, routes array<long>, prefix array<long>")
-    )
-    alive = every.where("digest is not null")
-    # equal sets are one class, named by a 64-bit key of their digest
+    buckets = int(max(partitions, chars / 6 / BUCKET_WORDS))
+
+    def assembled() -> DataFrame:
+        packed = rows.mapInArrow(_shingle(buckets, size), _PACKED)
+        counted = packed.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_count, _PACKED)
+        return counted.drop("bucket").groupBy("flush").applyInArrow(_assemble(share), "id long, n long, digest binary, tokens binary, routes array<long>")
+
     key = F.xxhash64("digest")
-    names = alive.groupBy("digest").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    full = c.cut_lineage(assembled(), free=True)
+    # equal sets are one class, named by a 64-bit key of their digest
     classes = c.cut_lineage(
-        alive.groupBy(key.alias("key")).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("routes").alias("routes"), F.first("prefix").alias("prefix"))
+        full.where("digest is not null").groupBy(key.alias("key")).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("routes").alias("routes"))
     )
+    every = c.cut_lineage(full.select("id", "n", "digest"))
+    del full
+    c.free_files(spark)
+    alive = every.where("digest is not null")
+    names = alive.groupBy("digest").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     routed = classes.select("key", F.posexplode("routes").alias("route", "shared")).withColumn("place", F.xxhash64("route", "shared"))
     busy = routed.groupBy("place").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = routed.join(busy, "place").select(
         "key", F.xxhash64("place", F.pmod(F.xxhash64("key", "route"), F.ceil(F.col("members") / BLOCK))).alias("block"), F.col("key").alias("joined")
     )
     sets = classes.select("key", "n", "tokens")
-    blocks = blocks.join(sets, "key")
-    links = c.cut_lineage(_meet(blocks, share))
+    links = c.cut_lineage(_meet(blocks.join(sets, "key"), share), free=True)
     first = c.connected_components(links)
     state = c.cut_lineage(
         classes.select("key").join(first, F.col("key") == F.col("vertex"), "left").select("key", F.coalesce("component", "key").alias("joined"))
     )
     # exact completion
-    holders = classes.select("key", F.explode("prefix").alias("shingle")).join(state, "key")
+    cell = ["shingle", "level"]
+    holders = sets.mapInArrow(_prefixes(share), "key long, level int, shingle long").join(state, "key")
     mixed = (
-        holders.groupBy("shingle")
+        holders.groupBy(cell)
         .agg(F.min("joined").alias("low"), F.max("joined").alias("high"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("list"))
         .where("low <> high")
         .groupBy("list", "members")
-        .agg(F.min("shingle").alias("shingle"))
+        .agg(F.min(F.struct(cell)).alias("cell"))
+        .select("members", "cell.*")
     )
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    cells = holders.join(mixed, "shingle").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", "shingle"), F.col("parts")).cast("int"))
-    cells = cells.select("key", "joined", "shingle", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("key", "joined", F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")).alias("block"))
-    more = c.cut_lineage(_meet(cells.join(sets, "key"), share))
+    cells = holders.join(mixed, cell).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", "shingle"), F.col("parts")).cast("int"))
+    cells = cells.select("key", "joined", *cell, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("key", "joined", F.xxhash64(*cell, F.least("part", "other"), F.greatest("part", "other")).alias("block"))
+    more = c.cut_lineage(_meet(cells.join(sets, "key"), share), free=True)
     if more.limit(1).count():
         a = state.select(F.col("key").alias("a"), F.col("joined").alias("ca"))
         b = state.select(F.col("key").alias("b"), F.col("joined").alias("cb"))
@@ -376,6 +399,24 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, share: int = SHARE) -> DataFrame:
-    """The rows of ``docs`` that aren't a later member of a group; all columns kept."""
-    gone = jaccard_groups(docs, id_column, text, size, share).where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("gone"))
-    return docs.join(gone, F.col(id_column) == F.col("gone"), "left_anti")
+    """Of every group one row of ``docs``, the one with the smallest id (null ids last, then by text); all columns kept.
+
+    Rows are told apart by id and text, so rows that share an id are decided each; of rows equal in both one stays,
+    whatever their other columns. Texts without words link with nothing: all their rows stay.
+    """
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = docs.withColumn(name, F.xxhash64(F.col(id_column), body))
+    rows = keyed.select(F.col(name).alias("row"), F.col(id_column).alias("id"))
+    groups = jaccard_groups(keyed.select(F.col(name).alias("row"), body.alias("text")), "row", "text", size, share).where("n_shingles > 0").select("row", "component_id")
+    members = groups.groupBy("row").agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("copies"))
+    members = members.join(rows.groupBy("row").agg(F.first("id").alias("id")), "row")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first")).select("group", F.col("first.row").alias("kept"))
+    decided = c.cut_lineage(
+        members.join(first, "group").where("row <> kept or copies > 1").select(F.col("row").alias(name), (F.col("row") == F.col("kept")).alias("twin")), free=True
+    )
+    whole = keyed.join(decided.select(name), name, "left_anti")
+    twins = keyed.join(decided.where("twin").select(name), name).dropDuplicates([name])
+    return whole.unionByName(twins).select(*docs.columns)

@@ -7,17 +7,17 @@ no context has seen cost 8 bits. A text's language is the one whose tree gives i
 
 Fitting: n-gram counts are summed on the cluster over a hash sample of the labelled rows of about
 ``SAMPLE_DOCS`` texts a language; only the counts reach the driver, which bakes trees into lookup tables, so that
-scoring costs a few table reads a byte for all languages together. The 127 most frequent bytes are symbols of
-their own, the rest share one and cost a constant more in every language.
+scoring costs a few table reads a byte for all languages together. Every byte value met in fitting is a symbol of its
+own; the others, which no context of any language has seen, share one, and all escape to the last level alike.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, and for every text if nothing was
 learned; equal code lengths go to the smallest name; null ids, repeated rows and other columns pass through
-unread; an empty table gives no rows. The score is the share of the best language in 2**-length.
+unread; an empty table gives no rows. A letter is a code point of Unicode category L. The score is the share of the best
+language in 2**-(``TEMPER`` * bits a byte), so it tells how far the next language is whatever the text's length.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,7 @@ from scholion.llm import common as c
 
 ORDER = 3
 SAMPLE_DOCS = 3000
-SYMBOLS = 128
-_LETTER = re.compile(r"[^\W\d_]")
+TEMPER = 4
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[97:123] = _ASCII_LETTER[65:91] = True
 
@@ -56,7 +55,7 @@ def gram_codes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Trees:
     names: list[str]
     symbol: np.ndarray  # byte -> symbol
-    rare_bits: float  # what a byte of the shared symbol costs besides it
+    size: int  # number of symbols; 0 is that of all bytes never seen
     one: np.ndarray  # (context, symbol, language): bits with one byte of context or less
     escape2: np.ndarray  # (context of two, language)
     table3: np.ndarray  # context of two and symbol -> row of rows3; 0: never seen
@@ -72,32 +71,30 @@ class Trees:
         if len(raw) == 0:
             return total
         s = self.symbol[windows(c.fold(raw), offsets)].astype(np.int64)
-        context = self.context3[(s[0] * SYMBOLS + s[1]) * SYMBOLS + s[2]]
-        row = self.table4[context * SYMBOLS + s[3]]
+        context = self.context3[(s[0] * self.size + s[1]) * self.size + s[2]].astype(np.int64)
+        row = self.table4[context * self.size + s[3]]
         each = self.rows4[row]
         miss = np.flatnonzero(row == 0)
         each[miss] = self.escape3[context[miss]] + self.two(s[1][miss], s[2][miss], s[3][miss])
-        if self.rare_bits:
-            each += (self.rare_bits * (s[3] == 0))[:, None].astype(np.float32)
         some = np.flatnonzero(np.diff(offsets) > 0)
         total[some] = np.add.reduceat(each, offsets[:-1][some], axis=0, dtype=np.float64)
         return total
 
     def two(self, b, a, s) -> np.ndarray:
         """Bits of s after b, a with two bytes of context or less."""
-        row = self.table3[(b * SYMBOLS + a) * SYMBOLS + s]
+        row = self.table3[(b * self.size + a) * self.size + s]
         out = self.rows3[row]
         miss = np.flatnonzero(row == 0)
-        out[miss] = self.escape2[b[miss] * SYMBOLS + a[miss]] + self.one[a[miss], s[miss]]
+        out[miss] = self.escape2[b[miss] * self.size + a[miss]] + self.one[a[miss], s[miss]]
         return out
 
 
-def _level(keys: np.ndarray, counts: np.ndarray, language: np.ndarray, n_languages: int):
+def _level(keys: np.ndarray, counts: np.ndarray, language: np.ndarray, n_languages: int, size: int):
     """Sum counts by (key, language); per context of the key (all but its last symbol) totals and escapes."""
     unique, inverse = np.unique(keys, return_inverse=True)
     n = np.zeros((len(unique), n_languages))
     np.add.at(n, (inverse, language), counts)
-    contexts, of = np.unique(unique // SYMBOLS, return_inverse=True)
+    contexts, of = np.unique(unique // size, return_inverse=True)
     total = np.zeros((len(contexts), n_languages))
     kinds = np.zeros_like(total)
     np.add.at(total, of, n)
@@ -112,37 +109,37 @@ def bake(names: list[str], language: np.ndarray, gram: np.ndarray, count: np.nda
     """Trees from (language number, four bytes as one number, count) triples."""
     k = len(names)
     gram, count = gram.astype(np.int64), count.astype(float)
-    frequent = np.argsort(-np.bincount(gram & 255, count, 256), kind="stable")[: SYMBOLS - 1]
-    symbol = np.zeros(256, np.uint8)
-    symbol[np.sort(frequent)] = np.arange(1, SYMBOLS)
+    seen_bytes = np.unique(np.concatenate([(gram >> shift) & 255 for shift in (24, 16, 8, 0)]))
+    size = len(seen_bytes) + 1
+    symbol = np.zeros(256, np.int32)
+    symbol[seen_bytes] = np.arange(1, size)
     g = [symbol[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-    rare_bits = float(np.log2(256 - len(frequent)))
 
-    _, n0, seen0, _, _, escape0 = _level(np.r_[g[3], np.arange(SYMBOLS)], np.r_[count, np.zeros(SYMBOLS)], np.r_[language, np.zeros(SYMBOLS, int)], k)
-    zero = np.where(n0 > 0, seen0, escape0 + np.log2(SYMBOLS))
-    key, n, seen, contexts, of, escape = _level(g[2] * SYMBOLS + g[3], count, language, k)
-    escape1 = np.zeros((SYMBOLS, k))
+    _, n0, seen0, _, _, escape0 = _level(np.r_[g[3], np.arange(size)], np.r_[count, np.zeros(size)], np.r_[language, np.zeros(size, int)], k, size)
+    zero = np.where(n0 > 0, seen0, escape0 + 8)
+    key, n, seen, contexts, of, escape = _level(g[2] * size + g[3], count, language, k, size)
+    escape1 = np.zeros((size, k))
     escape1[contexts] = escape
     one = escape1[:, None, :] + zero[None, :, :]
-    one[key // SYMBOLS, key % SYMBOLS] = np.where(n > 0, seen, one[key // SYMBOLS, key % SYMBOLS])
+    one[key // size, key % size] = np.where(n > 0, seen, one[key // size, key % size])
 
-    key, n, seen, contexts, of, escape = _level((g[1] * SYMBOLS + g[2]) * SYMBOLS + g[3], count, language, k)
-    escape2 = np.zeros((SYMBOLS**2, k))
+    key, n, seen, contexts, of, escape = _level((g[1] * size + g[2]) * size + g[3], count, language, k, size)
+    escape2 = np.zeros((size**2, k))
     escape2[contexts] = escape
-    rows3 = np.where(n > 0, seen, escape[of] + one[(key // SYMBOLS) % SYMBOLS, key % SYMBOLS])
-    table3 = np.zeros(SYMBOLS**3, np.int32)
+    rows3 = np.where(n > 0, seen, escape[of] + one[(key // size) % size, key % size])
+    table3 = np.zeros(size**3, np.int32)
     table3[key] = np.arange(1, len(key) + 1)
     rows3 = np.r_[np.zeros((1, k)), rows3]
-    out = Trees(names, symbol, rare_bits, one.astype(np.float32), escape2.astype(np.float32), table3, rows3.astype(np.float32), *[np.zeros(0)] * 4)
+    out = Trees(names, symbol, size, one.astype(np.float32), escape2.astype(np.float32), table3, rows3.astype(np.float32), *[np.zeros(0)] * 4)
 
-    key, n, seen, contexts, of, escape = _level(((g[0] * SYMBOLS + g[1]) * SYMBOLS + g[2]) * SYMBOLS + g[3], count, language, k)
-    out.context3 = np.zeros(SYMBOLS**3, np.int64)
+    key, n, seen, contexts, of, escape = _level(((g[0] * size + g[1]) * size + g[2]) * size + g[3], count, language, k, size)
+    out.context3 = np.zeros(size**3, np.int32)
     out.context3[contexts] = np.arange(1, len(contexts) + 1)
     out.escape3 = np.r_[np.zeros((1, k)), escape].astype(np.float32)
-    lower = out.two((key // SYMBOLS**2) % SYMBOLS, (key // SYMBOLS) % SYMBOLS, key % SYMBOLS)
+    lower = out.two((key // size**2) % size, (key // size) % size, key % size)
     out.rows4 = np.r_[np.zeros((1, k)), np.where(n > 0, seen, escape[of] + lower)].astype(np.float32)
-    out.table4 = np.zeros((len(contexts) + 1) * SYMBOLS, np.int32)
-    out.table4[(of + 1) * SYMBOLS + key % SYMBOLS] = np.arange(1, len(key) + 1)
+    out.table4 = np.zeros((len(contexts) + 1) * size, np.int32)
+    out.table4[(of + 1) * size + key % size] = np.arange(1, len(key) + 1)
     return out
 
 
@@ -188,12 +185,13 @@ def predict_chunk(trees: Trees | None, texts: pa.Array) -> tuple[list[str], np.n
     n = len(offsets) - 1
     letters = np.diff(np.r_[0, np.cumsum(_ASCII_LETTER[raw])][offsets]) > 0
     for k in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
-        letters[k] = bool(_LETTER.search(raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")))
+        letters[k] = any(map(str.isalpha, raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")))
     if trees is None:
         return ["und"] * n, np.zeros(n)
     bits = trees.bits(raw, offsets)
     best = bits.argmin(1)
-    score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+    behind = (bits - bits.min(1, keepdims=True)) * TEMPER / np.maximum(np.diff(offsets), 1)[:, None]
+    score = 1 / np.exp2(-np.minimum(behind, 1000)).sum(1)
     return [trees.names[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, score, 0.0)
 
 

@@ -4,7 +4,8 @@ Vectors are compared by cosine in double precision; equal vectors are one class
 random directions (one a level, its own in every tree) at the median of the node's sample, and vectors within
 ``SPILL`` of the threshold go to both sides. The forest is fitted on a bounded hash sample of ``SAMPLE`` classes; every
 class is indexed. A node stops splitting when it is expected to hold ``LEAF`` classes or fewer, or when most
-of its sample would spill: such a dense leaf is compared as it is.
+of its sample would spill: such a dense leaf is compared as it is. Where fewer than eight sampled vectors are left,
+the expected size goes on being halved at thresholds that all nodes of a level share, so leaves don't grow with the table.
 
 All pairs in a leaf are verified by matrix products in blocks of ``BLOCK`` rows; leaves beyond a block become
 pairs of blocks, each a unit of its own. No pair is emitted: a unit returns for every vector the number of its
@@ -14,9 +15,12 @@ trees, that both belong to, known from the leaf lists that travel with the vecto
 With ``TREES`` trees the expected recall is above 0.99 at cosine 0.92 and above; tests and the README hold measured
 figures. Links found are never below the threshold.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those of another
-length than the most frequent, link with nothing (n_links 0, component their own id). Rows that share an id and a
-vector are linked copies. A null id isn't compared and has itself (null) as component. Other columns are ignored. An
+Vectors of different lengths have no cosine: each length has a forest of its own, fitted on its part of the sample.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing (n_links 0,
+component their own id). Rows that share a vector are linked copies, also where they share an id. A row with a null id is
+compared and counted like any other; its component is the smallest id reachable, null if there is none, and it is kept
+only then. Other columns are ignored. An
 empty table gives no rows.
 """
 
@@ -44,6 +48,8 @@ class Tree:
     below: list[int]  # the node left of the threshold, its sibling follows; -1: a leaf
     level: list[int]
     leaf: list[int]  # number of the leaf in the forest
+    finer: dict[int, tuple[int, np.ndarray]]  # by first number of a leaf of several: its level, thresholds of the levels below
+    numbers: int = 0  # how many leaves
 
 
 def grow(sample: np.ndarray, total: int, seed: int, first_leaf: int, leaf: int = LEAF, spill: float = SPILL) -> Tree:
@@ -52,8 +58,9 @@ def grow(sample: np.ndarray, total: int, seed: int, first_leaf: int, leaf: int =
     directions = random.standard_normal((DEEPEST, sample.shape[1]))
     directions /= np.linalg.norm(directions, axis=1, keepdims=True)
     share = total / max(len(sample), 1)
-    tree = Tree(directions, [0.0], [-1], [0], [-1])
+    tree = Tree(directions, [0.0], [-1], [0], [-1], {})
     work = [(0, np.arange(len(sample)))]
+    leaves_seen = 0
     while work:
         node, rows = work.pop()
         level = tree.level[node]
@@ -63,7 +70,12 @@ def grow(sample: np.ndarray, total: int, seed: int, first_leaf: int, leaf: int =
             middle = float(np.median(cast))
             split = np.mean(np.abs(cast - middle) <= spill) < DENSE
         if not split:
-            tree.leaf[node] = first_leaf + sum(x >= 0 for x in tree.leaf)
+            tree.leaf[node] = first_leaf + leaves_seen
+            finer = 0 if len(rows) >= 8 or not len(rows) else int(np.ceil(np.log2(max(len(rows) * share / leaf, 1))))
+            finer = min(finer, DEEPEST - level)
+            leaves_seen += 1 << finer
+            if finer:  # an expected leaf beyond ``leaf`` with too few sampled rows for medians of its halves
+                tree.finer[tree.leaf[node]] = (level, np.median(sample[rows] @ directions[level : level + finer].T, axis=0))
             continue
         tree.threshold[node], tree.below[node] = middle, len(tree.level)
         for side in (cast <= middle + spill, cast >= middle - spill):
@@ -72,6 +84,7 @@ def grow(sample: np.ndarray, total: int, seed: int, first_leaf: int, leaf: int =
             tree.below.append(-1)
             tree.level.append(level + 1)
             tree.leaf.append(-1)
+    tree.numbers = leaves_seen
     return tree
 
 
@@ -80,13 +93,23 @@ def leaves(forest: list[Tree], vectors: np.ndarray, spill: float = SPILL) -> lis
     row_parts, leaf_parts = [], []
     for tree in forest:
         deepest = max(tree.level) + 1
-        cast = vectors @ tree.directions[:deepest].T
+        cast = vectors @ tree.directions[: max([deepest, *(level + len(t) for level, t in tree.finer.values())])].T
         threshold, below, leaf = np.array(tree.threshold), np.array(tree.below), np.array(tree.leaf)
         row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
         for level in range(deepest + 1):
             done = below[node] < 0
-            row_parts.append(row[done])
-            leaf_parts.append(leaf[node[done]])
+            ends, numbers = row[done], leaf[node[done]]
+            for name in np.intersect1d(numbers, list(tree.finer)).tolist() if tree.finer else ():
+                inside = ends[numbers == name]
+                ends, numbers = ends[numbers != name], numbers[numbers != name]
+                path = np.zeros(len(inside), np.int64)
+                for further, middle in enumerate(tree.finer[name][1], tree.finer[name][0]):
+                    gap = cast[inside, further] - middle
+                    left, right = gap <= spill, gap >= -spill
+                    inside, path = np.r_[inside[left], inside[right]], np.r_[path[left] * 2, path[right] * 2 + 1]
+                ends, numbers = np.r_[ends, inside], np.r_[numbers, name + path]
+            row_parts.append(ends)
+            leaf_parts.append(numbers)
             row, node = row[~done], node[~done]
             if not len(row):
                 break
@@ -98,14 +121,36 @@ def leaves(forest: list[Tree], vectors: np.ndarray, spill: float = SPILL) -> lis
     return np.split(leaf[order], np.cumsum(np.bincount(row, minlength=len(vectors)))[:-1])
 
 
-def fit(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> list[Tree]:
-    forest, first = [], 0
+def fit(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, first: int = 0) -> list[Tree]:
+    forest = []
     for k in range(trees):
         forest.append(grow(sample, total, 101 + k, first, leaf, spill))
-        first += sum(x >= 0 for x in forest[-1].leaf)
+        first += forest[-1].numbers
+        if forest[-1].numbers == 1:
+            break  # all in one leaf: other trees would be the same
     return forest
 
 
+def fit_lengths(samples: dict[int, np.ndarray], totals: dict[int, int], trees: int, leaf: int, spill: float) -> dict[int, list[Tree]]:
+    """A forest for every length of vectors; leaf numbers are unique over all."""
+    forests, first = {}, 0
+    for d in sorted(totals):
+        forests[d] = fit(samples.get(d, np.zeros((0, d))), totals[d], trees, leaf, spill, first)
+        first += sum(t.numbers for t in forests[d])
+    return forests
+
+
+def placed(forests: dict[int, list[Tree]], vectors: list, spill: float) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(rows, vectors, leaf numbers) of each length among ``vectors``."""
+    size = np.array([len(v) for v in vectors])
+    out = []
+    for d in np.unique(size).tolist():
+        rows = np.flatnonzero(size == d)
+        v = np.array([vectors[k] for k in rows], float)
+        out.append((rows, v, leaves(forests[d], _unit(v), spill)))
+    return out
+
+
 def _met_before(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
     """Do rows of two padded tables of sorted numbers (pads differ) share a number below ``leaf``?"""
     out = np.zeros(len(a), bool)
@@ -165,14 +210,14 @@ def unit_links(leaf: int, rows: dict, least: float):
 _FOUND = "key long, n long, other long"
 
 
-def _verify(dimensions: int, least: float, kind: str):
+def _verify(least: float, kind: str):
     def close(unit, held):
         leaf, inner = unit
         if not held:
             return None
         keys = np.array([r["key"] for r in held])
         rows = {
-            "vector": _unit(np.frombuffer(b"".join(r["vector"] for r in held), kind).reshape(-1, dimensions).astype(float)),
+            "vector": _unit(np.frombuffer(b"".join(r["vector"] for r in held), kind).reshape(len(held), -1).astype(float)),
             "weight": np.array([r["weight"] for r in held]),
             "leaves": [np.frombuffer(r["leaves"], np.int32) for r in held],
             "part": np.array([r["part"] for r in held]),
@@ -212,42 +257,42 @@ def near_duplicates(
     """(id, n_links, component_id, kept) of every row."""
     spark = table.sparkSession
     rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    whole = F.col("v").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(whole, F.lit(False)) & F.exists("v", lambda x: x != 0)
-    shape = rows.where(sound).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    if shape is None:
-        return _alone(rows, id_column)
-    good = F.coalesce(sound & (F.size("v") == shape.d), F.lit(False))
+    good = F.coalesce(sound, F.lit(False))
     # equal vectors are one class; ids may repeat, so it is named by its digest
     digest = F.md5(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))))
     members = rows.where(good).withColumn("digest", digest)
     classes = c.cut_lineage(members.groupBy("digest").agg(F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")).withColumn("key", F.xxhash64("digest")))
     kind = "f4" if dict(table.dtypes)[vector] == "array<float>" else "f8"  # what travels; compared in double
-    total = classes.count()
+    totals = {r["d"]: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}  # a row a length
+    if not totals:
+        return _alone(rows, id_column)
     drawn = classes.orderBy(F.xxhash64("digest", F.lit(5)), "digest").limit(SAMPLE).select("v").toPandas()["v"]
-    sample = _unit(np.stack(drawn.to_numpy()))
-    forest = spark.sparkContext.broadcast(fit(sample, total, trees, leaf, spill))
+    samples = {d: _unit(np.stack([v for v in drawn if len(v) == d])) for d in set(map(len, drawn))}
+    forest = spark.sparkContext.broadcast(fit_lengths(samples, totals, trees, leaf, spill))
+    del drawn, samples
 
     def place(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
-                v = np.array(c.column(part, "v").to_pylist(), float)
-                lists = leaves(forest.value, _unit(v), spill)
-                n = np.array([len(x) for x in lists])
-                at = pa.array(np.repeat(np.arange(len(v)), n))
-                packed = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()).take(at)
-                names = pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary()).take(at)
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(part, "key").take(at), c.column(part, "weight").take(at), pa.array(np.concatenate(lists).astype(np.int32)), packed, names],
-                    ["key", "weight", "leaf", "vector", "leaves"],
-                )
-
-    placed = classes.select("key", "weight", "v").mapInArrow(place, "key long, weight long, leaf int, vector binary, leaves binary")
+                for rows, v, lists in placed(forest.value, c.column(part, "v").to_pylist(), spill):
+                    n = np.array([len(x) for x in lists])
+                    at = pa.array(np.repeat(np.arange(len(v)), n))
+                    packed = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()).take(at)
+                    names = pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary()).take(at)
+                    here = pa.array(np.repeat(rows, n))
+                    yield pa.RecordBatch.from_arrays(
+                        [c.column(part, "key").take(here), c.column(part, "weight").take(here), pa.array(np.concatenate(lists).astype(np.int32)), packed, names],
+                        ["key", "weight", "leaf", "vector", "leaves"],
+                    )
+
+    spread = classes.select("key", "weight", "v").mapInArrow(place, "key long, weight long, leaf int, vector binary, leaves binary")
     light = classes.select("key", "v").mapInArrow(_leaf_only(forest, spill), "leaf int")
     sizes = light.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     units = (
-        placed.join(sizes, "leaf")
+        spread.join(sizes, "leaf")
         .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -255,7 +300,7 @@ def near_duplicates(
     )
     n = c.shuffle_partitions(spark)
     found = c.cut_lineage(
-        units.repartition(n, "leaf", "low", "high").sortWithinPartitions("leaf", "low", "high").mapInArrow(_verify(int(shape.d), least, kind), _FOUND)
+        units.repartition(n, "leaf", "low", "high").sortWithinPartitions("leaf", "low", "high").mapInArrow(_verify(least, kind), _FOUND)
     )
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     joined = c.connected_components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
@@ -271,7 +316,7 @@ def near_duplicates(
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     result = named.join(smallest, "component").select("digest", "n_links", "component_id")
     linked = members.join(result, "digest").select(
-        F.col("id").alias(id_column), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+        F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
     return linked.unionByName(_alone(rows.where(~good), id_column))
 
@@ -285,8 +330,8 @@ def _leaf_only(forest, spill: float):
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
-                lists = leaves(forest.value, _unit(np.array(c.column(part, "v").to_pylist(), float)), spill)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32))], ["leaf"])
+                for _, _, lists in placed(forest.value, c.column(part, "v").to_pylist(), spill):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32))], ["leaf"])
 
     return run
 

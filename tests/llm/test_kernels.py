@@ -26,11 +26,17 @@ def test_shingle_sets_count_distinct_word_sequences():
     assert (sets[1] == sets[7]).all()
 
 
-def test_pack_keeps_six_bytes():
-    x = c.stream(3, 100) & np.uint64((1 << 48) - 1)
+def test_pack_keeps_all_bits():
+    x = c.stream(3, 100)
     assert (jaccard.unpack(jaccard.pack(x)) == x).all()
 
 
+@pytest.mark.parametrize("share", [80, 85, 100])
+def test_size_classes_of_linked_sets_differ_by_one_at_most(share):
+    for n in range(1, 3000):
+        assert jaccard.size_class(n * 100 // share, share) - jaccard.size_class(n, share) in (0, 1)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_trie_links_connect_what_brute_force_connects(seed):
     rng = random.Random(seed)
@@ -69,7 +75,25 @@ def test_repeated_windows(seed):
     count = Counter(p[i : i + least].tobytes() for p in made for i in range(len(p) - least + 1))
     expected = [[i for i in range(len(p) - least + 1) if count[p[i : i + least].tobytes()] > 1] for p in made]
     assert [x.tolist() for x in suffix.repeated_windows(made, least)] == expected
-    assert [x.tolist() for x in suffix.counted_windows(made, least)] == expected
+
+
+def test_halves_hold_every_window_once_and_equal_windows_share_their_key():
+    rng = random.Random(2)
+    core = bytes(rng.randrange(256) for _ in range(600))
+    raws = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 300))) + core + bytes(rng.randrange(256) for _ in range(200)) for _ in range(4)]
+    for level in range(1, 8):
+        keys = {}
+        for doc, raw in enumerate(raws):
+            buffer = np.frombuffer(raw, np.uint8)
+            held = []
+            for x in suffix.segments(buffer, np.array([0, len(raw)]), np.array([doc]), 400):
+                start, n = int(x["start"]), int(x["windows"])
+                for key, _, at, windows in suffix.halved(buffer, start, start + n - 1 + 400, level, 400):
+                    held += range(at, at + windows)
+                    for k in range(at, at + windows):
+                        keys.setdefault(raw[k : k + 400], set()).add(key)
+            assert held == list(range(len(raw) - 399))
+        assert all(len(x) == 1 for x in keys.values())
 
 
 def test_segments_hold_every_window_once():
@@ -116,7 +140,7 @@ def test_toxic_stems_are_learned_from_document_labels():
     assert spans.to_pylist()[0] == [{"start": 6, "end": 13}] and spans.to_pylist()[3] == [{"start": 2, "end": 6}]
 
 
-def slow_bits(train: dict, text: str, name: str, alphabet: dict) -> float:
+def slow_bits(train: dict, text: str, name: str) -> float:
     """Prediction by partial matching, written out for one text; all bytes are symbols of their own here."""
     tables = {k: Counter() for k in range(4)}
     for t in train[name]:
@@ -128,7 +152,7 @@ def slow_bits(train: dict, text: str, name: str, alphabet: dict) -> float:
     for i in range(3, len(raw)):
         for k in (3, 2, 1, 0, -1):
             if k < 0:
-                total += np.log2(language.SYMBOLS)
+                total += 8
                 break
             seen = {g: n for g, n in tables[k].items() if g[:-1] == raw[i - k : i]}
             if not seen:
@@ -139,8 +163,6 @@ def slow_bits(train: dict, text: str, name: str, alphabet: dict) -> float:
                 total -= np.log2(hit / (n + t))
                 break
             total -= np.log2(t / (n + t))
-        if raw[i] not in alphabet:
-            total += np.log2(256 - len(alphabet))
     return total
 
 
@@ -151,13 +173,13 @@ def test_code_lengths_are_exact():
         gram, n = np.unique(language.gram_codes(*c.text_buffer(pa.array(train[name]))), return_counts=True)
         parts.append((np.full(len(gram), k), gram, n))
     trees = language.bake(names, *[np.concatenate(p) for p in zip(*parts)])
-    texts = ["abab", "zyz ab", "", "abcabc\nzz", "caab abba"]
+    texts = ["abab", "zyz ab", "", "abcabc\nzz", "caab abba", "abéß漢 zy"]
     bits = trees.bits(*c.text_buffer(pa.array(texts)))
-    frequent = set(np.flatnonzero(trees.symbol).tolist())
     for row, text in zip(bits, texts):
-        assert np.allclose(row, [slow_bits(train, text, name, frequent) for name in names], atol=1e-3)
-    names_found, score = language.predict_chunk(trees, pa.array(["abab", "123", None, "zyzzy"]))
-    assert names_found == ["x", "und", "und", "y"] and score[1] == 0
+        assert np.allclose(row, [slow_bits(train, text, name) for name in names], atol=1e-3)
+    names_found, score = language.predict_chunk(trees, pa.array(["abab", "123", None, "zyzzy", "½ ² 12", "Ⅷ ①", "漢", "ª"]))
+    assert names_found[:6] == ["x", "und", "und", "y", "und", "und"] and score[1] == 0 and "und" not in names_found[6:]
+    assert 0.5 < score[0] <= 1 and abs(language.predict_chunk(trees, pa.array(["abab " * 50]))[1][0] - language.predict_chunk(trees, pa.array(["abab " * 500]))[1][0]) < 0.01
 
 
 def test_fingerprints():
@@ -228,6 +250,9 @@ def test_forest_finds_near_vectors_once():
             unit = {"vector": v[rows], "weight": np.ones(len(rows), int), "leaves": [lists[r] for r in rows], "part": np.zeros(len(rows), int)}
             counts[rows] += neighbours.unit_links(leaf, unit, 0.9)[0]
     truth = (v @ v.T >= 0.9).sum(1) - 1
+    coarse = neighbours.fit(v[:200], 100_000, leaf=64)  # a table of which only few vectors are in the sample
+    assert any(t.finer for t in coarse) and max(np.bincount(np.concatenate(neighbours.leaves(coarse, v)))) < 200
+    assert all(len(set(x.tolist())) == len(x) and x.max() < sum(t.numbers for t in coarse) for x in neighbours.leaves(coarse, v))
     assert (counts <= truth).all() and counts.sum() >= 0.9 * truth.sum() > 0
 
 

@@ -71,8 +71,43 @@ def test_jaccard_matches_brute_force(docs):
     found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_groups(docs).collect())
     assert found == expected
     assert jaccard.jaccard_groups(empty(docs)).count() == 0
-    kept = jaccard.keep_first(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(1 for a, _, b in expected if a == b)
+
+
+def kept_first(rows, size, share):
+    """Brute force: of rows (id, text, ...) one of each group of linked word sets; all without words."""
+    sets = []
+    for r in rows:
+        w = [x for x in "".join(x.lower() if "A" <= x <= "Z" else x for x in r[1] or "").split() if x]
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    forest = c.Forest(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]):
+                forest.union(i, j)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(forest.find(k), []).append(k)
+    return [[rows[k] for k in g] for g in groups.values()]
+
+
+def test_one_row_of_each_group_stays(docs, spark):
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    a, b = "one two three four five six seven eight nine ten", "red orange yellow green blue indigo violet black white grey"
+    rows += [(301, a, "x"), (302, a, "x"), (302, b, "x"), (305, b.upper(), "x"), (None, a, "y"), (None, b, "y"), (302, b, "z"), (400, "", "x"), (400, "", "x"), (None, None, "x")]
+    rows += [(None, "only without an id " * 3, "p"), (None, "only without an id " * 3, "q")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as gone", "2 as row", "3 as __row", "4 as id").repartition(3)
+    kept = jaccard.keep_first(frame, size=5, share=80)
+    assert kept.columns == frame.columns
+    found = [(r.doc_id, r.text, r.lang) for r in kept.collect()]
+    for group in kept_first(rows, 5, 80):
+        inside = [r for r in found if r in group]
+        if len(group) == 1 or not (group[0][1] or "").split():
+            continue
+        ids = [r[0] for r in group if r[0] is not None]
+        distinct = {r for r in found if r in group}
+        assert len(distinct) == 1 and len(inside) == 1 and inside[0][0] == (min(ids) if ids else None)
+    assert len(found) == sum(1 if (g[0][1] or "").split() else len(g) for g in kept_first(rows, 5, 80))
+    assert jaccard.keep_first(empty(frame)).count() == 0
 
 
 def test_suffix_matches_brute_force(docs):
@@ -90,14 +125,28 @@ def test_suffix_matches_brute_force(docs):
                 gone[i : i + 400] = True
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         expected.append((str(r.doc_id), len(raw), int(gone.sum()), int((gone & np.r_[True, ~gone[:-1]]).sum()) if len(raw) else 0, hashlib.sha256(kept).hexdigest()))
-    found = suffix.repeats(docs).drop("spans").collect()
-    assert sorted((str(r.doc_id), *r[1:]) for r in found) == sorted(expected)
+    found = suffix.repeats(docs).collect()
+    assert sorted((str(r.doc_id), *r[1:5]) for r in found) == sorted(expected)
+    assert all(len(r.spans) == r.n_spans and sum(s.end - s.start for s in r.spans) == r.n_removed for r in found)
+    assert sorted(r.kept_sha256 for r in found) == sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in found)
     assert sum(x[2] for x in expected) > 1000
     assert suffix.repeats(empty(docs)).count() == 0
+    assert suffix.cut_repeats(docs.where("doc_id < 0")).count() == 0
     cut = suffix.cut_repeats(docs, least=250)
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
+def test_keys_of_many_contents_are_split(spark):
+    """One passage in many different surroundings: its key is halved until a task can hold it, the result stays the same."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(380)
+    texts = [noise(rng.randint(0, 90)) + rng.choice("xy") * rng.randint(0, 9) + passage + rng.choice("pq") * rng.randint(0, 30) + noise(90) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    spans = lambda large: sorted((r.doc, sorted((int(s["start"]), int(s["end"])) for s in suffix.merge_spans(np.concatenate([np.frombuffer(x, suffix._SPAN) for x in r.spans])))) for r in suffix.repeated_spans(frame, large=large).collect())
+    assert spans(1 << 30) == spans(2000) != []
+
+
 def test_fingerprints_of_edited_texts(docs):
     found = fingerprint.edited_pairs(docs).collect()
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (-(r.doc_id if r.doc_id is not None else -(1 << 63)), r.text or ""))
@@ -188,9 +237,10 @@ def test_neighbours(spark):
     vectors = [*base.tolist(), *(base + rng.normal(size=base.shape) * 0.05).tolist(), *base[:5].tolist(), (base[0] * 7).tolist()]
     rows = [(k, [float(np.float32(x)) for x in v], "l") for k, v in enumerate(vectors)]
     rows += [(100, None, "l"), (101, [0.0] * 16, "l"), (102, [float("nan")] * 16, "l"), (103, [None] * 16, "l"), (104, [1.0], "l"), (105, [], "l"), (105, rows[0][1], "l"), (None, rows[1][1], "l")]
+    rows += [(106, [1.0, 2.0], "l"), (107, [2.0, 4.0], "l"), (108, [2.0, -1.0], "l"), (None, [0.0, 0.0, 5.0], "l")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
     found = neighbours.near_duplicates(frame, leaf=16).collect()
-    good = [(k, np.array(v, float)) for k, v, _ in rows if k is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(k, np.array(v, float)) for k, v, _ in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
     unit = np.stack([v / np.linalg.norm(v) for _, v in good])
     near = unit @ unit.T >= 0.9
     forest = c.Forest(len(good))
@@ -198,9 +248,10 @@ def test_neighbours(spark):
         forest.union(int(i), int(j))
     least = {}
     for k, (i, _) in enumerate(good):
-        least[forest.find(k)] = min(least.get(forest.find(k), i), i)
-    expected = [(i, int(near[k].sum()) - 1, least[forest.find(k)]) for k, (i, _) in enumerate(good)]
-    expected += [(k, 0, k) for k in (100, 101, 102, 103, 104, 105)]
+        least[forest.find(k)] = min(least.get(forest.find(k), 1 << 40), 1 << 40 if i is None else i)
+    expected = [(i, int(near[k].sum()) - 1, least[forest.find(k)]) for k, (i, _) in enumerate(good) if i is not None]
+    expected += [(k, 0, k) for k in (100, 101, 102, 103, 104, 105, 108)] + [(106, 1, 106), (107, 1, 106)]
+    assert sorted((r.n_links, str(r.component_id), r.kept) for r in found if r.vec_id is None) == [(0, "None", True), (int(near[-1].sum()) - 1, "1", False)]
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in found if r.vec_id is not None) == sorted(expected)
     assert all(r.kept == (r.vec_id == r.component_id) for r in found if r.vec_id is not None)
     assert neighbours.near_duplicates(frame.limit(0)).count() == 0
@@ -235,6 +286,28 @@ def test_pages_of_large_hosts_are_decided_by_the_counts_of_the_host(spark, monke
     assert all(quote in texts[200 + k] for k in range(40))
 
 
+def test_stages_against_brute_force(spark, docs, labels):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = [tuple(r) for r in table.collect()]
+    kept = stages["n-gram Jaccard join"](spark, table, "").collect()
+    groups = kept_first(rows, 5, 80)
+    assert len(kept) == sum(1 if (g[0][1] or "").split() else len(g) for g in groups)
+    passage = " ".join(f"word{k % 10}{k}" for k in range(60))
+    short = " ".join(f"longerwordthanusual{k}" for k in range(14))  # over 200 bytes, far from 50 words
+    texts = [f"first text {passage} and its end", f"another beginning {passage}, other end", f"third {short} x", f"{short} fourth y", None, ""]
+    made = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], table.schema)
+    cut = {r.doc_id: (r.text, r.n_chars) for r in stages["suffix-array dedup"](spark, made, "").collect()}
+    assert cut[0][0].split() == ["first", "text", "and", "its", "end"] or cut[0][0].split()[-2:] == ["its", "end"] and "word33" not in cut[0][0]
+    assert "word33" not in cut[1][0] and cut[2][0] == texts[2] and cut[3][0] == texts[3] and cut[5][0] == "" and len(cut) == 6
+    mixed = stages["mixing sources"](spark, table, "").collect()
+    assert {r.doc_id for r in mixed} <= {r[0] for r in rows} and all(tuple(r) in rows for r in mixed)
+    ids = stages["SentencePiece encoding"](spark, table, "")
+    assert sorted(r.text for r in pieces.decode(ids).collect()) == sorted(r[1] or "" for r in rows)
+
+
 def test_pipeline(spark, tmp_path, docs, labels):
     import corpus_pipeline
 

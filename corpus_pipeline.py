@@ -2,26 +2,28 @@
 
 1. toxicity: documents scored toxic go.
 2. n-gram Jaccard join: five-word shingles at 0.8 or more; one document of each group stays.
-3. suffix-array dedup: passages of ``REPEAT_BYTES`` bytes or more that repeat are cut out of the texts.
+3. suffix-array dedup: passages that repeat, of more than ``REPEAT_WORDS`` words and ``REPEAT_BYTES`` bytes or more, are cut out of
+   the texts.
 4. mixing: sources are replicated towards their target weights; every copy is a row.
 5. SentencePiece: every text becomes piece ids.
 
-The stages in between are written as Parquet and read again, under the shared folder of ``spark.checkpoint.dir``.
-The last returns ids of pieces, so no SQL can express the result: ``ORACLE_SQL`` is None, tests compare the stages
-with brute force.
+The stages in between are written as Parquet and read again, under the shared folder of ``spark.checkpoint.dir``; a
+stage's folder is removed when the next one is written, the last one's stays for the result, which is read lazily.
+The last returns ids of pieces, so no SQL can express the result: ``ORACLE_SQL`` is None, tests compare the second,
+third and fifth stage with brute force.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholion.llm import jaccard, mixing, pieces, suffix, toxicity
+from scholion.llm.common import shared_folder
 
-#: Passages of over 50 words: 50 words of four letters and a space each.
-REPEAT_BYTES = 250
+#: Passages of over 50 words. The byte bound routes the search: 51 words of three letters on average have as many.
+REPEAT_WORDS, REPEAT_BYTES = 50, 200
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
@@ -34,7 +36,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix.cut_repeats(docs, least=REPEAT_BYTES)
+    cut = suffix.cut_repeats(docs, least=REPEAT_BYTES, words=REPEAT_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -58,13 +60,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholion-pipeline-")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}-{k}")
+        docs = spark.read.parquet(f"{folder}-{k}")
+        if before:
+            _remove(spark, before)
+        before = f"{folder}-{k}"
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

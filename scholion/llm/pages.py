@@ -5,16 +5,22 @@ article by their nature (menus, page headers, footers, sidebars, forms, scripts,
 or role (adverts, notices, comments, ...) are left out with all they hold. If blocks stand inside ``article``
 (else ``main``), the page is framed and these are its blocks.
 
-Every page then meets the others of its host. Their token streams are concatenated (exact copies of a page once),
-a suffix array bounded at ``MIN_TOKENS`` finds all substrings of at least that many tokens that distinct pages
-share, and blocks covered by them to ``COVER`` or more are boilerplate. On pages without a frame ``MIN_PAGES`` pages
-are enough. Inside a frame articles quote and repeat each other, so there a substring must be on ``FRAMED_SHARE`` of
-the host's pages (``FRAMED_PAGES`` at least): what the host prints on its articles, not what they have in common. Pages
-whose frame is mostly shared are copies of an article: they aren't counted, and nothing is cut from them.
+Every page then meets the others of its host. Their token streams are concatenated (exact copies of a page once) and
+a suffix array bounded at ``MIN_TOKENS`` names the substrings of that many tokens. Of these a winnowing by hash counts
+some: in every ``WINDOW`` consecutive ones that with the smallest hash, besides the first and last of every block,
+so a shared run of ``MIN_TOKENS + WINDOW - 1`` tokens, and every shared block, is met wherever it stands.
+
+* Substrings on ``MIN_PAGES`` distinct pages cover what is loosely shared. On pages without a frame, blocks covered to
+  ``COVER`` or more are boilerplate.
+* Articles quote and repeat each other, so being shared says little about a run inside a text. A page with ``OWN`` tokens or
+  more that it shares with nobody is a witness; the others are copies of an article or boilerplate only. Runs that
+  are on ``PRINTED`` of the host's witnesses, ``PRINTED_PAGES`` at least, are what the host prints beside different
+  texts. They are cut out of the witnesses, framed or not, and the unique runs around them are kept.
+
 Hosts with more than ``SECTION`` pages are dealt into sections by content, so copies of a page meet, and decided by the same
-counts: every section counts the distinct pages of its substrings (64-bit hashes) once, the counts are added up over the
-host, dealt by hash, and every section gets back which of its substrings the host repeats. The same is done for the
-pages that count inside a frame. What is boilerplate doesn't depend on the number of sections.
+counts: every section counts the distinct pages of its chosen substrings (64-bit hashes) once, the counts are added up over
+the host, dealt by hash, and every section gets back which of its substrings the host repeats; the witnesses' votes
+travel likewise. What is boilerplate doesn't depend on the number of sections.
 
 White space inside a block (no-break spaces too) becomes one space, blocks are trimmed and joined by one line feed;
 table cells and line breaks count as white space. Character references are decoded once.
@@ -32,13 +38,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from scholion.llm import common as c
 
-MIN_TOKENS, MIN_PAGES, COVER, SECTION = 8, 3, 0.8, 2000
-FRAMED_PAGES, FRAMED_SHARE, COPY = 5, 0.6, 0.5
-LARGE_HOSTS, FLUSH, ROWS = 50_000, 4 << 20, 256
+MIN_TOKENS, WINDOW, MIN_PAGES, COVER, SECTION = 8, 8, 3, 0.8, 2000
+PRINTED_PAGES, PRINTED, OWN = 5, 0.6, 16
+LARGE_HOSTS, FLUSH = 50_000, 4 << 20
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript".split())
@@ -224,85 +231,130 @@ def _covered(starts: np.ndarray, length: int = MIN_TOKENS) -> np.ndarray:
     return np.cumsum(change)[: len(starts)] > 0
 
 
-def _mostly(gone: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Blocks that are covered to ``COVER`` or more."""
-    hits = np.diff(np.r_[0, np.r_[0, np.cumsum(gone)][np.cumsum(sizes)]])
-    return (hits >= COVER * sizes) & (hits > 0)
-
-
-def _witnesses(loose: np.ndarray, page_of: np.ndarray, n: int) -> np.ndarray:
-    """Pages less than ``COPY`` of which is shared."""
-    return np.bincount(page_of, loose, n) / np.bincount(page_of, minlength=n) < COPY
+class Stream:
+    """The blocks of pages as one stream of tokens, every page ended by a separator of one token."""
+
+    def __init__(self, pages: pa.Array):
+        pages = pages.combine_chunks() if isinstance(pages, pa.ChunkedArray) else pages
+        many = np.diff(pages.offsets.to_numpy()) + 1
+        place = np.ones(many.sum(), bool)
+        place[np.cumsum(many) - 1] = False
+        order = np.where(place, np.cumsum(place) - 1, place.sum())
+        raw, offsets = c.text_buffer(pa.concat_arrays([pages.flatten().cast(pa.large_string()), pa.array(["\x00"], pa.large_string())]).take(pa.array(order)))
+        raw = np.insert(raw, offsets[1:-1], 32) if len(order) else raw  # blocks hold single spaces: one more ends each
+        start, end, first = c.words(raw, offsets + np.r_[np.arange(len(order)), max(len(order) - 1, 0)])
+        self.pages, self.sizes = len(pages), np.diff(first)  # tokens of every block and separator
+        self.token = c.span_hash(c.prefix_hash(raw), start, end)
+        self.page = np.repeat(np.repeat(np.arange(len(pages), dtype=np.int32), many), self.sizes)
+        self.tokens = np.bincount(self.page, minlength=len(pages)) - 1
+        n = len(self.token)
+        self.after = np.cumsum(self.tokens + 1)[self.page]  # where the next page begins
+        weight, gram = c.stream(MIN_TOKENS, MIN_TOKENS) | c.U(1), np.zeros(n, c.U)
+        with np.errstate(over="ignore"):
+            for k in range(min(MIN_TOKENS, n)):
+                gram[: n - k] += self.token[k:] * weight[k]
+        self.gram = c.mix(gram)  # of the ``MIN_TOKENS`` tokens from here on
+        self.whole = np.arange(n) + MIN_TOKENS < self.after
+        self.chosen = self._winnowed(first)
+
+    def _winnowed(self, first: np.ndarray) -> np.ndarray:
+        """The substrings that are counted, by their content and the block's ends only."""
+        n = len(self.gram)
+        chosen = np.zeros(n, bool)
+        at = np.flatnonzero(self.whole)
+        if len(at):
+            value = np.where(self.whole, self.gram, ~c.U(0))
+            least, best = value.copy(), np.arange(n)
+            for k in range(1, min(WINDOW, n)):
+                better = value[k:] < least[: n - k]
+                least[: n - k][better] = value[k:][better]
+                best[: n - k][better] = np.flatnonzero(better) + k
+            full = self.whole.copy()  # windows inside one page
+            full[: n - WINDOW + 1] &= self.whole[WINDOW - 1 :] & (self.page[: n - WINDOW + 1] == self.page[WINDOW - 1 :]) if n >= WINDOW else False
+            full[max(n - WINDOW + 1, 0) :] = False
+            chosen[best[full]] = True
+            edges = np.r_[first[:-1], first[1:] - MIN_TOKENS]
+            owner = np.r_[first[:-1], first[1:] - 1]
+            inside = (edges >= 0) & (owner < n) & (np.r_[self.sizes, self.sizes] > 0)
+            edges, owner = edges[inside], owner[inside]
+            chosen[edges[self.page[edges] == self.page[owner]]] = True
+        return chosen & self.whole
+
+    def covered(self, starts: np.ndarray) -> np.ndarray:
+        return _covered(starts)
+
+    def near(self, covered: np.ndarray) -> np.ndarray:
+        """Substrings that touch what is covered, or could belong to the same shared run."""
+        wide = np.r_[0, np.cumsum(covered)]
+        at = np.arange(len(covered))
+        return self.whole & (wide[np.minimum(at + MIN_TOKENS + WINDOW, self.after)] > wide[np.maximum(at - WINDOW, self.after - self.tokens[self.page] - 1)])
+
+    def witnesses(self, loose: np.ndarray) -> np.ndarray:
+        """Pages with ``OWN`` tokens or more that they share with nobody."""
+        return self.tokens - np.bincount(self.page, loose, self.pages) >= OWN
+
+    def boilerplate(self, loose: np.ndarray) -> np.ndarray:
+        """Tokens of blocks that are covered to ``COVER`` or more."""
+        hits = np.diff(np.r_[0, np.r_[0, np.cumsum(loose)][np.cumsum(self.sizes)]])
+        return np.repeat((hits >= COVER * self.sizes) & (hits > 0), self.sizes)
+
+    def kept(self, lists: list[list[str]], gone: np.ndarray) -> list[list[str]]:
+        """The blocks without the tokens that go; a block all of which goes is left out."""
+        out, at = [], 0
+        for page in lists:
+            blocks = []
+            for text in page:
+                n = int(self.sizes[at])
+                first = int(self._first[at])
+                at += 1
+                mine = gone[first : first + n]
+                if not mine.any():
+                    blocks.append(text)
+                elif not mine.all():
+                    blocks.append(" ".join(w for w, x in zip(text.split(" "), mine.tolist()) if not x))
+            at += 1
+            out.append(blocks)
+        return out
+
+    @property
+    def _first(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
 
 def _needed(witnesses: int) -> int:
-    return max(FRAMED_PAGES, int(np.ceil(FRAMED_SHARE * witnesses)))
+    return max(PRINTED_PAGES, int(np.ceil(PRINTED * witnesses)))
 
 
-def repeated_blocks(pages: list[list[str]], framed: list[bool] | None = None, length: int = MIN_TOKENS) -> list[list[bool]]:
-    """Per page and block of one host: is it boilerplate?"""
-    framed = [False] * len(pages) if framed is None else framed
-    drop = [[False] * len(p) for p in pages]
+def without_repeats(pages: list[list[str]], framed: list[bool]) -> list[list[str]]:
+    """The blocks of the pages of one host without boilerplate."""
     first: dict[tuple, int] = {}
     copy_of = [first.setdefault((bool(f), *p), k) for k, (p, f) in enumerate(zip(pages, framed))]
     distinct = [k for k in sorted(set(copy_of)) if pages[k]]
     if len(distinct) < MIN_PAGES:
-        return drop
-    names: dict[str, int] = {}
-    tokens, sizes, pages_of = [], [], []  # a block's tokens; a separator of its own ends every page
-    for place, k in enumerate(distinct):
-        for text in pages[k]:
-            words = text.split()
-            tokens += [names.setdefault(w, len(names)) for w in words]
-            sizes.append(len(words))
-            pages_of.append(place)
-        tokens.append(-1 - place)
-        sizes.append(1)
-        pages_of.append(place)
-    stream, sizes, n = np.array(tokens), np.array(sizes), len(distinct)
-    page_of = np.repeat(pages_of, sizes)
-    array, rank = bounded_suffix_array(stream, length)
-    held = np.unique(rank[array] * n + page_of[array])  # (substring, page) once
-    is_framed = np.array([framed[k] for k in distinct])
-
-    def covered(common: np.ndarray) -> np.ndarray:
-        return _covered(common[rank], length)
-
-    loose = covered(np.bincount(held // n, minlength=len(rank)) >= MIN_PAGES)
-    witness = is_framed & _witnesses(loose, page_of, n)
-    strict = covered(np.bincount(held // n, witness[held % n], len(rank)) >= _needed(witness.sum()))
-    gone = np.where(is_framed[page_of], strict & witness[page_of], loose)
-    verdict = _mostly(gone, sizes)
-    begin = np.r_[0, np.cumsum([len(pages[k]) + 1 for k in distinct])]
-    of = {k: verdict[begin[place] : begin[place] + len(pages[k])].tolist() for place, k in enumerate(distinct)}
-    return [of.get(copy_of[k], drop[k]) for k in range(len(pages))]
+        return pages
+    lists = [pages[k] for k in distinct]
+    s = Stream(pa.array(lists, pa.list_(pa.string())))
+    names = np.unique(s.token, return_inverse=True)[1].astype(np.int64)
+    names[s.after - 1] = -1 - s.page  # a separator of its own ends every page
+    _, rank = bounded_suffix_array(names, MIN_TOKENS)
+
+    def pages_of(which: np.ndarray) -> np.ndarray:
+        held = np.unique(rank[which] * s.pages + s.page[which])  # (substring, page) once
+        return np.bincount(held // s.pages, minlength=len(rank))[rank]
+
+    loose = s.covered(s.chosen & (pages_of(s.chosen) >= MIN_PAGES))
+    witness = s.witnesses(loose)
+    votes = s.near(loose) & witness[s.page]
+    printed = s.covered(votes & (pages_of(votes) >= _needed(int(witness.sum()))))
+    is_framed = np.array([framed[k] for k in distinct], bool)[s.page]
+    gone = printed | (~is_framed & s.boilerplate(loose))
+    of = dict(zip(distinct, s.kept(lists, gone)))
+    return [of.get(copy_of[k], pages[k]) for k in range(len(pages))]
 
 
 # ---------------------------------------------------------------- hosts of several sections
 
 
-def _section(pages: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of pages, each one's blocks and a separator of one token: hash of the substring of ``MIN_TOKENS`` tokens from every
-    token on, whether it ends within its page, the page of every token, and tokens a block."""
-    pages = pages.combine_chunks() if isinstance(pages, pa.ChunkedArray) else pages
-    many = np.diff(pages.offsets.to_numpy()) + 1
-    place = np.ones(many.sum(), bool)
-    place[np.cumsum(many) - 1] = False
-    order = np.where(place, np.cumsum(place) - 1, place.sum())
-    raw, offsets = c.text_buffer(pa.concat_arrays([pages.flatten().cast(pa.large_string()), pa.array(["\x00"], pa.large_string())]).take(pa.array(order)))
-    raw = np.insert(raw, offsets[1:-1], 32) if len(order) else raw  # blocks hold single spaces: one more ends each
-    start, end, first = c.words(raw, offsets + np.r_[np.arange(len(order)), max(len(order) - 1, 0)])
-    sizes = np.diff(first)
-    token = c.span_hash(c.prefix_hash(raw), start, end)
-    page_of = np.repeat(np.repeat(np.arange(len(pages), dtype=np.int32), many), sizes)
-    after = np.cumsum(np.bincount(page_of, minlength=len(pages)))[page_of]  # where the next page begins
-    weight, gram = c.stream(MIN_TOKENS, MIN_TOKENS) | c.U(1), np.zeros(len(token), c.U)
-    with np.errstate(over="ignore"):
-        for k in range(min(MIN_TOKENS, len(token))):
-            gram[: len(token) - k] += token[k:] * weight[k]
-    return c.mix(gram), np.arange(len(token)) + MIN_TOKENS < after, page_of, sizes
-
-
 def _counts(gram: np.ndarray, page_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct substrings and on how many pages each is."""
     order = np.lexsort((page_of, gram))
@@ -354,69 +406,53 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 def _printed(table: pa.Table) -> pa.Table:
-    """The substrings of a bucket that the host prints inside its frames."""
-    _, grams, pages = _added(table)
+    """To every section its substrings that the host prints beside different texts."""
+    rows, grams, pages = _added(table)
     printed = grams[pages >= _needed(sum(table["witnesses"].to_pylist()))]
-    return pa.table({"host": table["host"][:1], "printed": pa.array([printed.tobytes()], pa.binary())})
+    back = [x[np.isin(x, printed)].tobytes() for x in rows]
+    return pa.table({"host": table["host"], "section": table["section"], "printed": pa.array(back, pa.binary())})
 
 
 def _joined(packed) -> np.ndarray:
     return np.frombuffer(b"".join(packed), c.U)
 
 
-def _host_wide(large: DataFrame, few: bool, ids: str) -> DataFrame:
+def _host_wide(large: DataFrame, ids: str) -> DataFrame:
     """(copies, text) of the pages of hosts with several sections."""
 
     def count(table: pa.Table) -> pa.Table:
         c.release()
-        gram, whole, page_of, _ = _section(table["blocks"])
-        return _parts(table["host"][0].as_py(), table["section"][0].as_py(), table["sections"][0].as_py(), 0, gram[whole], page_of[whole])
+        s = Stream(table["blocks"])
+        return _parts(table["host"][0].as_py(), table["section"][0].as_py(), table["sections"][0].as_py(), 0, s.gram[s.chosen], s.page[s.chosen])
 
     def decide(table: pa.Table, repeated: pa.Table) -> tuple:
         c.release()
-        framed = np.array(table["framed"].to_pylist(), bool)
-        gram, whole, page_of, sizes = _section(table["blocks"])
-        common = whole & np.isin(gram, _joined(repeated["grams"].to_pylist()))
-        loose = _covered(common)
-        return framed, gram, common, page_of, sizes, loose, framed & _witnesses(loose, page_of, len(framed))
+        s = Stream(table["blocks"])
+        loose = s.covered(s.chosen & np.isin(s.gram, _joined(repeated["grams"].to_pylist())))
+        return s, loose, s.witnesses(loose)
 
     def vote(table: pa.Table, repeated: pa.Table) -> pa.Table:
         table = _distinct(table)
-        _, gram, common, page_of, _, _, witness = decide(table, repeated)
-        held = common & witness[page_of]
-        return _parts(table["host"][0].as_py(), table["section"][0].as_py(), table["sections"][0].as_py(), int(witness.sum()), gram[held], page_of[held])
-
-    def mark(table: pa.Table, repeated: pa.Table) -> pa.Table:
-        framed, _, _, _, sizes, loose, witness = decide(table, repeated)
-        lists = table["blocks"].to_pylist()
-        gone = iter(_mostly(loose, sizes).tolist())
-        drop = [[next(gone) for _ in (*p, None)] for p in lists]
-        kept = [p if f else [b for b, x in zip(p, d) if not x] for p, f, d in zip(lists, framed, drop)]
-        return pa.table({"host": table["host"], "witness": pa.array(witness.tolist(), pa.bool_()), "blocks": pa.array(kept, pa.list_(pa.string())), "copies": table["copies"]})
-
-    def finish(batches):
-        for whole_batch in batches:
-            for begin in range(0, whole_batch.num_rows, ROWS):
-                batch = whole_batch.slice(begin, ROWS)
-                lists, witness = c.column(batch, "blocks").to_pylist(), c.column(batch, "witness").to_pylist()
-                gram, whole, page_of, sizes = _section(c.column(batch, "blocks"))
-                common, at = np.zeros(len(gram), bool), np.cumsum(np.r_[0, np.bincount(page_of, minlength=len(lists))])
-                for k, printed in enumerate(c.column(batch, "printed").to_pylist()):
-                    if witness[k] and printed:
-                        common[at[k] : at[k + 1]] = np.isin(gram[at[k] : at[k + 1]], _joined(printed))
-                gone = iter(_mostly(_covered(common & whole), sizes).tolist())
-                drop = [[next(gone) for _ in (*p, None)] for p in lists]
-                texts = ["\n".join(b for b, x in zip(p, d) if not x) for p, d in zip(lists, drop)]
-                yield pa.RecordBatch.from_arrays([c.column(batch, "copies"), pa.array(texts, pa.string())], ["copies", "text"])
+        s, loose, witness = decide(table, repeated)
+        held = s.near(loose) & witness[s.page]
+        return _parts(table["host"][0].as_py(), table["section"][0].as_py(), table["sections"][0].as_py(), int(witness.sum()), s.gram[held], s.page[held])
+
+    def finish(table: pa.Table, repeated: pa.Table) -> pa.Table:
+        votes = [x for x in repeated["printed"].to_pylist() if x is not None]
+        s, loose, witness = decide(table, repeated.filter(pa.compute.is_valid(repeated["grams"])))
+        printed = s.covered(s.near(loose) & witness[s.page] & np.isin(s.gram, _joined(votes)))
+        framed = np.array(table["framed"].to_pylist(), bool)[s.page]
+        kept = s.kept(table["blocks"].to_pylist(), printed | (~framed & s.boilerplate(loose)))
+        return pa.table({"copies": table["copies"], "text": pa.array(["\n".join(p) for p in kept], pa.string())})
 
     sections = large.groupBy("host", "section")
     repeated = sections.applyInArrow(lambda t: count(_distinct(t)), _PARTS).groupBy("host", "bucket").applyInArrow(_repeated, "host string, section int, grams binary")
     both = sections.cogroup(repeated.groupBy("host", "section"))
-    votes = both.applyInArrow(vote, _PARTS).groupBy("host", "bucket").applyInArrow(_printed, "host string, printed binary")
-    printed = votes.groupBy(F.col("host").alias("of")).agg(F.collect_list("printed").alias("printed"))
-    marked = both.applyInArrow(mark, f"host string, witness boolean, blocks array<string>, copies {ids}")
-    joined = marked.join(F.broadcast(printed) if few else printed, F.col("host") == F.col("of"), "left")
-    return joined.select("witness", "blocks", "copies", "printed").mapInArrow(finish, f"copies {ids}, text string")
+    votes = both.applyInArrow(vote, _PARTS).groupBy("host", "bucket").applyInArrow(_printed, "host string, section int, printed binary")
+    back = repeated.select("host", "section", "grams", F.lit(None).cast("binary").alias("printed")).unionByName(
+        votes.select("host", "section", F.lit(None).cast("binary").alias("grams"), "printed")
+    )
+    return sections.cogroup(back.groupBy("host", "section")).applyInArrow(finish, f"copies {ids}, text string")
 
 
 def _distinct(table: pa.Table) -> pa.Table:
@@ -461,14 +497,13 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page
 
     def clean(table: pa.Table) -> pa.Table:
         lists = table["blocks"].to_pylist()
-        drop = repeated_blocks(lists, table["framed"].to_pylist())
-        texts = ["\n".join(b for b, gone in zip(p, d) if not gone) for p, d in zip(lists, drop)]
-        return pa.table({"copies": table["copies"], "text": pa.array(texts, pa.string())})
+        kept = without_repeats(lists, table["framed"].to_pylist())
+        return pa.table({"copies": table["copies"], "text": pa.array(["\n".join(p) for p in kept], pa.string())})
 
     schema = f"host string, section int, sections int, framed boolean, blocks array<string>, copies {ids}"
     parsed = lambda where: sectioned.where(where).select("id", "url", "host", "sections", "html").mapInArrow(cut, schema)
     small = parsed("sections = 1").groupBy("host", "section").applyInArrow(clean, f"copies {ids}, text string")
-    out = small.unionByName(_host_wide(parsed("sections > 1"), few, ids)).select(F.explode("copies").alias("copy"), "text")
+    out = small.unionByName(_host_wide(parsed("sections > 1"), ids)).select(F.explode("copies").alias("copy"), "text")
     return out.select(F.col("copy.id").alias(id_column), F.col("copy.url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 
 

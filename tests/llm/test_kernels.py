@@ -271,17 +271,55 @@ def test_main_blocks():
 def test_repeated_blocks_need_distinct_pages():
     menu, foot = "Home news sport weather and all other links here", "copyright notice all rights are reserved by us here now"
     made = [[menu, f"own text {k} {k * 7} {k * 13} about something of page {k}", foot] for k in range(4)]
-    assert pages.repeated_blocks(made) == [[True, False, True]] * 4
-    assert pages.repeated_blocks([made[0]] * 5) == [[False] * 3] * 5
-    assert pages.repeated_blocks([]) == []
+    assert pages.without_repeats(made, [False] * 4) == [[m[1]] for m in made]
+    assert pages.without_repeats([made[0]] * 5, [False] * 5) == [made[0]] * 5
+    assert pages.without_repeats([], []) == []
 
 
 def test_framed_pages_lose_what_the_host_prints_only():
     rng = random.Random(1)
-    text = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    text = lambda n=40: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
     notice, quote = "please sign up for our weekly letter to stay informed", "a passage that two or three articles quote word for word here"
-    made = [[text(k), notice, text(k)] + ([quote] if k < 3 else []) for k in range(10)]
-    found = pages.repeated_blocks(made, [True] * 10)
-    assert all(row == [False, True, False, False][: len(row)] for row in found)
-    same = text(0)  # near copies of one article
-    assert not any(map(any, pages.repeated_blocks([[same, same + f" end {k}"] for k in range(9)], [True] * 9)))
+    made = [[text(), notice, text()] + ([quote] if k < 3 else []) for k in range(10)]
+    assert pages.without_repeats(made, [True] * 10) == [[x for x in m if x != notice] for m in made]
+    same = text()  # near copies of one article
+    copies = [[same, same + f" end {k}"] for k in range(9)]
+    assert pages.without_repeats(copies, [True] * 9) == copies
+    long = text(60)  # longer than what stands beside it, and in the middle of a block
+    beside = [(text(20), text(25)) for _ in range(8)]
+    assert pages.without_repeats([[f"{a} {long} {b}"] for a, b in beside], [True] * 8) == [[f"{a} {b}"] for a, b in beside]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_printed_runs_equal_brute_force(seed):
+    """Every token in a substring of eight that most witnesses hold, found by comparing all substrings."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    shared = [text(rng.randint(16, 40)) for _ in range(3)]
+    made = []
+    for _ in range(12):
+        page = [text(rng.randint(1, 30)) for _ in range(3)]
+        for run, often in zip(shared, (0.9, 0.7, 0.3)):
+            if rng.random() < often:
+                page.insert(rng.randrange(len(page) + 1), [*text(rng.randint(0, 3)), *run, *text(rng.randint(0, 3))])
+        made.append([" ".join(b) for b in page])
+    grams = []
+    for page in made:
+        flat = " ".join(page).split(" ")
+        grams.append([tuple(flat[i : i + 8]) for i in range(len(flat) - 7)])
+    count = Counter(g for page in grams for g in set(page))
+    covers = lambda page, least: {i + k for i, g in enumerate(page) if count[g] >= least for k in range(8)}
+    sizes = [len(" ".join(page).split(" ")) for page in made]
+    witness = [n - len(covers(g, 3)) >= pages.OWN for n, g in zip(sizes, grams)]
+    votes = Counter(g for page, ok in zip(grams, witness) for g in set(page) if ok)
+    needed = pages._needed(sum(witness))
+    expected = []
+    for page, gram, ok in zip(made, grams, witness):
+        gone, at, kept = {i + k for i, g in enumerate(gram) if ok and count[g] >= 3 and votes[g] >= needed for k in range(8)}, 0, []
+        for block in page:
+            left = [w for k, w in enumerate(block.split(" "), at) if k not in gone]
+            at += len(block.split(" "))
+            kept += [" ".join(left)] if left else []
+        expected.append(kept)
+    assert any(expected[k] != made[k] for k in range(12)) and pages.without_repeats(made, [True] * 12) == expected

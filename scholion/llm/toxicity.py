@@ -1,7 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; marginals make document scores.
 
-Fitting takes a bounded sample of labelled documents (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents, the ones
-with the smallest hash of their id, texts up to ``SAMPLE_CHARS`` characters). Labels mark documents, so token
+Fitting takes a bounded sample of labelled documents: in the order of a hash of their id, up to ``SAMPLE_TOXIC`` toxic and
+``SAMPLE_CLEAN`` clean ones, each class within its budget of ``SAMPLE_BYTES``; a text that doesn't fit into what is left of
+the budget leaves its place to the next. Texts are taken whole, long ones too. Labels mark documents, so token
 labels come first: a token is toxic if its word or one of its prefixes occurs in toxic documents
 significantly more often than in clean ones (log-likelihood ratio). The field is then trained on the labelled
 tokens of whole sentences, and a logistic curve maps a document's marginals to its score.
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from scholion.llm import common as c
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1800, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2200
+SAMPLE_BYTES = {1: 3 << 20, 0: 5 << 20}
+FIT_CHUNK = 1 << 19  # bytes tokenized at once in fitting: the driver holds tokens, not their hashes' steps
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7)
 SCORE_LIMIT = 0.7
@@ -70,6 +73,22 @@ def tokenize(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(start, end, np.searchsorted(start, offsets), seq, keys)
 
 
+def tokenize_all(texts: list[str]) -> Tokens:
+    """Tokens of all texts, tokenized in chunks; places in the text aren't kept."""
+    parts, at = [], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= FIT_CHUNK):
+            size += len(texts[to])
+            to += 1
+        parts.append(tokenize(*c.text_buffer(pa.array(texts[at:to], pa.large_string()))))
+        at = to
+    base = np.cumsum([0, *(p.keys.shape[1] for p in parts)])
+    join = lambda name: np.concatenate([*(getattr(p, name)[:-1] + b for p, b in zip(parts, base)), base[-1:]])
+    none = np.zeros(0, np.int64)
+    return Tokens(none, none, join("doc"), join("seq"), np.concatenate([p.keys for p in parts], axis=1))
+
+
 @dataclass
 class Crf:
     """Two states, clean and toxic. weights: the toxic state's lead by feature; step[i, j]: score of j after i."""
@@ -251,7 +270,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Crf | None:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    tokens = tokenize(*c.text_buffer(pa.array(texts, pa.large_string())))
+    tokens = tokenize_all(texts)
     model = train_field(tokens, token_labels(tokens, toxic))
     p = marginals(model.lead(tokens.keys), tokens.seq, model.step)
     model.curve = logistic(document_features(p, tokens.doc), toxic.astype(float))
@@ -312,13 +331,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text: st
         ids += known.where(F.col("y") == y).orderBy("order", "sample_id").limit(most).select("sample_id", "y").collect()
     if not ids:
         return pd.DataFrame({"text": [], "y": []})
-    chosen = spark.createDataFrame([(r.sample_id, r.y) for r in ids], known.select("sample_id", "y").schema)
+    schema = known.select("sample_id", "y").schema
+    body = docs.select(F.col(id_column).alias("sample_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    drawn = F.broadcast(spark.createDataFrame([(r.sample_id, r.y) for r in ids], schema))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
+    size = {r.sample_id: r.n for r in body.join(drawn, "sample_id").groupBy("sample_id").agg(F.max(F.octet_length("text")).alias("n")).collect()}
+    left, fits = dict(SAMPLE_BYTES), []
+    for r in ids:
+        if r.sample_id in size and size[r.sample_id] <= left[r.y]:
+            left[r.y] -= size[r.sample_id]
+            fits.append((r.sample_id, r.y))
+    if not fits:
+        return pd.DataFrame({"text": [], "y": []})
+    chosen = F.broadcast(spark.createDataFrame(fits, schema))
     return (
-        docs.select(F.col(id_column).alias("sample_id"), F.col(text).alias("text"))
-        .where(F.length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(chosen), "sample_id")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
+        body.join(chosen, "sample_id")
         .groupBy("sample_id")
-        .agg(F.max("text").alias("text"), F.max("y").alias("y"))
+        .agg(F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text"), F.max("y").alias("y"))
         .orderBy("sample_id")
         .select("text", "y")
         .toPandas()

@@ -16,9 +16,10 @@ A document's set holds its distinct 4-word shingles (A-Z folded) as 64-bit hashe
    First come blocks of classes that share their smallest shingle under one of ``ROUTES`` hash functions, large
    blocks salted; this joins nearly all groups.
 4. Exact completion: linked sets share a shingle among their first |x| - ceil(0.85 |x|) + 1 in the common order.
-   Its holders meet in cells by size: sizes of linked sets differ by a factor of 100/85 at most, so each set is in the cell
-   of its size class and in the next. Cells whose sets already are one component can't add a link; each other one
-   (once for equal lists) is a block; blocks beyond ``BLOCK`` sets are cut into all pairs of parts. No cap anywhere.
+   Shingles whose holders already are one component can't add a link; the holders of each other one (once for
+   equal lists) meet in a block. Beyond ``BLOCK`` holders they meet in cells by size: sizes of linked sets differ by a
+   factor of 100/85 at most, so each set is in the cell of its size class and in the next. Cells are judged like
+   shingles, and one that still is beyond ``BLOCK`` sets is cut into all pairs of parts. No cap anywhere.
 5. Components of links between classes, on the cluster.
 
 Defined results: texts without words have the empty set and link with nothing (component: their id); with fewer
@@ -308,7 +309,7 @@ def _meet(rows: DataFrame, share: int) -> DataFrame:
 
 
 def _prefixes(share: int):
-    """Classes (key, n, tokens) -> (key, level, shingle) of every shingle of the prefix, at the class of the set's size and the next."""
+    """Classes (key, n, tokens) -> (key, level, shingle) of every shingle of the prefix, with the set's size class."""
 
     def run(batches):
         for batch in batches:
@@ -316,16 +317,28 @@ def _prefixes(share: int):
             for key, n, raw in zip(*(c.column(batch, x).to_pylist() for x in ("key", "n", "tokens"))):
                 tokens = unpack(raw)
                 first = tokens[: len(tokens) - int(least_overlap(n, share)) + 1].astype(np.int64)
-                level = size_class(n, share)
-                keys.append(np.full(2 * len(first), key, np.int64))
-                levels.append(np.repeat(np.array([level, level + 1], np.int32), len(first)))
-                shingles += [first, first]
+                keys.append(np.full(len(first), key, np.int64))
+                levels.append(np.full(len(first), size_class(n, share), np.int32))
+                shingles.append(first)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, levels, shingles)], ["key", "level", "shingle"])
 
     return run
 
 
+def _mixed(holders: DataFrame, cell: list[str]) -> DataFrame:
+    """Cells (of ``cell``, members) whose sets aren't one component yet."""
+    found = holders.groupBy(cell).agg(
+        F.min("joined").alias("low"), F.max("joined").alias("high"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("list")
+    )
+    return found.where("low <> high").drop("low", "high")
+
+
+def _once(cells: DataFrame, cell: list[str]) -> DataFrame:
+    """One of the cells with the same list of sets."""
+    return cells.groupBy("list", "members").agg(F.min(F.struct(cell)).alias("cell")).select("members", "cell.*")
+
+
 def size_class(n: int, share: int = SHARE) -> int:
     """A number that grows with n; of linked sets it differs by one at most."""
     level, bound = 0, 1
@@ -372,16 +385,13 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     # exact completion
     cell = ["shingle", "level"]
     holders = sets.mapInArrow(_prefixes(share), "key long, level int, shingle long").join(state, "key")
-    mixed = (
-        holders.groupBy(cell)
-        .agg(F.min("joined").alias("low"), F.max("joined").alias("high"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("list"))
-        .where("low <> high")
-        .groupBy("list", "members")
-        .agg(F.min(F.struct(cell)).alias("cell"))
-        .select("members", "cell.*")
-    )
+    mixed = c.cut_lineage(_mixed(holders, ["shingle"]), free=True)
+    whole = holders.drop("level").join(_once(mixed.where(F.col("members") <= BLOCK), ["shingle"]), "shingle").withColumn("level", F.lit(-1))
+    large = holders.join(mixed.where(F.col("members") > BLOCK).select("shingle"), "shingle").withColumn("level", F.explode(F.array("level", F.col("level") + 1)))
+    sized = large.join(_once(_mixed(large, cell), cell), cell)
+    names_of = ["key", "joined", *cell, "members"]
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    cells = holders.join(mixed, cell).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", "shingle"), F.col("parts")).cast("int"))
+    cells = whole.select(names_of).unionByName(sized.select(names_of)).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key", "shingle"), F.col("parts")).cast("int"))
     cells = cells.select("key", "joined", *cell, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = cells.select("key", "joined", F.xxhash64(*cell, F.least("part", "other"), F.greatest("part", "other")).alias("block"))
     more = c.cut_lineage(_meet(cells.join(sets, "key"), share), free=True)

@@ -52,7 +52,7 @@ def empty(df):
     return df.limit(0)
 
 
-def test_jaccard_matches_brute_force(docs):
+def test_jaccard_matches_brute_force(docs, monkeypatch):
     rows = docs.select("doc_id", "text").collect()
     sets = []
     for r in rows:
@@ -71,6 +71,10 @@ def test_jaccard_matches_brute_force(docs):
     found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_groups(docs).collect())
     assert found == expected
     assert jaccard.jaccard_groups(empty(docs)).count() == 0
+    monkeypatch.setattr(jaccard, "BLOCK", 3)  # nearly every shared shingle is beyond a block
+    monkeypatch.setattr(jaccard, "ROUTES", 0)
+    monkeypatch.setattr(jaccard, "_ROUTE_SALT", jaccard._ROUTE_SALT[:1])
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_groups(docs).collect()) == expected
 
 
 def kept_first(rows, size, share):

@@ -627,3 +627,7 @@ def same_publication(spark, d):
 @query()
 def lint_queries(spark, d):
     return query_plan.example_lint(spark)
+
+
+# the other modules register themselves
+from scholion import catalogue_records  # noqa: E402, F401

@@ -181,3 +181,26 @@ def candidate_key(title_column: str, fallback: Column) -> Column:
     """The title key from 20 characters on, else a key of its own."""
     name = n.title(title_column)
     return F.when(F.length(name) >= 20, F.concat(F.lit("title:"), name)).otherwise(fallback)
+
+
+def union_candidates(rows: DataFrame, record: str, place: str, fields: list[str]) -> DataFrame:
+    """One row a record and request (address, kind, referer), its fields filled by the first that has them."""
+    from scholion.functions.records import request_key
+
+    keyed = rows.withColumn("__request", request_key("url", "kind", "referer")).where("__request.url <> ''")
+    filled = [F.coalesce(F.min(F.when(F.coalesce(F.col(x), F.lit("")) != "", F.struct(place, x)))[x], F.lit("")).alias(x) for x in fields]
+    return keyed.groupBy(record, "__request").agg(F.min(place).alias("first"), *filled).select(record, "__request.*", "first", *fields)
+
+
+#: What a filter by type may ask for.
+ARTICLE_TYPES = ("research", "review", "case_report", "letter", "editorial", "preprint", "unknown")
+
+
+def types_first(rows: DataFrame, type_column: str, wanted: list[str], order: str, k: int) -> DataFrame:
+    """The first k rows of a wanted or unknown type, wanted ones before unknown ones, each in its order."""
+    if not set(wanted) <= set(ARTICLE_TYPES):
+        raise ValueError(f"unsupported types: {sorted(set(wanted) - set(ARTICLE_TYPES))}")
+    kept = rows.where(F.col(type_column).isin(*wanted, "unknown"))
+    unknown = (F.col(type_column) == "unknown") & F.lit("unknown" not in wanted)
+    top = kept.withColumn("__later", unknown).orderBy("__later", order).limit(k)
+    return top.withColumn("place", F.row_number().over(W.orderBy("__later", order)).cast("long")).drop("__later")  # k rows

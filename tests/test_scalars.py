@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion.functions import normalize as n
-from scholion.operators import families, graph, metrics, reading, resolve, shredding
+from scholion.operators import authors, clinical, families, graph, metrics, reading, resolve, shredding
 from scholion.plans import query_plan
 
 
@@ -145,12 +145,57 @@ def test_jats():
     assert shredding.shred_jats(JATS, "PMC2") == [] == shredding.shred_jats("<!DOCTYPE a [<!ENTITY x 'y'>]><article/>") == shredding.shred_jats("<broken")
 
 
-def test_authors_and_effects():
-    assert families.match_authors(["Anna Leeson", "Bob Chandler"], ["Leeson A", "Chandler B"])["compatible"]
-    assert families.match_authors(["Anna Leeson"], ["Cidney Moerk"])["disjoint"]
-    found = families.effects(families.EXAMPLES[0][1])
+ABSTRACT = (
+    "Methods: A total of 1,200 adults with acute kidney injury were studied from 2015 to 2018. Results: sodium >= 145 was associated with death "
+    "(OR = 2.195, 95% CI: 1.4–3.2); sodium <= 130 was not (odds ratio 0.365, 95% CI 0.2-0.9). NCT01234567."
+)
+
+
+def test_author_names_match_once():
+    assert authors.agreement(["Anna Leeson", "Bob Chandler"], ["Leeson A", "Chandler B"])["compatible"]
+    assert authors.agreement(["Anna Leeson"], ["Cidney Moerk"])["disjoint"] and not authors.agreement([], ["X Y"])["disjoint"]
+    assert authors.agreement(["Lee A", "Lee B", "Lee C"], ["Lee A"])["matched"] == 1
+
+
+def test_matching_is_maximum():
+    rng = random.Random(3)
+
+    def slow(reach, used):
+        if not reach:
+            return 0
+        return max([slow(reach[1:], used)] + [1 + slow(reach[1:], used | {j}) for j in reach[0] if j not in used])
+
+    for _ in range(300):
+        n, m = rng.randint(0, 5), rng.randint(0, 5)
+        reach = [[j for j in range(m) if rng.random() < 0.4] for _ in range(n)]
+        assert authors.maximum_matching(reach, m) == slow(reach, frozenset())
+
+
+def test_cohorts_and_effects():
+    found = clinical.effects(ABSTRACT)
     assert [(e["statistic"], e["point"], e["low"], e["high"], e["stratum"]) for e in found] == [("or", "2.195", "1.4", "3.2", "sodium>=145"), ("or", "0.365", "0.2", "0.9", "sodium<=130")]
-    assert families.effects(families.EXAMPLES[1][1]) == [] and families.cohort(families.EXAMPLES[0][1])["sizes"] == ["1200"]
+    made = clinical.cohort(ABSTRACT)
+    assert made["sizes"] == ["1200"] and made["windows"] == ["2015-2018"] and made["trials"] == ["nct01234567"] and made["population"]["age"] == ["adult"]
+    assert clinical.cohort("Patients with acute kidney injury were seen.")["conditions"] == [["acute", "injury", "kidney"]]
+    assert clinical.cohort("We included 80 children; 75 patients were analysed. Sample size (n = 80)")["sizes"] == ["75", "80"]
+    outside = "The hazard ratio was 1.5 (95 % CI 2.0 to 3.0), outside its interval."
+    assert clinical.effects(outside) == [] == clinical.effects(None) and clinical.cohort(None)["sizes"] == []
+    assert clinical.effects("MD -2.1 (95% CI -3.2 to -1.0)")[0]["point"] == "-2.1"
+    one = clinical.compare(ABSTRACT, ABSTRACT)
+    assert one["conflicts"] == [] and clinical.compare(ABSTRACT, ABSTRACT.replace("1,200 adults", "900 children"))["conflicts"] == ["sizes", "population_age"]
+
+
+def test_diagnostics_agree_with_their_rules():
+    code = lambda q, s="pubmed": [(e["code"], e["offset"]) for e in query_plan.lint(q, s)["errors"]]
+    assert code("(a OR b) AND") == [("trailing_boolean_operator", 9)] and code("a AND (b OR )") == [("trailing_boolean_operator", 9)]
+    assert code('"a AND') == [("unclosed_quote", 0)] and code("a) [b") == [("unmatched_closing_delimiter", 1), ("unclosed_delimiter", 3)]
+    assert code(r"a \( b") == [] and code("BAND OR ANDY") == [] and code('a OR "AND"') == []
+    warn = lambda q, s: [e["code"] for e in query_plan.lint(q, s)["warnings"]]
+    assert warn("a[ti] AND b OR c", "pubmed") == ["mixed_boolean_precedence_requires_review"] and warn("a[zz]", "pubmed") == ["field_requires_provider_verification"]
+    assert warn("TITLE:a AND (FOO:b OR c)", "europe_pmc") == ["field_requires_provider_verification"]
+    with pytest.raises(query_plan.PlanError) as found:
+        query_plan.validate(PLAN | {"extra": 1})
+    assert found.value.where == "plan"
 
 
 def test_abstract_evidence(spark):

@@ -283,7 +283,7 @@ SELECT count(*) AS returned, count(*) FILTER (relevant) AS relevant_at_k, count(
 FROM top, total"""
 )
 def eval_at_k(spark, d):
-    return metrics.evaluate_at_k(judged(spark, d), 100, [F.desc("n_chars"), "doc_id"], work="doc_id")
+    return metrics.evaluate_at_k(judged(spark, d), 100, [-F.col("n_chars"), F.col("doc_id")], work="doc_id")
 
 
 _FINAL = f"""{_ATTEMPTS}, final AS (SELECT record_id, arg_max(outcome, event_id) AS status, arg_max(host, event_id) AS host, count(*) AS attempts FROM attempts GROUP BY record_id)"""
@@ -630,4 +630,4 @@ def lint_queries(spark, d):
 
 
 # the other modules register themselves
-from scholion import catalogue_records, catalogue_scans  # noqa: E402, F401
+from scholion import catalogue_records, catalogue_runs, catalogue_scans  # noqa: E402, F401

@@ -83,9 +83,59 @@ def uncovered(offered: DataFrame, covered: DataFrame, key: str) -> DataFrame:
 
 
 def cumulative_cover(receipts: DataFrame, chain: str, order: str, covered: str) -> DataFrame:
-    """Union of what has been covered up to each receipt of a chain."""
+    """What has been covered up to each receipt of a chain. A running set of distinct chunks: only a chunk's first receipt
+    carries it, so what a window adds up is as large as the chain's chunks, not their square."""
+    flat = receipts.select(chain, order, F.explode(covered).alias("__item"))
+    first = flat.groupBy(chain, "__item").agg(F.min(order).alias(order)).groupBy(chain, order).agg(F.collect_list("__item").alias("__new"))
     window = W.partitionBy(chain).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return receipts.withColumn("covered_so_far", F.array_sort(F.array_distinct(F.flatten(F.collect_list(covered).over(window)))))
+    joined = receipts.join(first, [chain, order], "left")
+    return joined.withColumn("covered_so_far", F.array_sort(F.flatten(F.collect_list(F.coalesce("__new", F.array().cast(dict(receipts.dtypes)[covered]))).over(window)))).drop("__new")
+
+
+def next_pack(chunks: DataFrame, offered: DataFrame, covered: DataFrame, document: str, pos: str, length: str, most: int = PACK) -> DataFrame:
+    """The next chunks of the documents whose offered chunks all have a receipt; documents with an open one give none."""
+    keys = [document, pos]
+    open_ = offered.join(covered.select(*keys).distinct(), keys, "left_anti").select(document).distinct()
+    last = offered.groupBy(F.col(document).alias("__document")).agg(F.max(pos).alias("__last"))
+    rest = chunks.join(open_, document, "left_anti").join(last, F.col(document) == F.col("__document"), "left").where(F.col(pos) > F.coalesce("__last", F.lit(-1)))
+    return pack(rest.drop("__document", "__last"), document, pos, length, most)
+
+
+def receipt_faults(receipts: DataFrame, receipt: str, previous: str, digest: str, claimed: str) -> DataFrame:
+    """(receipt, fault) of chains that can't be trusted: a digest that differs, a predecessor that isn't there, is claimed
+    twice, or leads back to the receipt (found by following chains at doubled distance)."""
+    from scholion.session import cut_lineage
+
+    known = receipts.select(F.col(receipt).alias("__known"))
+    changed = receipts.where(~F.col(digest).eqNullSafe(F.col(claimed))).select(receipt, F.lit("changed").alias("fault"))
+    missing = receipts.where(F.col(previous).isNotNull()).join(known, F.col(previous) == F.col("__known"), "left_anti").select(receipt, F.lit("missing_predecessor").alias("fault"))
+    twice = receipts.where(F.col(previous).isNotNull()).groupBy(F.col(previous).alias("__p")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    forked = receipts.join(twice, F.col(previous) == F.col("__p")).select(receipt, F.lit("forked").alias("fault"))
+    step = receipts.select(F.col(receipt).alias("r"), F.col(previous).alias("p"))
+    for _ in range(max(1, receipts.count()).bit_length()):  # after as many doublings every chain has ended, unless it is a circle
+        step = cut_lineage(step.join(step.select(F.col("r").alias("p"), F.col("p").alias("q")), "p", "left").select("r", F.col("q").alias("p")))
+    circle = step.where("p is not null").join(known, F.col("p") == F.col("__known"), "left_semi").select(F.col("r").alias(receipt), F.lit("circle").alias("fault"))
+    return changed.unionByName(missing).unionByName(forked).unionByName(circle)
+
+
+def element_text(kind: str, text: str, caption: str, rows: str) -> Column:
+    """What is read of an element: its text, and a table's caption and cells as JSON behind it."""
+    table = F.to_json(F.struct(F.col(caption).alias("caption"), F.col(rows).alias("rows")))
+    return F.when(F.col(kind) == "table", F.concat_ws("\n", F.nullif(F.col(text), F.lit("")), table)).otherwise(F.col(text))
+
+
+def locator(chunks: DataFrame, document: str, source_sha: str, text: str, start: str, end: str) -> DataFrame:
+    """Where a passage stands: digests of its source and of its own text with the range of characters."""
+    return chunks.select(document, F.col(source_sha).alias("source_sha256"), F.sha2(F.col(text), 256).alias("text_sha256"), F.col(start).alias("char_start"), F.col(end).alias("char_end"))
+
+
+def missing_pages(wanted: DataFrame, done: DataFrame, document: str, page: str, most: int) -> DataFrame:
+    """The next pages of each document that aren't extracted yet, at most ``most`` a document, numbered on."""
+    open_ = wanted.select(document, page).join(done.select(document, page), [document, page], "left_anti")
+    ranked = open_.withColumn("place", F.row_number().over(W.partitionBy(document).orderBy(page)))  # pages of one document
+    last = done.groupBy(F.col(document).alias("__document")).agg(F.count(F.lit(1)).alias("__done"))
+    joined = ranked.where(F.col("place") <= most).join(last, F.col(document) == F.col("__document"), "left")
+    return joined.select(document, page, (F.coalesce("__done", F.lit(0)) + F.col("place")).cast("long").alias("number"))
 
 
 def rebuild_inverted(index: DataFrame, document: str, word: str, positions: str) -> DataFrame:

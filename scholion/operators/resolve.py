@@ -204,3 +204,46 @@ def types_first(rows: DataFrame, type_column: str, wanted: list[str], order: str
     unknown = (F.col(type_column) == "unknown") & F.lit("unknown" not in wanted)
     top = kept.withColumn("__later", unknown).orderBy("__later", order).limit(k)
     return top.withColumn("place", F.row_number().over(W.orderBy("__later", order)).cast("long")).drop("__later")  # k rows
+
+
+def library_plan(records: DataFrame, items: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, action, reason, item) of each record against a library: the same DOI exists; the same title exists, unless both
+    have DOIs that differ, which needs a look; everything else is created (a fuzzy title is looked for among those)."""
+    dois = items.where("doi <> ''").groupBy(F.col("doi").alias("__doi")).agg(F.min(item).alias("__by_doi"))
+    titles = items.withColumn("__t", n.title("title")).where("__t <> ''").groupBy("__t").agg(
+        F.min(item).alias("__by_title"), F.min_by("doi", item).alias("__its_doi")
+    )
+    rows = records.withColumn("__nt", n.title("title")).join(dois, F.col("doi") == F.col("__doi"), "left").join(titles, F.col("__nt") == F.col("__t"), "left")
+    conflict = (F.col("doi") != "") & (F.coalesce("__its_doi", F.lit("")) != "") & (F.col("doi") != F.col("__its_doi"))
+    action = F.when(F.col("__by_doi").isNotNull(), "exists").when(F.col("__by_title").isNotNull() & conflict, "review").when(F.col("__by_title").isNotNull(), "exists").otherwise("create")
+    reason = F.when(F.col("__by_doi").isNotNull(), "doi").when(F.col("__by_title").isNotNull() & conflict, "title_doi_conflict").when(F.col("__by_title").isNotNull(), "title").otherwise("no_match")
+    return rows.select(key, action.alias("action"), reason.alias("reason"), F.coalesce("__by_doi", "__by_title").alias("item"))
+
+
+def find_collections(wanted: DataFrame, collections: DataFrame, name: str = "name", key: str = "key") -> DataFrame:
+    """(wanted, key, matches): ``key:K`` names a collection exactly, other text by its name whatever the case, if only one has it."""
+    exact = F.when(F.col("wanted").startswith("key:"), F.substring("wanted", 5, 1000))
+    rows = wanted.select("wanted", exact.alias("__exact"), F.lower(F.trim("wanted")).alias("__folded"))
+    held = collections.select(F.col(key).alias("__key"), F.lower(F.trim(name)).alias("__name"))
+    by_key = rows.where("__exact is not null").join(held, F.col("__exact") == F.col("__key"), "left")
+    by_name = rows.where("__exact is null").join(held, F.col("__folded") == F.col("__name"), "left")
+    found = by_key.unionByName(by_name).groupBy("wanted").agg(F.count("__key").alias("matches"), F.min("__key").alias("key"))
+    return found.select("wanted", F.when(F.col("matches") == 1, F.col("key")).alias("key"), "matches")
+
+
+def union_population(records: DataFrame, attempts: DataFrame, key: str, node: str, strong: tuple[str, ...] = ("doi", "pmid", "pmcid")) -> DataFrame:
+    """(node, key, origin, legacy_attempts, identity_conflict): records with the earlier attempts of the same key that don't
+    contradict them; attempts that do, or that have no record, stay as rows of their own."""
+    differ = F.lit(False)
+    for x in strong:
+        differ = differ | ((F.coalesce(f"r_{x}", F.lit("")) != "") & (F.coalesce(f"a_{x}", F.lit("")) != "") & (F.col(f"r_{x}") != F.col(f"a_{x}")))
+    mine = records.select(F.col(key).alias("__k"), F.col(node).alias("__node"), *[F.col(x).alias(f"r_{x}") for x in strong])
+    theirs = attempts.select(F.col(key), F.col(node).alias("__attempt"), *[F.col(x).alias(f"a_{x}") for x in strong])
+    pairs = theirs.join(mine, F.col(key) == F.col("__k"), "left").withColumn("__fits", F.col("__node").isNotNull() & ~differ)
+    by_attempt = pairs.groupBy("__attempt", key).agg(F.min(F.when(F.col("__fits"), F.col("__node"))).alias("__into"), F.count("__node").alias("__near"))
+    counts = by_attempt.where("__into is not null").groupBy(F.col("__into").alias("__n")).agg(F.count(F.lit(1)).alias("legacy_attempts"))
+    clash = by_attempt.where("__into is null and __near > 0").select(F.col(key).alias("__clash")).distinct()
+    kept = records.select(F.col(node), key).join(counts, F.col(node) == F.col("__n"), "left").join(clash, F.col(key) == F.col("__clash"), "left")
+    kept = kept.select(node, key, F.lit("record").alias("origin"), F.coalesce("legacy_attempts", F.lit(0)).alias("legacy_attempts"), F.col("__clash").isNotNull().alias("identity_conflict"))
+    own = by_attempt.where("__into is null").select(F.col("__attempt").alias(node), key, F.lit("attempt").alias("origin"), F.lit(0).cast("long").alias("legacy_attempts"), (F.col("__near") > 0).alias("identity_conflict"))
+    return kept.unionByName(own)

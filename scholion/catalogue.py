@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from scholion.functions import normalize as n
-from scholion.operators import clinical, families, graph, metrics, reading, resolve, shredding
+from scholion.operators import families, graph, metrics, reading, resolve, shredding
 from scholion.plans import query_plan
 
 QUERIES = {}
@@ -566,17 +566,6 @@ def family_inventory(spark, d):
     return families.inventory(rows, "component", "doc_id", "role", "n_chars")
 
 
-@query()
-def result_groups(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(clinical.effects_of("text")).alias("e"))
-    return rows.select("doc_id", "e.*")
-
-
-@query()
-def cohort_fingerprint(spark, d):
-    return table(spark, d, "documents").select("doc_id", clinical.cohort_of("text").alias("c")).select("doc_id", "c.*")
-
-
 # ---------------------------------------------------------------- joins and graph
 
 
@@ -630,4 +619,4 @@ def lint_queries(spark, d):
 
 
 # the other modules register themselves
-from scholion import catalogue_records, catalogue_runs, catalogue_scans  # noqa: E402, F401
+from scholion import catalogue_families, catalogue_records, catalogue_runs, catalogue_scans  # noqa: E402, F401

@@ -406,11 +406,6 @@ def lexical_find(spark, d):
     return reading.lexical_find(table(spark, d, "documents").select("doc_id", "text"), "Ening, de ening", "text", "doc_id", 20).select("doc_id", "score")
 
 
-@query()
-def chunk_text(spark, d):
-    return reading.chunk(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", "start", "end")
-
-
 @query(
     """WITH c AS (SELECT doc_id, pos, least(1000, length(text) - pos * 1000) AS length FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS pos FROM documents WHERE length(text) > 0)),
 r AS (SELECT *, sum(length) OVER (PARTITION BY doc_id ORDER BY pos) AS running FROM c)
@@ -421,14 +416,6 @@ def pack_chunks(spark, d):
     return reading.pack(chunks, "doc_id", "pos", "length", most=4000).select("doc_id", "pos", F.col("running").cast("long").alias("running"))
 
 
-@query(
-    """WITH q AS (SELECT item_id, lower(substr(text, 1, 40)) AS quote FROM benchmark) SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first
-FROM q LEFT JOIN documents ON contains(lower(text), quote) GROUP BY item_id"""
-)
-def receipt_coverage(spark, d):
-    return _covered(spark, d, F.substring("text", 1, 40))
-
-
 def _covered(spark, d, passage):
     quotes = table(spark, d, "benchmark").select("item_id", F.lower(passage).alias("quote"))
     held = families.quotes_held(table(spark, d, "documents"), "doc_id", "text", quotes, "item_id", "quote")
@@ -440,7 +427,7 @@ def _covered(spark, d, passage):
     """WITH q AS (SELECT item_id, lower(text) AS quote FROM benchmark) SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first
 FROM q LEFT JOIN documents ON contains(lower(text), quote) GROUP BY item_id"""
 )
-def receipt_coverage_whole(spark, d):
+def receipt_coverage(spark, d):
     return _covered(spark, d, F.col("text"))
 
 
@@ -455,11 +442,6 @@ def conversation_receipts(spark, d):
     return out.select("conv_id", "turn", F.array_join("covered_so_far", ";").alias("covered"), "chars")
 
 
-@query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_sha FROM documents WHERE n_chars <= 2000 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
-def inverted_abstract(spark, d):
-    return _inverted(table(spark, d, "documents").where("n_chars <= 2000"))
-
-
 def _inverted(docs):
     rows = docs.select("doc_id", n.clean_text("text").alias("t")).where("t <> ''")
     words = rows.select("doc_id", F.posexplode(F.split("t", " ")).alias("p", "w"))
@@ -468,7 +450,7 @@ def _inverted(docs):
 
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_sha FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
-def inverted_abstract_whole(spark, d):
+def inverted_abstract(spark, d):
     return _inverted(table(spark, d, "documents"))
 
 
@@ -488,11 +470,6 @@ def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(links).alias("pos", "href"))
 
 
-@query()
-def strip_tags(spark, d):
-    return table(spark, d, "pages").select("page_id", shredding.strip_tags(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
-
-
 @query()
 def element_cells(spark, d):
     return shredding.cells(shredding.html_elements(table(spark, d, "pages"), "page_id", "html", mode="generic"), "page_id")
@@ -501,15 +478,18 @@ def element_cells(spark, d):
 # ---------------------------------------------------------------- families
 
 
-@query(
-    f"""WITH {_WORKS}, w AS (SELECT doc_id, title_key, string_split({_NT.format("abstract")}, ' ') AS words FROM works WHERE title_key IS NOT NULL AND n_chars <= 3000),
-g AS (SELECT doc_id, title_key, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' '))) ELSE [] END AS s FROM w),
-first AS (SELECT title_key, min(doc_id) AS head FROM g GROUP BY title_key)
-SELECT f.head, b.doc_id, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) END, 6) AS dice
-FROM first f JOIN g a ON a.doc_id = f.head JOIN g b ON b.title_key = f.title_key WHERE b.doc_id <> f.head"""
-)
+#: Distinct five-word runs of the abstracts whose title key several works share, and the works themselves with their block's head.
+_GRAMS = f"""{_WORKS}, w AS (SELECT doc_id, title_key, string_split({_NT.format("abstract")}, ' ') AS words FROM works WHERE title_key IN (SELECT title_key FROM works GROUP BY title_key HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, title_key, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT doc_id, title_key, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), h AS (SELECT title_key, min(doc_id) AS head FROM w GROUP BY title_key),
+x AS (SELECT h.head, b.doc_id, count(*) AS k FROM h JOIN g a ON a.doc_id = h.head JOIN g b ON b.title_key = h.title_key AND b.s = a.s WHERE b.doc_id <> h.head GROUP BY h.head, b.doc_id),
+p AS (SELECT h.head, w.doc_id, coalesce(k, 0) AS k, coalesce(a.n, 0) + coalesce(b.n, 0) AS total FROM h JOIN w ON w.title_key = h.title_key AND w.doc_id <> h.head
+  LEFT JOIN x ON x.head = h.head AND x.doc_id = w.doc_id LEFT JOIN n a ON a.doc_id = h.head LEFT JOIN n b ON b.doc_id = w.doc_id)"""
+
+
+@query(f"WITH {_GRAMS} SELECT head, doc_id, round(CASE WHEN total = 0 THEN 0.0 ELSE 2.0 * k / total END, 6) AS dice FROM p")
 def shingle_pairs(spark, d):
-    return _shingled(works(spark, d).where("title_key is not null and n_chars <= 3000"))
+    return _shingled(works(spark, d).where("title_key is not null"))
 
 
 def _shingled(rows):
@@ -518,11 +498,6 @@ def _shingled(rows):
     return pairs.select("head", "doc_id", F.round(families.dice("head_s", "s"), 6).alias("dice"))
 
 
-@query()
-def shingle_pairs_whole(spark, d):
-    return _shingled(works(spark, d).where("title_key is not null"))
-
-
 @query(
     f"""WITH {_WORKS}, t AS (SELECT doc_id, nt, list_distinct(list_filter(string_split(nt, ' '), lambda x: NOT list_contains({families.STOP_LIST_SQL}, x))) AS words,
   list_aggregate(string_split(nt, ' ')[1:3], 'string_agg', ' ') AS block FROM works WHERE title_key IS NOT NULL),
@@ -569,22 +544,11 @@ def family_inventory(spark, d):
 # ---------------------------------------------------------------- joins and graph
 
 
-@query(
-    """SELECT DISTINCT l_suppkey AS seed, 'references' AS direction, l_partkey AS neighbour FROM lineitem WHERE l_suppkey BETWEEN 1 AND 3
-UNION SELECT DISTINCT l_partkey, 'cited_by', l_suppkey FROM lineitem WHERE l_partkey BETWEEN 1 AND 3"""
-)
-def citation_one_hop(spark, d):
-    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
-    seeds = spark.createDataFrame([(f"{x}{k}",) for x in "sp" for k in (1, 2, 3)], "seed string")
-    number = lambda x: F.substring(x, 2, 20).cast("long").alias(x)
-    return graph.one_hop(edges, F.broadcast(seeds)).select(number("seed"), "direction", number("neighbour"))
-
-
 @query(
     """SELECT DISTINCT l_suppkey AS seed, 'references' AS direction, l_partkey AS neighbour FROM lineitem
 UNION SELECT DISTINCT l_partkey, 'cited_by', l_suppkey FROM lineitem"""
 )
-def citation_one_hop_whole(spark, d):
+def citation_one_hop(spark, d):
     edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
     seeds = edges.select(F.col("source").alias("seed")).union(edges.select("target")).distinct()
     number = lambda x: F.substring(x, 2, 20).cast("long").alias(x)
@@ -613,10 +577,5 @@ def same_publication(spark, d):
     return joined.select("doc_id", F.when(F.col("m1") < F.col("doc_id"), F.col("m1")).when(F.col("m2") < F.col("doc_id"), F.col("m2")).alias("same_as"))
 
 
-@query()
-def lint_queries(spark, d):
-    return query_plan.example_lint(spark)
-
-
 # the other modules register themselves
-from scholion import catalogue_families, catalogue_records, catalogue_runs, catalogue_scans  # noqa: E402, F401
+from scholion import catalogue_documents, catalogue_families, catalogue_plans, catalogue_records, catalogue_runs, catalogue_scans  # noqa: E402, F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scholion.catalogue import query, table, works, _NT, _WORKS
+from scholion.catalogue import query, table, works, _GRAMS
 from scholion.functions import normalize as n
 from scholion.operators import clinical, families, work_families
 
@@ -78,12 +78,10 @@ def quarantined_edges(spark, d):
     return families.quarantine(edges, edges.where("a % 8 = 0"), graph.connected_components(edges)).select("a", "b")
 
 
-@query(f"""WITH {_WORKS}, w AS (SELECT doc_id, title_key, string_split({_NT.format("abstract")}, ' ') AS words FROM works WHERE title_key IS NOT NULL),
-f AS (SELECT doc_id, title_key, list_distinct(words) AS tokens, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) ELSE [] END AS grams FROM w),
-h AS (SELECT title_key, min(doc_id) AS head FROM f GROUP BY title_key)
-SELECT h.head, b.doc_id, len(list_intersect(a.grams, b.grams)) AS shared_fivegrams, round(CASE WHEN len(a.grams) + len(b.grams) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)) END, 6) AS fivegram_dice,
-  round(len(list_intersect(a.tokens, b.tokens)) / least(len(a.tokens), len(b.tokens)), 6) AS token_containment
-FROM h JOIN f a ON a.doc_id = h.head JOIN f b ON b.title_key = h.title_key WHERE b.doc_id <> h.head""")
+@query(f"""WITH {_GRAMS}, t AS (SELECT DISTINCT doc_id, title_key, unnest(words) AS t FROM w), m AS (SELECT doc_id, count(*) AS m FROM t GROUP BY doc_id),
+y AS (SELECT h.head, b.doc_id, count(*) AS j FROM h JOIN t a ON a.doc_id = h.head JOIN t b ON b.title_key = h.title_key AND b.t = a.t WHERE b.doc_id <> h.head GROUP BY h.head, b.doc_id)
+SELECT p.head, p.doc_id, CAST(p.k AS INTEGER) AS shared_fivegrams, round(CASE WHEN total = 0 THEN 0.0 ELSE 2.0 * p.k / total END, 6) AS fivegram_dice, round(coalesce(j, 0) / least(a.m, b.m), 6) AS token_containment
+FROM p LEFT JOIN y ON y.head = p.head AND y.doc_id = p.doc_id JOIN m a ON a.doc_id = p.head JOIN m b ON b.doc_id = p.doc_id""")
 def abstract_pairs(spark, d):
     rows = works(spark, d).where("title_key is not null").select("doc_id", "title_key", n.title("abstract").alias("words"))
     read = families.abstract_evidence(families.pairs_with_head(rows, "title_key", "doc_id", "words"), "head_words", "words")
@@ -110,8 +108,7 @@ def cohort_fingerprint(spark, d):
     )
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'sizes;windows;trials;stratified_result' ELSE 'sizes;windows;trials' END AS conflicts FROM documents WHERE false
-UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'sizes;population_age' END FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'sizes;population_age' END FROM documents""")
 def clinical_pairs(spark, d):
     own = F.expr(_ABSTRACT)
     other = F.when(F.col("doc_id") % 2 == 0, own).otherwise(F.regexp_replace(own, "A total of [0-9]+ adults", "A total of 7 children"))

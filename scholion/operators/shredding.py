@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scholion.functions.arrow import arrow_udf
 
@@ -28,7 +28,7 @@ _BACK_MARK = re.compile(
 )
 _BODY_MARK = re.compile(r"(?:^|\s)(?:article-body|article__body|main-article-body|articlebody)(?:$|\s)", re.I)
 _HEADING = re.compile(r"h([1-6])")
-_CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}} | dict.fromkeys(("thead", "tbody", "tfoot"), {"tr", "td", "th"})
 _P_ENDERS = frozenset("p div section article ul ol table figure h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 ELEMENT = (
@@ -70,11 +70,11 @@ class _Tree(HTMLParser):
         self.root = self.at = _Node("document", {}, "", None)
 
     def _close(self, tags) -> None:
+        """Close the outermost open element of ``tags`` inside what holds it."""
         node = self.at
         while node.parent is not None and node.tag not in ("table", "ul", "ol", "article", "section", "div"):
             if node.tag in tags:
                 self.at = node.parent
-                return
             node = node.parent
 
     def handle_starttag(self, tag, attributes):
@@ -202,14 +202,6 @@ def cells(elements: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "pos", "row", F.posexplode("cells").alias("column", "cell")).select(key, "pos", "row", "column", "cell.*")
 
 
-EXAMPLE_TABLE = """<div class="article-body"><h2>Results</h2><p>Text before.<table id="T1"><caption>Effects</caption>
-<tr><th colspan="2">Group<th>n<tr><td rowspan="2">a<td>x<td>1<tr><td>y<td>2</table></div>"""
-
-
-def example_cells(spark: SparkSession) -> DataFrame:
-    return cells(html_elements(spark.createDataFrame([(1, EXAMPLE_TABLE)], "doc_id long, html string"), "doc_id", "html"), "doc_id")
-
-
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)(?:\s+[^<>]*)?/?>|<!--.*?-->", re.S)
 _BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th title sec section abstract".split())
 
@@ -314,3 +306,153 @@ def jats_elements(articles: DataFrame, key: str, raw: str, pmcid: str | None = N
 def duplicate_ids(elements: DataFrame, key: str) -> DataFrame:
     """Source ids that occur more than once in a document."""
     return elements.where("source_id <> ''").groupBy(key, "source_id").count().where("count > 1")
+
+
+def unresolved_references(elements: DataFrame, references: DataFrame, key: str, target: str) -> DataFrame:
+    """References of a document that name no element of it."""
+    held = elements.where("source_id <> ''").select(F.col(key).alias("__k"), F.col("source_id").alias("__id")).distinct()
+    return references.join(held, (F.col(key) == F.col("__k")) & (F.col(target) == F.col("__id")), "left_anti")
+
+
+def structure_counts(elements: DataFrame, key: str) -> DataFrame:
+    """Elements of each kind and characters of the body, a row a document."""
+    kinds = ("heading", "paragraph", "reference", "table", "figure", "formula")
+    return elements.groupBy(key).agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.sum(F.when(F.col("content_role") == "body", F.length("text")).otherwise(0)).alias("body_chars")
+    )
+
+
+def gaps(documents: DataFrame, elements: DataFrame, key: str) -> DataFrame:
+    """(document, reason) of what an extraction lacks: a body, a table's cells, a figure's caption."""
+    bodies = elements.where("content_role = 'body' and text <> ''").select(key).distinct()
+    none = documents.select(key).join(bodies, key, "left_anti").select(key, F.lit("no_article_body").alias("reason"))
+    bare = F.when((F.col("kind") == "table") & (F.size("rows") == 0), "table_without_cells").when((F.col("kind") == "figure") & (F.col("caption") == ""), "figure_without_caption")
+    return none.unionByName(elements.select(key, bare.alias("reason")).where("reason is not null").distinct())
+
+
+# ---------------------------------------------------------------- what a page says of itself
+
+#: Metadata names that carry the title and the identifiers of an article.
+CLAIMS = {
+    "title": ("citation_title", "dc.title", "og:title"), "doi": ("citation_doi", "dc.identifier", "prism.doi"), "pmid": ("citation_pmid",),
+}
+
+
+def _claims(page: str | None) -> dict:
+    found: dict[str, str] = {}
+
+    class Meta(HTMLParser):
+        def handle_starttag(self, tag, attributes):
+            if tag == "meta":
+                a = {k: v or "" for k, v in attributes}
+                found.setdefault((a.get("name") or a.get("property") or "").lower(), a.get("content", "").strip())
+
+    reader = Meta(convert_charrefs=True)
+    reader.feed(page or "")
+    return {field: next((found[x] for x in names if found.get(x)), "") for field, names in CLAIMS.items()}
+
+
+@arrow_udf("title string, doi string, pmid string")
+def page_claims(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_claims(p) for p in pages])
+
+
+def claim_state(claims: str, title: str, doi: str, pmid: str) -> Column:
+    """Does a page say it is the record? ``agrees`` needs the title and one identifier; anything that differs is a conflict."""
+    from scholion.functions import normalize as n
+
+    field = lambda x: F.col(f"{claims}.{x}")
+    pairs = [(n.title(field("title")), n.title(title)), (n.doi(field("doi")), n.doi(doi)), (n.pmid(field("pmid")), n.pmid(pmid))]
+    both = [(a != "") & (b != "") for a, b in pairs]
+    differ, equal = F.lit(False), [x & (a == b) for x, (a, b) in zip(both, pairs)]
+    for x, (a, b) in zip(both, pairs):
+        differ = differ | (x & (a != b))
+    return F.when(differ, "conflict").when(equal[0] & (equal[1] | equal[2]), "agrees").otherwise("unknown")
+
+
+_CHARSET = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+HEAD_BYTES = 4096
+
+
+@arrow_udf("string")
+def decode_html(contents: pd.Series) -> pd.Series:
+    """Text of a saved page in the encoding it declares in its first bytes, else UTF-8."""
+
+    def one(raw):
+        if raw is None:
+            return None
+        raw = bytes(raw)
+        declared = _CHARSET.search(raw[:HEAD_BYTES])
+        try:
+            return raw.decode(declared[1].decode("ascii") if declared else "utf-8-sig", "replace")
+        except LookupError:
+            return raw.decode("utf-8-sig", "replace")
+
+    return contents.map(one)
+
+
+def local_html(spark, path: str, most: int = 50 << 20) -> DataFrame:
+    """(path, html) of saved pages in a folder, by Spark's own reader; files beyond ``most`` bytes give null."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", decode_html(F.when(F.col("length") <= most, F.col("content"))).alias("html"))
+
+
+# ---------------------------------------------------------------- tables, prose, routes
+
+
+def _table_details(page: str | None) -> list[dict]:
+    tree = _Tree()
+    tree.feed(page or "")
+    tree.close()
+    out = []
+    for node in tree.root.all("table"):
+        notes = [x.text() for x in node.all("tfoot")]
+        parent = node.parent
+        if parent is not None:
+            after = parent.children[parent.children.index(node) + 1 :]
+            notes += [x.text() for x in after if isinstance(x, _Node) and re.search("foot|note", x.attributes.get("class", ""), re.I)]
+        links = [x.attributes["href"] for x in node.all("a") if x.attributes.get("href")]
+        out.append({"path": node.path, "source_id": node.attributes.get("id", ""), "caption": next((x.text() for x in node.all("caption")), ""), "footnotes": [x for x in notes if x], "links": list(dict.fromkeys(links))})
+    return out
+
+
+@arrow_udf("array<struct<path:string,source_id:string,caption:string,footnotes:array<string>,links:array<string>>>")
+def table_details(pages: pd.Series) -> pd.Series:
+    return pages.map(_table_details)
+
+
+def _prose(raw: str, pmcid: str) -> str:
+    """Headings and paragraphs as Markdown; tables, formulas and figures are left out."""
+    out = []
+    for e in shred_jats(raw, pmcid):
+        if e["kind"] == "heading":
+            out.append("#" * min(len(e["section"]), 6) + " " + e["text"])
+        elif e["kind"] in ("paragraph", "footnote") and e["text"]:
+            out.append(e["text"])
+    return "\n\n".join(out)
+
+
+@arrow_udf("string")
+def jats_prose(articles: pd.Series, pmcids: pd.Series) -> pd.Series:
+    return pd.Series([_prose(a, p or "") for a, p in zip(articles, pmcids)], dtype=object)
+
+
+#: The order in which routes to a document are tried.
+ROUTES = ("local_html", "jats", "local_pdf", "remote_html", "remote_pdf", "enrichment")
+
+
+def first_document(results: DataFrame, record: str, route: str, document: str) -> DataFrame:
+    """(record, route, document, tried) of the first route, in the fixed order, that gave a document."""
+    place = F.array_position(F.array(*map(F.lit, ROUTES)), F.col(route))
+    good = F.when(F.col(document).isNotNull(), F.struct(place.alias("place"), F.col(route).alias("route"), F.col(document).alias("document")))
+    out = results.groupBy(record).agg(F.min(good).alias("best"), F.count(F.lit(1)).alias("tried"))
+    return out.select(record, "best.route", "best.document", "tried")
+
+
+def declared_assets(declared: DataFrame, known: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
+    """(assets to fetch, assets at hand) of declarations (document, url, kind, table): each address, kind and table once, and
+    what has been fetched before (url, sha256, bytes) is used again."""
+    once = declared.dropDuplicates([document, "url", "kind", "table"])
+    held = known.groupBy(F.col("url").alias("__url")).agg(F.min("sha256").alias("sha256"))
+    joined = once.join(held, F.col("url") == F.col("__url"), "left").drop("__url")
+    return joined.where("sha256 is null").drop("sha256"), joined.where("sha256 is not null")

@@ -493,8 +493,10 @@ def shingle_pairs(spark, d):
 
 
 def _shingled(rows):
-    rows = rows.select("doc_id", "title_key", families.shingles(F.split(n.title("abstract"), " "), 5).alias("s"))
-    pairs = families.pairs_with_head(rows, "title_key", "doc_id", "s")
+    # pairs first, words after: the words of a pair are split once, not once a run
+    pairs = families.pairs_with_head(rows.select("doc_id", "title_key", n.title("abstract").alias("w")), "title_key", "doc_id", "w")
+    pairs = pairs.withColumn("a", F.split("head_w", " ")).withColumn("b", F.split("w", " "))
+    pairs = pairs.select("head", "doc_id", families.shingles("a", 5).alias("head_s"), families.shingles("b", 5).alias("s"))
     return pairs.select("head", "doc_id", F.round(families.dice("head_s", "s"), 6).alias("dice"))
 
 

@@ -7,29 +7,39 @@ from pyspark.sql import DataFrame, functions as F
 from scholion.session import cut_lineage
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component) for every vertex of ``links``; component is its smallest reachable vertex.
 
-    Min-label propagation with pointer jumping on DataFrames: every round takes the smallest label among
-    the neighbours, then the label of one's label, so rounds grow with the logarithm of a chain. Each round
-    is cut by a reliable checkpoint. Hub vertices only meet partial minima and joins that AQE may split.
+    Every round turns the links into stars: a vertex hands its larger neighbours to its smallest one (large star), then its
+    smaller neighbours (small star). Links never grow in number, paths shorten by half or more, and a round ends with as
+    many links as vertices, each to its component, when nothing moves any more. A hub meets its neighbours as rows of an
+    aggregate and a join that AQE may split, never as a list. Each round is a reliable checkpoint.
     """
-    both = links.select(F.col(a).alias("v"), F.col(b).alias("w")).where("v is not null and w is not null and v <> w")
-    both = cut_lineage(both.unionByName(both.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
-    labels = cut_lineage(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        after = cut_lineage(
-            labels.join(near, "v", "left")
-            .join(jump, "label", "left")
-            .select("v", F.least("label", "near", "far").alias("label"), (F.least("label", "near", "far") < F.col("label")).alias("moved"))
-        )
-        moved = after.where("moved").limit(1).count()
-        labels = after.select("v", "label")
-        if not moved:
-            return labels.select(F.col("v").alias("vertex"), F.col("label").alias("component"))
-    raise RuntimeError(f"labels still moved after {max_rounds} rounds")
+    pairs = links.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).where("low is not null and high is not null and low <> high")
+    now, before = cut_lineage(pairs.distinct()), None
+    while before != (before := _mark(now)):
+        now = cut_lineage(_small_star(_large_star(now)))
+    return now.select(F.col("high").alias("vertex"), F.col("low").alias("component")).unionByName(now.select(F.col("low").alias("vertex"), F.col("low").alias("component")).distinct())
+
+
+def _mark(links: DataFrame) -> tuple:
+    """Number of links and a digest that doesn't depend on their order."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).head())
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Links of every vertex's larger neighbours to the smallest among it and its neighbours."""
+    both = links.select(F.col("low").alias("v"), F.col("high").alias("w")).unionByName(links.select(F.col("high").alias("v"), F.col("low").alias("w")))
+    least = links.groupBy(F.col("high").alias("v")).agg(F.min("low").alias("least"))  # a vertex without a smaller neighbour is its own least
+    linked = both.where("w > v").join(least, "v", "left").select(F.coalesce("least", "v").alias("low"), F.col("w").alias("high"))
+    return linked.distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Links of every vertex and its smaller neighbours to the smallest of them."""
+    least = links.groupBy(F.col("high").alias("v")).agg(F.min("low").alias("least"))
+    moved = links.join(least, F.col("high") == F.col("v")).select(F.col("least").alias("low"), F.col("low").alias("high")).where("low <> high")
+    return moved.unionByName(least.select(F.col("least").alias("low"), F.col("v").alias("high"))).distinct()
 
 
 def star_links(rows: DataFrame, node: str, *keys: str) -> DataFrame:

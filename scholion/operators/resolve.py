@@ -23,12 +23,16 @@ def source_priority(source) -> Column:
     return chain.otherwise(99)
 
 
-def rank_within(rows: DataFrame, group: str, order: str, name: str = "rank", pieces: int = 64) -> DataFrame:
+PIECE_ROWS = 1_000_000
+
+
+def rank_within(rows: DataFrame, group: str, order: str, name: str = "rank", pieces: int | None = None) -> DataFrame:
     """1-based position by a numeric, unique ``order`` inside each group, without a task per group.
 
-    Groups are cut at quantiles of the order; a position is the rows in the pieces before plus the place in its own, so a
-    group with a third of all rows is ranked by many tasks.
+    Groups are cut at quantiles of the order, into pieces of about ``PIECE_ROWS`` rows; a position is the rows in the pieces
+    before plus the place in its own, so a group with a third of all rows is ranked by many tasks.
     """
+    pieces = pieces or max(16, -(-rows.count() // PIECE_ROWS))
     cuts = sorted(set(rows.approxQuantile(order, [k / pieces for k in range(1, pieces)], 0.25 / pieces)))
     marks = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
     rows = rows.withColumn("__piece", F.size(F.filter(marks, lambda x: x <= F.col(order).cast("double"))))

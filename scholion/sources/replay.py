@@ -286,20 +286,30 @@ class SavedPages(DataSource):
         return _SavedPagesReader(self.options)
 
 
+def _opened(path: str):
+    """The file behind a path or address, on whatever store the address names."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system, name
+
+
 class _SavedPagesReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.slices = options["path"], int(options.get("slices", "4"))
 
     def partitions(self):
-        import os
-
-        size = os.path.getsize(self.path)
+        system, name = _opened(self.path)
+        size = system.get_file_info(name).size
         step = -(-size // self.slices) or 1
         return [_Range(a, min(a + step, size)) for a in range(0, size, step)]
 
     def read(self, partition):
+        import io
+
         low, high = partition.value
-        with open(self.path, "rb") as file:
+        system, name = _opened(self.path)
+        with io.BufferedReader(system.open_input_file(name)) as file:
             if low:
                 file.seek(low - 1)
                 file.readline()

@@ -69,14 +69,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     return np.log((1 - BACKGROUND) * share[1] / share[0] + BACKGROUND)
 
 
-def kth_largest(keys: DataFrame, name: str, k: int, bins: int = 4096, rounds: int = 12) -> float | None:
+def kth_largest(keys: DataFrame, name: str, k: int, bins: int = 4096) -> float | None:
     """The k-th largest value of a double column: each round counts ``bins`` equal bins of the interval that holds it."""
     if k <= 0:
         return None
     low, high = keys.agg(F.min(name), F.max(name)).head()
     if low is None:
         return None
-    for _ in range(rounds):
+    while True:  # the interval shrinks to a bin each time
         width = (high - low) / bins
         if not width > 0 or low + width == low:
             return low
@@ -92,7 +92,6 @@ def kth_largest(keys: DataFrame, name: str, k: int, bins: int = 4096, rounds: in
             return low
         if r.n == 1 or low == high:
             return low
-    raise RuntimeError("the histogram did not separate the keys")
 
 
 def resample(

@@ -194,6 +194,35 @@ def test_fingerprints():
     assert fingerprint.likeness(found[np.array([3])], found[np.array([3])])[0] == 1
 
 
+def slow_print(text: str) -> str:
+    """The fingerprint of one text, chunk by chunk."""
+    raw = text.encode()
+    hashed = lambda part: int(c.span_hash(c.prefix_hash(np.frombuffer(part, np.uint8)), np.array([0]), np.array([len(part)]))[0])
+    depth = []  # zero bits at the end of the rolling hash behind every byte but the last
+    for at in range(1, len(raw)):
+        value, zeros = hashed(raw[max(0, at - 7) : at]), 0
+        while value and not value & 1 and zeros < 47:
+            value, zeros = value >> 1, zeros + 1
+        depth.append(zeros)
+    level = 1
+    while len(raw) > 40 << level:
+        level += 1
+    while level > 1 and 1 + sum(d >= level for d in depth) < 16:
+        level -= 1
+    parts = []
+    for size in (level, level + 1):
+        stops = [at for at, d in enumerate(depth, 1) if d >= size] + ([len(raw)] if raw else [])
+        stops = stops[:63] + stops[-1:] if len(stops) > 64 else stops
+        parts.append("".join(chr(fingerprint.ALPHABET[hashed(raw[a:b]) >> 32 & 63]) for a, b in zip([0, *stops], stops)))
+    return f"{1 << level}:{parts[0]}:{parts[1]}"
+
+
+def test_boundaries_and_letters_equal_brute_force():
+    rng = random.Random(9)
+    texts = ["", "a", "é", "ab" * 5, "x" * 700, *("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (10, 81, 200, 640, 641, 3000, 9000)), "abcabc " * 900]
+    assert fingerprint.prints(*c.text_buffer(pa.array(texts))).strings() == [slow_print(t) for t in texts]
+
+
 def test_common_subsequence_is_exact():
     rng = np.random.default_rng(6)
     a, b = rng.integers(0, 4, (40, 64)).astype(np.uint8), rng.integers(0, 4, (40, 64)).astype(np.uint8)

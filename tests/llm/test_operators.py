@@ -210,6 +210,31 @@ def test_resampling(docs, labels, spark):
     assert [resampling.kth_largest(keys, "v", k) for k in range(1, 8)] == [9, 5, 3, 3, 3, 2, 1]
 
 
+def test_log_ratios_equal_brute_force(docs, labels):
+    """Counts of words and pairs over all documents and over the good ones, by one text at a time."""
+    import pyarrow as pa
+
+    rows = docs.select("doc_id", "text").collect()
+    good = {r.doc_id for r in labels.where("quality = 1 and doc_id is not null").collect()}
+    grams = [resampling.buckets(*c.text_buffer(pa.array([r.text or ""])))[0].tolist() for r in rows]
+    for r, found in zip(rows, grams):
+        words = [w for w in (r.text or "").split(" ") if w]
+        assert len(found) == max(2 * len(words) - 1, 0)
+    raw, target = [1.0] * resampling.BUCKETS, [1.0] * resampling.BUCKETS
+    for r, found in zip(rows, grams):
+        for b in found:
+            raw[b] += 1
+            target[b] += r.doc_id in good
+    all_target, all_raw = sum(target), sum(raw)
+    ratio = [math.log(0.8 * (t / all_target) / (x / all_raw) + 0.2) for t, x in zip(target, raw)]
+    expected = sorted((str(r.doc_id), round(sum(ratio[b] for b in found), 5)) for r, found in zip(rows, grams))
+    out = resampling.resample(docs, labels).collect()
+    assert sorted((str(r.doc_id), round(r.log_ratio, 5)) for r in out) == expected
+    share = sum(r.quality == 1 for r in labels.collect()) / sum(r.quality is not None for r in labels.collect())
+    limit = sorted((r.gumbel_key for r in out), reverse=True)[round(share * len(out)) - 1]
+    assert all(r.selected == (r.gumbel_key >= limit) for r in out)
+
+
 def test_mixing(docs, spark):
     out = mixing.replicate(docs, weights={"a": 3.0, "b": 1.0})
     rows = out.collect()

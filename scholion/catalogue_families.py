@@ -108,7 +108,7 @@ def cohort_fingerprint(spark, d):
     )
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'sizes;population_age' END FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'sizes;population_age' END AS conflicts FROM documents""")
 def clinical_pairs(spark, d):
     own = F.expr(_ABSTRACT)
     other = F.when(F.col("doc_id") % 2 == 0, own).otherwise(F.regexp_replace(own, "A total of [0-9]+ adults", "A total of 7 children"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from scholion.catalogue import query, table
-from scholion.catalogue_records import DOI, PMID, RECORDS, records
-from scholion.functions import normalize as n
+from scholion.catalogue_records import DOI, RECORDS, records
 from scholion.sources import replay
 
 PAGE = 25

@@ -355,13 +355,14 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     partitions = c.shuffle_partitions(spark)
     buckets = int(max(partitions, chars / 6 / BUCKET_WORDS))
 
-    def assembled() -> DataFrame:
+    def counted() -> DataFrame:
         packed = rows.mapInArrow(_shingle(buckets, size), _PACKED)
-        counted = packed.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_count, _PACKED)
-        return counted.drop("bucket").groupBy("flush").applyInArrow(_assemble(share), "id long, n long, digest binary, tokens binary, routes array<long>")
+        return packed.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_count, _PACKED).drop("bucket")
 
     key = F.xxhash64("digest")
-    full = c.cut_lineage(assembled(), free=True)
+    shared = c.cut_lineage(counted(), free=True)  # all shingles are on disk until here; about a third go on
+    full = c.cut_lineage(shared.groupBy("flush").applyInArrow(_assemble(share), "id long, n long, digest binary, tokens binary, routes array<long>"))
+    del shared
     # equal sets are one class, named by a 64-bit key of their digest
     classes = c.cut_lineage(
         full.where("digest is not null").groupBy(key.alias("key")).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("routes").alias("routes"))

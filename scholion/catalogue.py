@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from scholion.functions import normalize as n
-from scholion.operators import families, graph, metrics, reading, resolve, shredding
+from scholion.operators import families, graph, metrics, ranking, reading, resolve, shredding
 from scholion.plans import query_plan
 
 QUERIES = {}
@@ -159,7 +159,7 @@ def type_filter(spark, d):
 
 @query("SELECT doc_id, source AS route, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents")
 def route_rank(spark, d):
-    return resolve.rank_within(table(spark, d, "documents").select("doc_id", F.col("source").alias("route")), "route", "doc_id")
+    return ranking.rank_within(table(spark, d, "documents").select("doc_id", F.col("source").alias("route")), "route", "doc_id")
 
 
 _HITS = f"""{_WORKS}, hits AS (SELECT coalesce('title:' || title_key, 'doc:' || doc_id) AS candidate_id, route AS route_id,
@@ -171,7 +171,7 @@ _HITS = f"""{_WORKS}, hits AS (SELECT coalesce('title:' || title_key, 'doc:' ||
 SELECT candidate_id, round(sum(1.0 / (60 + best)), 9) AS score, count(*) AS routes FROM best GROUP BY candidate_id ORDER BY score DESC, candidate_id LIMIT 25"""
 )
 def rrf_topk(spark, d):
-    ranked = resolve.rank_within(works(spark, d).select("doc_id", "route", "title_key"), "route", "doc_id")
+    ranked = ranking.rank_within(works(spark, d).select("doc_id", "route", "title_key"), "route", "doc_id")
     hits = ranked.select(F.coalesce(F.concat(F.lit("title:"), "title_key"), F.concat(F.lit("doc:"), "doc_id")).alias("candidate_id"), F.col("route").alias("route_id"), "rank")
     fused = resolve.reciprocal_rank_fusion(hits)
     return resolve.select_queue(fused, 25).select("candidate_id", F.round("score", 9).alias("score"), "routes")

@@ -23,27 +23,6 @@ def source_priority(source) -> Column:
     return chain.otherwise(99)
 
 
-PIECE_ROWS = 1_000_000
-
-
-def rank_within(rows: DataFrame, group: str, order: str, name: str = "rank", pieces: int | None = None) -> DataFrame:
-    """1-based position by a numeric, unique ``order`` inside each group, without a task per group.
-
-    Groups are cut at quantiles of the order, into pieces of about ``PIECE_ROWS`` rows; a position is the rows in the pieces
-    before plus the place in its own, so a group with a third of all rows is ranked by many tasks.
-    """
-    pieces = pieces or max(16, -(-rows.count() // PIECE_ROWS))
-    cuts = sorted(set(rows.approxQuantile(order, [k / pieces for k in range(1, pieces)], 0.25 / pieces)))
-    marks = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
-    rows = rows.withColumn("__piece", F.size(F.filter(marks, lambda x: x <= F.col(order).cast("double"))))
-    sizes = rows.groupBy(group, "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(W.partitionBy(group).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select(F.col(group).alias("__group"), F.col("__piece").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
-    inner = F.row_number().over(W.partitionBy(group, "__piece").orderBy(order))
-    out = rows.withColumn("__inner", inner).join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__piece") == F.col("__at")))
-    return out.withColumn(name, F.col("__before") + F.col("__inner")).drop("__piece", "__group", "__at", "__before", "__inner")
-
-
 def reciprocal_rank_fusion(hits: DataFrame, candidate: str = "candidate_id", route: str = "route_id", rank: str = "rank", semantics: str | None = None) -> DataFrame:
     """(candidate, score, routes): the best rank of each route counts 1 / (60 + rank); hits whose rank means nothing count as first."""
     place = F.col(rank) if semantics is None else F.when(F.coalesce(F.col(semantics), F.lit("relevance")) == "relevance", F.col(rank)).otherwise(1)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion.functions import normalize as n
-from scholion.operators import authors, clinical, families, graph, metrics, reading, resolve, shredding
+from scholion.operators import authors, clinical, families, graph, metrics, ranking, reading, resolve, shredding
 from scholion.plans import query_plan
 
 
@@ -87,7 +87,7 @@ def test_merge_fold(spark, rows, n_out, conflict):
 
 def test_ranks_without_a_task_per_group(spark):
     rows = spark.range(1000).selectExpr("id * 7 % 1000 as pos", "if(id % 10 < 7, 'hot', 'cold') as g")
-    found = resolve.rank_within(rows, "g", "pos").collect()
+    found = ranking.rank_within(rows, "g", "pos").collect()
     for g in ("hot", "cold"):
         mine = sorted((r for r in found if r.g == g), key=lambda r: r.pos)
         assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))

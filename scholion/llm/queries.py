@@ -14,6 +14,7 @@ from scholion.llm import mixing as _mixing
 from scholion.llm import neighbours as _neighbours
 from scholion.llm import pages as _pages
 from scholion.llm import pieces as _pieces
+from scholion.llm import quarantine as _quarantine
 from scholion.llm import resampling as _resampling
 from scholion.llm import suffix as _suffix
 from scholion.llm import toxicity as _toxicity
@@ -60,6 +61,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("n_spans", F.size("spans"))
 
 
+def op11_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quarantine.replay(c.table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_fingerprint": op2_fingerprint,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pages": op8_pages,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_quarantine": op11_quarantine,
 }
 
 _REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -95,4 +101,5 @@ links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM flat x JOIN flat y ON x.g = y
 {_REACH}
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id FROM sets LEFT JOIN comp ON v = doc_id""",
     "op9_mixing": _mixing.ORACLE,
+    "op11_quarantine": _quarantine.ORACLE,
 }

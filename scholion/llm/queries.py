@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholion.llm import common as c
+from scholion.llm import compression as _compression
 from scholion.llm import fingerprint as _fingerprint
 from scholion.llm import jaccard as _jaccard
 from scholion.llm import language as _language
@@ -65,6 +66,10 @@ def op11_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quarantine.replay(c.table(spark, sf_dir, "conversations"))
 
 
+def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compression.compress(c.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_fingerprint": op2_fingerprint,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_quarantine": op11_quarantine,
+    "op12_compression": op12_compression,
 }
 
 _REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -102,4 +108,5 @@ links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM flat x JOIN flat y ON x.g = y
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id FROM sets LEFT JOIN comp ON v = doc_id""",
     "op9_mixing": _mixing.ORACLE,
     "op11_quarantine": _quarantine.ORACLE,
+    "op12_compression": _compression.ORACLE,
 }

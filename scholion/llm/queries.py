@@ -18,6 +18,7 @@ from scholion.llm import pieces as _pieces
 from scholion.llm import quarantine as _quarantine
 from scholion.llm import resampling as _resampling
 from scholion.llm import suffix as _suffix
+from scholion.llm import token_files as _token_files
 from scholion.llm import toxicity as _toxicity
 
 
@@ -70,6 +71,10 @@ def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compression.compress(c.table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_files.round_trip(c.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_fingerprint": op2_fingerprint,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_quarantine": op11_quarantine,
     "op12_compression": op12_compression,
+    "op13_token_files": op13_token_files,
 }
 
 _REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),

@@ -140,7 +140,7 @@ def replay(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     ready = pieces(c.cut_lineage(placed), piece).withColumn("limit", F.lit(piece))
     kinds = {f.name: f.dataType.simpleString() for f in conversations.schema}
     function = F.udtf(
-        Replay, useArrow=True,
+        Replay, useArrow=False,  # most conversations are short: a record batch each costs more than pickled rows
         returnType=f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, place long, weight long, status string, attempts int, first_at long, last_at long, release_no long, state long, whole boolean",
     )
     ended = c.cut_lineage(function(ready.asTable().partitionBy("conv_id", "piece").orderBy("place")))

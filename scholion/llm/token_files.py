@@ -27,6 +27,8 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,13 @@ from scholion.sources.replay import _opened
 
 MODEL, END = "byte_bpe_50k.json", 2
 BLOCK_IDS, FILE_BYTES = 1 << 20, 64 << 20
-MEMO = 300_000  # units of a generation; a worker holds two
+MEMO = 400_000  # units of a generation; a worker holds two
 LONGEST_UNIT = 64
+SIGNS = ".,;:!?"
 SEGMENT = 1 << 20  # characters of a text split at once
 MAGIC, HEADER = b"TOKFILE1", struct.Struct("<5q")
 RANKS = "ranks.ids"
+STORE = pa.Codec("zstd", 1)  # of ids between the two passes
 
 
 def default_path() -> str:
@@ -78,29 +82,38 @@ class TextCodec:
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.size <= 1 << 16 else "I"
         # cuts are proven for vocabularies that split words by the usual pattern and change no text before
         self.cuts = '"normalizer":null' in model.replace(" ", "").replace("\n", "") and '"type":"ByteLevel","add_prefix_space":false' in model.replace(" ", "").replace("\n", "")
+        self.signs = dict(zip(SIGNS, self.whole(list(SIGNS))))
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: set[str]) -> None:
         """Ids of units that follow a space; None for those that touch other white space."""
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for unit in units - young.keys():
+        young, old, new, ended = self.young, self.old, set(), []
+        for unit in units.difference(young):
             if unit in old:
                 young[unit] = old[unit]
             elif not unit or _loose(unit[0]) or _loose(unit[-1]):
                 young[unit] = None
+            elif unit[-1] in self.signs and unit[-2:-1].isalpha():
+                ended.append(unit)  # a letter and one sign after it are never one token
             else:
-                new.append(unit)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+                new.add(unit)
+        new.update(stem for unit in ended if (stem := unit[:-1]) not in young and stem not in old)
+        listed = list(new)
+        for at in range(0, len(listed), 4096):
+            part = listed[at : at + 4096]
             young.update(zip(part, self.whole([" " + u for u in part])))
+        for unit in ended:
+            stem = unit[:-1]
+            young[unit] = (young.get(stem) or old[stem]) + self.signs[unit[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
@@ -110,18 +123,17 @@ class TextCodec:
             if text and self.cuts and len(text) <= SEGMENT and not any(m in text for m in self.marks):
                 split[k] = text.split(" ")
         heads = {k: units[0] for k, units in split.items()}
-        units: set[str] = set()
-        for k, some in split.items():
-            units.update(some[1:])
+        units = set().union(*split.values())
         self._learn(units)
         young, late = self.young, [k for k, x in enumerate(out) if x is None and k not in split]
         first = self.whole(list(heads.values()))
         for (k, some), head in zip(split.items(), first):
-            ids = list(map(young.__getitem__, some[1:]))
-            if None in ids or not some[0] or _loose(some[0][-1]):
+            try:
+                if not some[0] or _loose(some[0][-1]):
+                    raise TypeError
+                out[k] = head + b"".join(map(young.__getitem__, islice(some, 1, None)))
+            except TypeError:  # a unit without ids of its own
                 late.append(k)
-            else:
-                out[k] = head + b"".join(ids)
         for unit in [u for u in units if len(u) > LONGEST_UNIT]:
             young.pop(unit, None)
         for k in late:
@@ -161,7 +173,7 @@ def codec_of(model, special: bool) -> TextCodec:
 
 
 def tokenized(docs: DataFrame, model: str, special: bool = True, end: int = END) -> DataFrame:
-    """(doc_id, ids, n_tokens, __part): packed ids with the end id, in ascending document ids over ranges."""
+    """(doc_id, ids, n_tokens, __part): compressed ids with the end id, in ascending document ids over ranges."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -171,27 +183,32 @@ def tokenized(docs: DataFrame, model: str, special: bool = True, end: int = END)
             for part in c.chunks(batch, "text"):
                 packed = [x + tail for x in codec.encode([t or "" for t in c.column(part, "text").to_pylist()])]
                 size = np.array([len(x) for x in packed], np.int64) // codec.kind.itemsize
+                packed = [STORE.compress(x, asbytes=True) for x in packed]
                 yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), pa.array(packed, pa.binary()), pa.array(size)], ["doc_id", "ids", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     return ranking.in_ranges(rows, [], ["doc_id", "tie"], then=lambda x: x.mapInArrow(run, "doc_id long, ids binary, n_tokens long"))
 
 
+def stored_ids(packed, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(STORE.decompress(packed, n * np.dtype(kind).itemsize), kind)
+
+
 def ranks(tokens: DataFrame, kind: str) -> np.ndarray:
     """All ids that occur, the most frequent first, then by id: as many as the vocabulary has at most."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), kind))
+            for ids, n in zip(batch.column(0), batch.column(1).to_pylist()):
+                found = np.bincount(stored_ids(ids.as_buffer(), n, kind))
                 if len(found) > len(total):
                     found, total = total, found
                 total[: len(found)] += found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = tokens.select("ids", "n_tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.uint32)
 
 
@@ -259,7 +276,7 @@ def load_ranks(path: str) -> np.ndarray:
 
 
 class TokenFiles(DataSource):
-    """``format("token_files")``: writes (doc_id, ids, start, __part), reads (doc_id, start, n_tokens, ids as 32-bit little-endian)."""
+    """``format("token_files")``: writes (doc_id, ids, start, n_tokens, __part), reads (doc_id, start, n_tokens, ids as 32-bit little-endian)."""
 
     @classmethod
     def name(cls) -> str:
@@ -292,10 +309,10 @@ class _TokenWriter(sink.StagedWriter):
         names, packed, start, held, part = [], [], 0, 0, 0
         for batch in batches:
             part = batch.column("__part")[0].as_py() if batch.num_rows else part
-            for name, ids, before in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("start").to_pylist()):
+            for name, ids, before, n in zip(*[batch.column(x).to_pylist() for x in ("doc_id", "ids", "start", "n_tokens")]):
                 start = start if names else before
                 names.append(name)
-                packed.append(np.frombuffer(ids, self.kind))
+                packed.append(stored_ids(ids, n, self.kind))
                 held += len(packed[-1])
                 if held >= BLOCK_IDS:
                     yield part, block(names, np.array([len(x) for x in packed]), start, rank[np.concatenate(packed)])
@@ -342,7 +359,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, special: bool =
     c.free_files(spark)  # the texts that were shuffled
     save_ranks(folder, ranks(tokens, width))
     placed = ranking.running_sum(tokens, [], "n_tokens", "through").withColumn("start", F.col("through") - F.col("n_tokens"))
-    placed.select("doc_id", "ids", "start", ranking.PART).write.format("token_files").option("kind", width).mode("append").save(folder)
+    placed.select("doc_id", "ids", "start", "n_tokens", ranking.PART).write.format("token_files").option("kind", width).mode("append").save(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,7 +48,7 @@ SIGNS = ".,;:!?"
 SEGMENT = 1 << 20  # characters of a text split at once
 MAGIC, HEADER = b"TOKFILE1", struct.Struct("<5q")
 RANKS = "ranks.ids"
-STORE = pa.Codec("zstd", 1)  # of ids between the two passes
+STORE = "zstd"  # of ids between the two passes
 
 
 def default_path() -> str:
@@ -183,7 +183,7 @@ def tokenized(docs: DataFrame, model: str, special: bool = True, end: int = END)
             for part in c.chunks(batch, "text"):
                 packed = [x + tail for x in codec.encode([t or "" for t in c.column(part, "text").to_pylist()])]
                 size = np.array([len(x) for x in packed], np.int64) // codec.kind.itemsize
-                packed = [STORE.compress(x, asbytes=True) for x in packed]
+                packed = [pa.compress(x, codec=STORE, asbytes=True) for x in packed]
                 yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), pa.array(packed, pa.binary()), pa.array(size)], ["doc_id", "ids", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -191,7 +191,7 @@ def tokenized(docs: DataFrame, model: str, special: bool = True, end: int = END)
 
 
 def stored_ids(packed, n: int, kind: str) -> np.ndarray:
-    return np.frombuffer(STORE.decompress(packed, n * np.dtype(kind).itemsize), kind)
+    return np.frombuffer(pa.decompress(packed, n * np.dtype(kind).itemsize, codec=STORE), kind)
 
 
 def ranks(tokens: DataFrame, kind: str) -> np.ndarray:

@@ -13,8 +13,9 @@ byte is a row of a 256 x 16 table that says where the data bytes go. Ids by rank
 vocabulary at most.
 
 ``TextCodec`` gives the tokenizer's own ids. White space between words starts a new unit of such a vocabulary, so a text is
-cut at single spaces between words and each worker keeps the ids of the units it met last (``MEMO``); texts where a cut
-isn't certain go to the tokenizer whole.
+cut at single spaces between words and each worker keeps the ids of the units it met last (``MEMO``). A new unit of letters
+only is one word of the vocabulary's pattern and goes to the tokenizer's model directly, others to the tokenizer; texts where
+a cut isn't certain go to the tokenizer whole.
 
 Defined results: a null text is the empty text, which gives the end id alone. Null document ids come first; rows that
 share an id are documents of their own, ordered by a hash of their text. Ids other than integers are refused. Strings of
@@ -72,6 +73,10 @@ def load_model(spark: SparkSession, path: str | None = None) -> str:
 # ---------------------------------------------------------------- texts to ids
 
 
+#: How byte-level vocabularies spell the bytes that aren't printable: as the letters from U+0100 on, in order.
+SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class TextCodec:
     def __init__(self, model: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,7 +112,16 @@ class TextCodec:
             else:
                 new.add(unit)
         new.update(stem for unit in ended if (stem := unit[:-1]) not in young and stem not in old)
-        listed = list(new)
+        tokens = self.tokenizer.model.tokenize
+        listed = []
+        for unit in new:
+            if unit.isascii() and unit.isalpha():
+                young[unit] = array(self.code, [t.id for t in tokens("\u0120" + unit)]).tobytes()
+            elif unit.isalpha() and max(unit) < "\u0250":
+                spelled = unit.encode().decode("latin-1").translate(SPELLED)
+                young[unit] = array(self.code, [t.id for t in tokens("\u0120" + spelled)]).tobytes()
+            else:
+                listed.append(unit)
         for at in range(0, len(listed), 4096):
             part = listed[at : at + 4096]
             young.update(zip(part, self.whole([" " + u for u in part])))

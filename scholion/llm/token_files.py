@@ -13,9 +13,9 @@ byte is a row of a 256 x 16 table that says where the data bytes go. Ids by rank
 vocabulary at most.
 
 ``TextCodec`` gives the tokenizer's own ids. White space between words starts a new unit of such a vocabulary, so a text is
-cut at single spaces between words and each worker keeps the ids of the units it met last (``MEMO``). A new unit of letters
-only is one word of the vocabulary's pattern and goes to the tokenizer's model directly, others to the tokenizer; texts where
-a cut isn't certain go to the tokenizer whole.
+cut at single spaces between words and each worker keeps the ids of the units it met last (``MEMO``). Letters of
+a new unit are one word of the vocabulary's pattern and go to the tokenizer's model directly, other units to the tokenizer;
+texts where a cut isn't certain go to the tokenizer whole.
 
 Defined results: a null text is the empty text, which gives the end id alone. Null document ids come first; rows that
 share an id are documents of their own, ordered by a hash of their text. Ids other than integers are refused. Strings of
@@ -30,6 +30,7 @@ import struct
 import uuid
 from array import array
 from itertools import islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,6 @@ MODEL, END = "byte_bpe_50k.json", 2
 BLOCK_IDS, FILE_BYTES = 1 << 20, 64 << 20
 MEMO = 400_000  # units of a generation; a worker holds two
 LONGEST_UNIT = 64
-SIGNS = ".,;:!?"
 SEGMENT = 1 << 20  # characters of a text split at once
 MAGIC, HEADER = b"TOKFILE1", struct.Struct("<5q")
 RANKS = "ranks.ids"
@@ -90,7 +90,8 @@ class TextCodec:
         self.code = "H" if self.size <= 1 << 16 else "I"
         # cuts are proven for vocabularies that split words by the usual pattern and change no text before
         self.cuts = '"normalizer":null' in model.replace(" ", "").replace("\n", "") and '"type":"ByteLevel","add_prefix_space":false' in model.replace(" ", "").replace("\n", "")
-        self.signs = dict(zip(SIGNS, self.whole(list(SIGNS))))
+        self.model = self.tokenizer.model
+        self.signs: dict[str, bytes] = {}
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -101,33 +102,44 @@ class TextCodec:
         """Ids of units that follow a space; None for those that touch other white space."""
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        young, old, new, ended = self.young, self.old, set(), []
+        young, old, rest = self.young, self.old, []
         for unit in units.difference(young):
             if unit in old:
                 young[unit] = old[unit]
             elif not unit or _loose(unit[0]) or _loose(unit[-1]):
                 young[unit] = None
-            elif unit[-1] in self.signs and unit[-2:-1].isalpha():
-                ended.append(unit)  # a letter and one sign after it are never one token
             else:
-                new.add(unit)
-        new.update(stem for unit in ended if (stem := unit[:-1]) not in young and stem not in old)
-        tokens = self.tokenizer.model.tokenize
-        listed = []
-        for unit in new:
-            if unit.isascii() and unit.isalpha():
-                young[unit] = array(self.code, [t.id for t in tokens("\u0120" + unit)]).tobytes()
-            elif unit.isalpha() and max(unit) < "\u0250":
-                spelled = unit.encode().decode("latin-1").translate(SPELLED)
-                young[unit] = array(self.code, [t.id for t in tokens("\u0120" + spelled)]).tobytes()
-            else:
-                listed.append(unit)
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
+                ids = self._word(unit, True)
+                if ids is None and "\n" in unit:  # a line's last word and the next one's first
+                    left, _, right = unit.partition("\n")
+                    some = (self._word(left, True), self._word(right, False))
+                    ids = None if None in some else some[0] + self._signs("\n") + some[1]
+                if ids is None:
+                    rest.append(unit)
+                else:
+                    young[unit] = ids
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             young.update(zip(part, self.whole([" " + u for u in part])))
-        for unit in ended:
-            stem = unit[:-1]
-            young[unit] = (young.get(stem) or old[stem]) + self.signs[unit[-1]]
+
+    def _word(self, unit: str, spaced: bool) -> bytes | None:
+        """Ids of letters with ASCII signs after them, which the vocabulary's pattern always parts; None if it is anything else."""
+        stem = unit.rstrip(punctuation)
+        if not stem.isalpha() or not stem.isascii() and max(stem) >= "\u0250":
+            return None
+        tail = self._signs(unit[len(stem) :]) if len(stem) < len(unit) else b""
+        known = (self.young.get(stem) or self.old.get(stem)) if spaced and tail else None
+        if known is None:
+            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELLED)
+            known = array(self.code, [t.id for t in self.model.tokenize("\u0120" + spelled if spaced else spelled)]).tobytes()
+        return known + tail
+
+    def _signs(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            if len(self.signs) > MEMO // 10:
+                self.signs.clear()
+            self.signs[signs] = self.whole([signs])[0]
+        return self.signs[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""

@@ -38,7 +38,7 @@ def test_units_give_the_tokenizers_ids(tokenizer, monkeypatch):
     pieces += ["123", "4", "...", "!?", "<|endoftext|>", "\u65e5\u672c", "\U0001f642", "e\u0301", "_", "'", "x" * 90]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     letters = [chr(x) for x in range(0x41, 0x250) if chr(x).isalpha()]
-    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", ",", "."]) for _ in range(40)) for _ in range(100)]
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", ".", "$$$", "'", ".\nThe", "\nA", "'s", "?\n\nOn", "<|", ")"]) for _ in range(40)) for _ in range(100)]
     texts += [" ".join(rng.choice(["some", "plain", "words", "it's", "12"]) for _ in range(200)), " ", "", "\n", " a", "a ", "  a  ", "a   b"]
     for memo, segment in ((token_files.MEMO, token_files.SEGMENT), (3, 40)):
         monkeypatch.setattr(token_files, "MEMO", memo)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from scholion.functions import normalize as n
-from scholion.operators import families, graph, metrics, ranking, reading, resolve, shredding
+from scholion.operators import families, graph, identity, metrics, ranking, reading, resolve, shredding
 from scholion.plans import query_plan
 
 QUERIES = {}
@@ -242,7 +242,7 @@ def merge_fold_exact(spark, d):
         F.col("doc_id").alias("pos"), F.array_compact(F.array(F.concat(F.lit("title:"), "title_key"))).alias("keys"), "title",
         F.array().cast("array<string>").alias("authors"), F.crc32(F.col("lang").cast("binary")).cast("long").alias("year"), F.array("route").alias("sources"),
     )
-    return resolve.merge_records(rows)
+    return identity.merge_records(rows)
 
 
 @query(

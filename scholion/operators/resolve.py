@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from scholion.functions import normalize as n
-from scholion.operators.graph import connected_components, star_links
 
 RRF_K = 60
-STRONG = ("doi", "pmid", "pmcid", "arxiv_id")
 #: Priority of the metadata sources, 99 for others.
 SOURCE_PRIORITY = {"pubmed": 0, "europe_pmc": 1, "crossref": 2, "openalex": 3, "semantic_scholar": 4, "arxiv": 5}
 
@@ -66,90 +61,6 @@ def first_per_hash(rows: DataFrame, digest: str, order: str) -> DataFrame:
     return joined.withColumn("is_duplicate", F.coalesce(F.col(order) > F.col("first"), F.lit(False)))
 
 
-def compatible(a: dict, b: dict) -> bool:
-    """May two records be one? Differing strong ids forbid it; without a shared id so do providers, years, authors."""
-    for name in STRONG:
-        if a.get(name) and b.get(name) and a[name] != b[name]:
-            return False
-    if {k for k in a["keys"] if not k.startswith("title:")} & {k for k in b["keys"] if not k.startswith("title:")}:
-        return True
-    for space in ("openalex:", "semantic_scholar:"):
-        mine, other = ({k for k in x["keys"] if k.startswith(space)} for x in (a, b))
-        if mine and other and not mine & other:
-            return False
-    if a.get("year") and b.get("year") and a["year"] != b["year"]:
-        return False
-    mine, other = ({x.lower() for x in r.get("authors") or []} for r in (a, b))
-    return not (mine and other and not mine & other)
-
-
-def absorb(a: dict, b: dict) -> None:
-    """b's values where a has none, the longer abstract, the larger count, all sources and keys in order."""
-    for name in ("title", "year", "journal", "url", *STRONG):
-        a[name] = a.get(name) or b.get(name)
-    a["authors"] = a.get("authors") or b.get("authors")
-    a["abstract"] = max(a.get("abstract") or "", b.get("abstract") or "", key=len)
-    counts = [x for x in (a.get("citation_count"), b.get("citation_count")) if x is not None and not (isinstance(x, float) and math.isnan(x))]
-    a["citation_count"] = max(counts) if counts else None
-    a["sources"] = list(dict.fromkeys([*(a.get("sources") or []), *(b.get("sources") or [])]))
-    a["keys"] = list(dict.fromkeys([*a["keys"], *b["keys"]]))
-    a["members"] += b["members"]
-
-
-def fold(records: list[dict]) -> list[dict]:
-    """Greedy merge in input order: each record joins the first compatible one that shares a key, else stands alone;
-    if it shared keys without being compatible, all involved are flagged."""
-    out: list[dict] = []
-    holders: dict[str, list[int]] = {}
-    for r in records:
-        r = {"members": [r["pos"]], "identity_conflict": False, **r}
-        near = list(dict.fromkeys(i for k in r["keys"] for i in holders.get(k, [])))
-        at = next((i for i in near if compatible(out[i], r)), None)
-        if at is None:
-            at = len(out)
-            out.append(r)
-            if near:
-                for i in (*near, at):
-                    out[i]["identity_conflict"] = True
-        else:
-            absorb(out[at], r)
-        for k in out[at]["keys"]:
-            if at not in holders.setdefault(k, []):
-                holders[k].append(at)
-    return out
-
-
-def merge_records(records: DataFrame) -> DataFrame:
-    """Order-dependent identity merge of (pos, keys, title, authors, year, …).
-
-    Records that share no key, directly or through others, can't touch: the key graph's components are found first and
-    each is folded in input order by itself, which equals folding everything in one pass.
-    """
-    links = star_links(records.select("pos", F.explode("keys").alias("key")), "pos", "key")
-    groups = connected_components(links)
-    rows = records.join(groups, F.col("pos") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "pos")).drop("vertex")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos").astype(object).where(pdf.sort_values("pos").notna(), None).to_dict("records")
-        for r in rows:
-            for name in ("keys", "authors", "sources"):
-                if name in r:
-                    r[name] = list(r[name]) if r[name] is not None else []
-        merged = fold(rows)
-        return pd.DataFrame(
-            {
-                "pos": [m["pos"] for m in merged],
-                "title": [m.get("title") for m in merged],
-                "year": pd.array([m.get("year") for m in merged], dtype="Int64"),
-                "keys": [m["keys"] for m in merged],
-                "members": [m["members"] for m in merged],
-                "identity_conflict": [m["identity_conflict"] for m in merged],
-            }
-        )
-
-    return rows.groupBy("component").applyInPandas(one, "pos long, title string, year long, keys array<string>, members array<long>, identity_conflict boolean")
-
-
 def merge_fields(rows: DataFrame, key: str, pos: str, longest: str, source: str) -> DataFrame:
     """Field merge of conflict-free groups: the longest text (earliest of equals), the union of sources, the first position."""
     return rows.groupBy(key).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,15 @@ def free_files(spark: SparkSession) -> None:
     which else happens whenever memory runs short."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again.
+
+    Like a checkpoint, but the plan forgets where they came from: a checkpoint keeps the size that Spark estimated, joins
+    multiply estimates, and after many rounds of joins the planner is busy with numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion.functions import normalize as n
-from scholion.operators import authors, clinical, families, graph, metrics, ranking, reading, resolve, shredding
+from scholion.operators import authors, clinical, families, graph, identity, metrics, ranking, reading, resolve, shredding
 from scholion.plans import query_plan
 
 
@@ -81,7 +81,7 @@ FOLDS = [
 @pytest.mark.parametrize("rows,n_out,conflict", FOLDS)
 def test_merge_fold(spark, rows, n_out, conflict):
     frame = spark.createDataFrame(rows, "pos long, keys array<string>, title string, authors array<string>, year long, doi string, pmid string, sources array<string>")
-    out = resolve.merge_records(frame).collect()
+    out = identity.merge_records(frame).collect()
     assert len(out) == n_out and all(r.identity_conflict == conflict for r in out)
 
 

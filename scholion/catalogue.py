@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from scholion.functions import normalize as n
-from scholion.operators import families, graph, identity, metrics, ranking, reading, resolve, shredding
-from scholion.plans import query_plan
+from scholion.operators import families, graph, identity, library, metrics, ranking, reading, resolve, shredding
+from scholion.plans import boolean, query_plan
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -271,6 +271,72 @@ def fuzzy_title(spark, d):
     return families.fuzzy_titles(works(spark, d).where("title_key is not null"), "doc_id", "nt")
 
 
+_BORN = "ascii(lang) * 256 + ascii(substr(lang, 2, 1))"  # a year that a language stands for
+
+
+def _identity_rows(spark, d):
+    return works(spark, d).where("lang is not null").select(
+        F.col("doc_id").alias("pos"), F.array_compact(F.array(F.concat(F.lit("title:"), "title_key"))).alias("keys"), "title",
+        F.expr(_BORN).cast("long").alias("year"), (F.col("doc_id") % 3 == 0).alias("original"), F.concat(F.lit("c"), "doc_id").alias("candidate"), (-F.col("doc_id")).alias("rank"),
+    )
+
+
+@query(
+    f"""WITH {_WORKS}, rows AS (SELECT doc_id, title_key, lang FROM works WHERE lang IS NOT NULL)
+SELECT doc_id AS pos, CASE WHEN title_key IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY title_key, lang) END AS entity,
+  title_key IS NOT NULL AND (SELECT count(DISTINCT lang) FROM rows o WHERE o.title_key = rows.title_key) > 1 AS identity_conflict FROM rows"""
+)
+def identity_rounds(spark, d):
+    return identity.identities(_identity_rows(spark, d))
+
+
+@query(
+    f"""WITH {_WORKS}, rows AS (SELECT doc_id, coalesce(title_key, 'doc:' || doc_id) AS k, lang, doc_id % 3 = 0 AS original FROM works WHERE lang IS NOT NULL)
+SELECT doc_id AS pos, 'c' || coalesce(min(doc_id) FILTER (original) OVER (PARTITION BY k, lang), min(doc_id) OVER (PARTITION BY k, lang)) AS candidate_id,
+  count(*) FILTER (original) OVER (PARTITION BY k, lang) > 0 AS pinned,
+  (SELECT count(DISTINCT lang) FROM rows o WHERE o.k = rows.k) > 1 AS identity_conflict FROM rows"""
+)
+def additive_merge(spark, d):
+    return identity.merge_additions(_identity_rows(spark, d), "original", "candidate", "rank")
+
+
+#: One query in each provider's syntax, over the documents' own words.
+_BOOLEAN = {
+    "pubmed": 'the[tiab] OR en[ab] AND ("in the"[ab] OR is) NOT apache[title]',
+    "europe_pmc": 'TITLE_ABS:the OR ABSTRACT:en AND NOT (ABSTRACT:"in the" OR is) AND lic*',
+    "arxiv": "(ti:the OR abs:en) ANDNOT abs:apache AND (all:and OR NOT abs:of) th*",
+}
+_HAS = {k: f"contains(' ' || {{}} || ' ', '{v}')" for k, v in {"the": " the ", "en": " en ", "inthe": " in the ", "is": " is ", "apache": " apache ", "lic": " lic", "and": " and ", "of": " of ", "th": " th"}.items()}
+
+
+def _any_of(word: str, *fields: str) -> str:
+    return "(" + " OR ".join(_HAS[word].format(f) for f in fields) + ")"
+
+
+@query(
+    f"""WITH {_WORKS}, folded AS (SELECT doc_id, nt AS t, {_NT.format("abstract")} AS a FROM works WHERE abstract IS NOT NULL)
+SELECT doc_id, (({_any_of("the", "t", "a")} OR {_any_of("en", "a")}) AND ({_any_of("inthe", "a")} OR {_any_of("is", "t", "a")})) AND NOT {_any_of("apache", "t")} AS pubmed,
+  {_any_of("the", "t", "a")} OR ({_any_of("en", "a")} AND NOT ({_any_of("inthe", "a")} OR {_any_of("is", "t", "a")}) AND {_any_of("lic", "t", "a")}) AS europe_pmc,
+  ({_any_of("the", "t")} OR {_any_of("en", "a")}) AND NOT {_any_of("apache", "a")} AND ({_any_of("and", "t", "a")} OR NOT {_any_of("of", "a")}) AND {_any_of("th", "t", "a")} AS arxiv
+FROM folded"""
+)
+def boolean_matches(spark, d):
+    folded = works(spark, d).where("abstract is not null").select("doc_id", "nt", n.title("abstract").alias("body"))
+    return folded.select("doc_id", *[boolean.matches(q, dialect, F.col("nt"), F.col("body")).alias(dialect) for dialect, q in _BOOLEAN.items()])
+
+
+def sentence_titles(spark, d):
+    """(doc_id, name): a document's first sentence, folded, as its title."""
+    return table(spark, d, "documents").select("doc_id", n.title(F.regexp_extract("text", r"^[^.!?\n]*", 0)).alias("name"))
+
+
+@query()
+def library_fuzzy(spark, d):
+    """Odd documents against a library of the even ones, by first sentences; held against all pairs in the tests."""
+    rows = sentence_titles(spark, d)
+    return library.fuzzy_matches(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "item"), "doc_id", "item", "name")
+
+
 # ---------------------------------------------------------------- metrics
 
 

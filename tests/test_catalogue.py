@@ -18,7 +18,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_queries_without_sql_are_few():
     """Order-dependent merging, matching ratios, and what a tolerant parser finds in raw pages have tests of their own."""
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"merge_fold_exact", "fuzzy_title", "html_elements", "element_cells"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"merge_fold_exact", "fuzzy_title", "html_elements", "element_cells", "library_fuzzy"}
 
 
 def test_elements_of_raw_pages(spark, tmp_path):

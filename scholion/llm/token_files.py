@@ -206,7 +206,7 @@ def tokenized(docs: DataFrame, model: str, special: bool = True, end: int = END)
         codec = codec_of(shared, special)
         tail = np.array([end], codec.kind).tobytes()
         for batch in batches:
-            for part in c.chunks(batch, "text"):
+            for part in c.chunks(batch, "text", 2 * c.CHUNK_BYTES):
                 packed = [x + tail for x in codec.encode([t or "" for t in c.column(part, "text").to_pylist()])]
                 size = np.array([len(x) for x in packed], np.int64) // codec.kind.itemsize
                 packed = [pa.compress(x, codec=STORE, asbytes=True) for x in packed]
@@ -226,8 +226,10 @@ def ranks(tokens: DataFrame, kind: str) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, n in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = np.bincount(stored_ids(ids.as_buffer(), n, kind))
+            packed, sizes = batch.column(0), batch.column(1).to_pylist()
+            for at in range(0, len(sizes), 256):
+                some = [stored_ids(packed[k].as_buffer(), sizes[k], kind) for k in range(at, min(at + 256, len(sizes)))]
+                found = np.bincount(np.concatenate(some))
                 if len(found) > len(total):
                     found, total = total, found
                 total[: len(found)] += found

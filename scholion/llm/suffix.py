@@ -20,6 +20,10 @@ Texts are UTF-8 bytes, matches stay within a document, occurrences may overlap,
    those windows repeat. Keys are independent, so a batch holds as many as fit ``BATCH`` bytes.
 4. Spans are merged by document and joined with the texts.
 
+``cut_repeats`` can count words instead of bytes: the same steps then read every text as a row of word codes, ``UNIT`` bytes a
+word (48 bits of its hash), so that a window of n + 1 words has one length whatever the words' letters, and white space
+doesn't count. Each window of codes is judged by itself; what is cut runs from the first to the last word of a maximal run.
+
 Defined results: a null text is empty; texts below 400 bytes lose nothing by themselves and are no match; equal
 rows are occurrences of each other; a null id is kept; other columns are ignored (``cut_repeats`` carries them
 through); an empty table gives no rows.
@@ -37,6 +41,7 @@ from scholion.llm import common as c
 
 LEAST, GRAM, CLASSES = 400, 64, 3
 BATCH, LARGE = 1 << 20, 4 << 20
+UNIT = 8  # bytes of a word's code
 _PLACE = 33  # bits of a position in a chunk: the same for all chunks, so that equal windows always agree
 FLUSH_SEGMENTS, FLUSH_BYTES = 250_000, 8 << 20
 BUCKET_BYTES = 48 << 20
@@ -56,6 +61,22 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 # ---------------------------------------------------------------- 1: segments
 
 
+def word_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with every word ``[^\\x20\\x09-\\x0D]+`` as ``UNIT`` printable bytes and nothing between."""
+    start, end, first = c.words(raw, offsets)
+    if not len(start):
+        return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
+    value = c.span_hash(c.prefix_hash(raw), start, end)
+    codes = (value[:, None] >> (c.U(6) * np.arange(UNIT, dtype=c.U))) & c.U(63)
+    return (codes + c.U(48)).astype(np.uint8).ravel(), first * UNIT
+
+
+def _read(text: str, view) -> np.ndarray:
+    """A text's bytes, as ``view`` shows them."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw if view is None else view(raw, np.array([0, len(raw)]))[0]
+
+
 def segments(raw: np.ndarray, offsets: np.ndarray, docs: np.ndarray, least: int = LEAST) -> np.ndarray:
     """The segments of a chunk of texts."""
     gram = min(GRAM, least)
@@ -171,7 +192,7 @@ def _deal(rows: np.ndarray, by: np.ndarray, buckets: int):
         yield int(bucket[a]), rows[a:b]
 
 
-def _route(buckets: int, least: int):
+def _route(buckets: int, least: int, view=None):
     def run(batches):
         held, total = [], 0
 
@@ -184,7 +205,8 @@ def _route(buckets: int, least: int):
 
         for batch in batches:
             for piece in c.chunks(batch, "text"):
-                found = segments(*c.text_buffer(c.column(piece, "text")), c.column(piece, "doc").to_numpy(), least)
+                buffer = c.text_buffer(c.column(piece, "text"))
+                found = segments(*(view(*buffer) if view else buffer), c.column(piece, "doc").to_numpy(), least)
                 held.append(found)
                 total += len(found)
                 if total >= FLUSH_SEGMENTS:
@@ -349,7 +371,7 @@ def repeated_windows(pieces: list[np.ndarray], least: int = LEAST) -> list[np.nd
 _FETCHED = "bucket int, heads binary, content binary"
 
 
-def _fetch(buckets: int):
+def _fetch(buckets: int, view=None):
     """Documents with wants -> their bytes, packed by key."""
 
     def run(batches):
@@ -372,10 +394,11 @@ def _fetch(buckets: int):
 
         for batch in batches:
             for text, wants in zip(c.column(batch, "text").to_pylist(), c.column(batch, "wants").to_pylist()):
-                raw, want = text.encode(), np.frombuffer(wants, _WANT)
+                want = np.frombuffer(wants, _WANT)
                 want = want[want["level"] == 0]
                 if not len(want):
                     continue
+                raw = _read(text, view).tobytes()
                 heads.append(want)
                 parts += [raw[a:b] for a, b in zip(want["start"].tolist(), want["end"].tolist())]
                 total += int((want["end"] - want["start"]).sum())
@@ -388,14 +411,14 @@ def _fetch(buckets: int):
     return run
 
 
-def _resegment(buckets: int, least: int):
+def _resegment(buckets: int, least: int, view=None):
     """Documents with segments to be halved -> the halves, dealt by key."""
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, text, wants in zip(*(c.column(batch, x).to_pylist() for x in ("doc", "text", "wants"))):
-                raw = np.frombuffer(text.encode(), np.uint8)
+                raw = _read(text, view)
                 for want in np.frombuffer(wants, _WANT):
                     if want["level"]:
                         level = int(want["level"])
@@ -450,8 +473,9 @@ def _search(buckets: int, least: int):
 _MARKS = "doc long, spans binary, wants binary"
 
 
-def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least: int = LEAST, large: int = LARGE) -> DataFrame:
-    """(doc, spans: list of packed spans) of the documents that lose bytes; ``doc`` is a 64-bit key."""
+def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least: int = LEAST, large: int = LARGE, view=None) -> DataFrame:
+    """(doc, spans: list of packed spans) of the documents that lose bytes; ``doc`` is a 64-bit key. With ``view``
+    (``word_codes``) the bytes are those of the texts as it shows them."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).head()[0] or 0
@@ -461,16 +485,17 @@ def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least:
     def settled(routed: DataFrame) -> DataFrame:
         return routed.groupBy("bucket").applyInArrow(_match(buckets, least, large), _PACKED).groupBy("bucket").applyInArrow(_by_document, _MARKS)
 
-    marks = c.cut_lineage(settled(rows.where(F.octet_length("text") >= least).mapInArrow(_route(buckets, least), _PACKED)), free=True)
+    shortest = least if view is None else 2 * (least // UNIT) - 1  # so many words with white space between
+    marks = c.cut_lineage(settled(rows.where(F.octet_length("text") >= shortest).mapInArrow(_route(buckets, least, view), _PACKED)), free=True)
     rounds, last = [marks], marks
     while last.where(F.expr("wants is not null")).mapInArrow(_any_to_halve, "n int").limit(1).count():
         split = rows.join(last.where("wants is not null").select("doc", "wants"), "doc").select("doc", "text", "wants")
-        last = c.cut_lineage(settled(split.mapInArrow(_resegment(buckets, least), _PACKED)), free=True)
+        last = c.cut_lineage(settled(split.mapInArrow(_resegment(buckets, least, view), _PACKED)), free=True)
         rounds.append(last)
     found = []
     for marked in rounds:
         wanted = marked.where("wants is not null").select("doc", "wants")
-        fetched = rows.join(wanted, "doc").select("text", "wants").mapInArrow(_fetch(buckets), _FETCHED)
+        fetched = rows.join(wanted, "doc").select("text", "wants").mapInArrow(_fetch(buckets, view), _FETCHED)
         # dealt by hand: coalescing by bytes would leave a few tasks with all the sorting
         searched = fetched.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_search(buckets, least), _PACKED)
         found += [marked.where("spans is not null").select("doc", "spans"), searched.groupBy("bucket").applyInArrow(_by_document, _MARKS).select("doc", "spans")]
@@ -486,12 +511,15 @@ def _any_to_halve(batches):
         yield pa.RecordBatch.from_arrays([pa.array([1] * min(n, 1), pa.int32())], ["n"])
 
 
-def _cut(raw: bytes, packed: list[bytes] | None, words: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and the spans that go: those that touch more than ``words`` words."""
+def _cut(raw: bytes, packed: list[bytes] | None, by_words: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and the spans that go; spans of word codes become those of the words they hold whole."""
     if not packed:
         return raw, []
     spans = merge_spans(np.concatenate([np.frombuffer(x, _SPAN) for x in packed]))
-    cuts = [(a, b) for a, b in zip(spans["start"].tolist(), spans["end"].tolist()) if not words or len(raw[a:b].split()) > words]
+    cuts = list(zip(spans["start"].tolist(), spans["end"].tolist()))
+    if by_words:
+        start, end, _ = c.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        cuts = [(int(start[-(-a // UNIT)]), int(end[b // UNIT - 1])) for a, b in cuts]
     kept, at = [], 0
     for a, b in cuts:
         kept.append(raw[at:a])
@@ -530,13 +558,14 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leas
 
 
 def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST, words: int = 0) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of the text, maximal runs of more than ``words`` words only; a character cut in
-    two goes. Other columns are kept."""
+    """``docs`` with what repeats cut out of the text: strings of ``least`` bytes, where a character cut in two goes too, or, if
+    ``words`` is given, passages of more than ``words`` words, of any number of bytes. Other columns are kept."""
+    view, least = (word_codes, (words + 1) * UNIT) if words else (None, least)
     names, schema = docs.columns, docs.schema
     mark = "__cut"
     while any(name.startswith(mark) for name in names):
         mark += "_"
-    spans = repeated_spans(_keyed(docs, id_column, text), least=least).select(F.col("doc").alias(f"{mark}doc"), F.col("spans").alias(f"{mark}spans"))
+    spans = repeated_spans(_keyed(docs, id_column, text), least=least, view=view).select(F.col("doc").alias(f"{mark}doc"), F.col("spans").alias(f"{mark}spans"))
     keyed = docs.withColumn(f"{mark}doc", F.xxhash64(F.col(id_column), F.coalesce(F.col(text).cast("string"), F.lit(""))))
     joined = keyed.join(spans, f"{mark}doc", "left").drop(f"{mark}doc")
 
@@ -544,7 +573,7 @@ def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in c.chunks(batch, text):
                 texts = [
-                    body if body is None or not packed else _cut(body.encode(), packed, words)[0].decode("utf-8", "ignore")
+                    body if body is None or not packed else _cut(body.encode(), packed, bool(words))[0].decode("utf-8", "ignore")
                     for body, packed in zip(c.column(part, text).to_pylist(), c.column(part, f"{mark}spans").to_pylist())
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == text else c.column(part, x) for x in names], names)

@@ -2,8 +2,8 @@
 
 1. toxicity: documents scored toxic go.
 2. n-gram Jaccard join: five-word shingles at 0.8 or more; one document of each group stays.
-3. suffix-array dedup: passages that repeat, of more than ``REPEAT_WORDS`` words and ``REPEAT_BYTES`` bytes or more, are cut out of
-   the texts.
+3. suffix-array dedup: passages of more than ``REPEAT_WORDS`` words that repeat are cut out of the texts, however short the
+   words; white space between words doesn't count.
 4. mixing: sources are replicated towards their target weights; every copy is a row.
 5. SentencePiece: every text becomes piece ids.
 
@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scholion.llm import jaccard, mixing, pieces, suffix, toxicity
 from scholion.llm.common import shared_folder
 
-#: Passages of over 50 words. The byte bound routes the search: 51 words of three letters on average have as many.
-REPEAT_WORDS, REPEAT_BYTES = 50, 200
+REPEAT_WORDS = 50
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
@@ -36,7 +35,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix.cut_repeats(docs, least=REPEAT_BYTES, words=REPEAT_WORDS)
+    cut = suffix.cut_repeats(docs, words=REPEAT_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 

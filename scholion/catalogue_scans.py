@@ -226,18 +226,36 @@ def declared_links(spark, d):
     return rows.select("page_id", F.array_join(objects.declared_pdf_links("html", F.lit("https://h.example/a/b")), ";").alias("links"))
 
 
-@query(rf"""WITH r AS (SELECT doc_id, doc_id % 2 = 0 AS supplement, n_chars FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'mismatch' WHEN doc_id % 5 = 1 THEN 'manual_review' WHEN doc_id % 5 = 2 THEN 'verified' WHEN doc_id % 5 = 3 THEN 'manual_review' ELSE 'verified' END AS identity FROM r""")
+#: What the first page of a document shows beside the title: (text, identity). ``@`` stands for its id.
+_FIRST_PAGES = [
+    ("Supplementary Information", "mismatch"),
+    ("Erratum", "manual_review"),
+    ("doi: 10.1000/X.@.", "verified"),
+    ("doi 10.1000/other.@", "manual_review"),
+    ("Anna Leeson", "verified"),
+    ("no identifier, nobody named", "manual_review"),
+    ("Anna Leeson https://doi.org/10.1101/2024.@", "manual_review"),  # a preprint's DOI that nobody approved
+    ("https://doi.org/10.21203/rs.@", "verified"),  # an approved version
+    ("Anna Leeson https://arxiv.org/abs/2401.00007v2", "verified"),  # the record's number
+    ("Anna Leeson https://arxiv.org/pdf/2401.00008", "manual_review"),
+    ("Anna Leeson arXiv: hep-th/9901001 and arXiv:2401.00007", "manual_review"),
+    ("doi 10.1000/other.@ and 10.1000/x.@", "verified"),
+]
+
+
+@query(f"""SELECT doc_id, list_extract([{", ".join(f"'{state}'" for _, state in _FIRST_PAGES)}], CAST((doc_id + coalesce(length(text), 0)) % {len(_FIRST_PAGES)} AS INTEGER) + 1) AS identity FROM documents""")
 def page_identity(spark, d):
     from scholion.sources import objects
 
+    which = (F.col("doc_id") + F.coalesce(F.length("text"), F.lit(0))) % len(_FIRST_PAGES)
+    shown = F.replace(F.element_at(F.array(*[F.lit(x) for x, _ in _FIRST_PAGES]), which.cast("int") + 1), F.lit("@"), F.col("doc_id").cast("string"))
     title = F.expr("'A study of sodium outcomes number ' || doc_id")
-    doi = F.expr("'10.1000/x.' || doc_id")
-    first = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Supplementary Information\n' WHEN 1 THEN 'Erratum\n' ELSE '' END")
-    shown = F.expr("CASE doc_id % 5 WHEN 2 THEN 'doi: 10.1000/X.' || doc_id || '.' WHEN 3 THEN 'doi 10.1000/other.1' WHEN 4 THEN 'Anna Leeson' ELSE '' END")
-    page = F.concat(first, F.upper(title), F.lit("\n"), shown, F.lit("\nbody text\nReferences\n10.1000/far.9"))
-    rows = table(spark, d, "documents").select("doc_id", page.alias("page"), title.alias("title"), doi.alias("doi"), F.array(F.lit("Anna Leeson")).alias("authors"))
-    return rows.select("doc_id", objects.first_page_identity("page", "title", "doi", "authors").alias("identity"))
+    page = F.concat(shown, F.lit("\n"), F.upper(title), F.lit("\nbody text\nReferences\n10.1000/far.9"))
+    rows = table(spark, d, "documents").select(
+        "doc_id", page.alias("page"), title.alias("title"), F.expr("'https://doi.org/10.1000/x.' || doc_id").alias("doi"), F.array(F.lit("Anna Leeson")).alias("authors"),
+        F.lit("arXiv:2401.00007v1").alias("arxiv_id"), F.array(F.expr("'10.21203/rs.' || doc_id")).alias("versions"),
+    )
+    return rows.select("doc_id", objects.first_page_identity("page", "title", "doi", "authors", "arxiv_id", "versions").alias("identity"))
 
 
 @query("""SELECT l_orderkey AS file, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS line, l_partkey || ';' || l_suppkey AS cells FROM lineitem""")

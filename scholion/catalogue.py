@@ -646,4 +646,4 @@ def same_publication(spark, d):
 
 
 # the other modules register themselves
-from scholion import catalogue_documents, catalogue_families, catalogue_plans, catalogue_records, catalogue_runs, catalogue_scans  # noqa: E402, F401
+from scholion import catalogue_documents, catalogue_families, catalogue_plans, catalogue_records, catalogue_runs, catalogue_scans, catalogue_streams  # noqa: E402, F401

@@ -1,6 +1,6 @@
-"""Host deadlines as a stream (an extension: the batch form is ``metrics.latest_deadlines``).
+"""Host deadlines by window and host as a stream (``keyed.host_cooldowns`` keeps one deadline a host over all windows).
 
-Deferrals arrive as events (host, at, seconds); per host the later deadline is kept. State is one number a host and
+Deferrals arrive as events (host, at, seconds); per window and host the later deadline is kept. State is one number each and
 leaves after the watermark passed the deadline's window.
 """
 

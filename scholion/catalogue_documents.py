@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from scholion.catalogue import query, table
-from scholion.operators import shredding
+from scholion.operators import lexical, shredding
 
 _LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
 
@@ -142,3 +142,21 @@ def asset_reuse(spark, d):
     known = table(spark, d, "lineitem").where("l_partkey % 3 % 2 = 0").select(F.concat(F.lit("u"), "l_partkey").alias("url"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"))
     fetch, held = shredding.declared_assets(rows, known, "document")
     return fetch.select("document", "url", "kind", F.lit(False).alias("reused")).unionByName(held.select("document", "url", "kind", F.lit(True).alias("reused")))
+
+
+_SPANS_OF = lambda term: f"list_transform(range(1, len(string_split(low, '{term}'))), lambda i: [list_sum(list_transform(string_split(low, '{term}')[1:i], lambda x: length(x))) + (i - 1) * {len(term)}, list_sum(list_transform(string_split(low, '{term}')[1:i], lambda x: length(x))) + i * {len(term)}])"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+e AS (SELECT doc_id, CAST(unnest(range(0, len(lines))) AS INTEGER) AS pos, lower(unnest(lines)) AS low FROM l),
+o AS (SELECT doc_id, pos, {_SPANS_OF("ening")} AS a, {_SPANS_OF("de")} AS b FROM e WHERE pos % 3 = 1),
+s AS (SELECT doc_id, pos, len(a) + len(b) AS score, list_sort(list_distinct(a || b)) AS spans FROM o)
+SELECT doc_id, pos, CAST(score AS BIGINT) AS score, CAST(len(spans) AS BIGINT) AS span_count, array_to_string(list_transform(spans[1:{lexical.SPANS}], lambda x: x[1] || '-' || x[2]), ' ') AS spans
+FROM s WHERE score > 0 ORDER BY score DESC, doc_id, pos LIMIT 50""")
+def indexed_find(spark, d):
+    """Lines of documents, numbered and under sections in turn, indexed; the first 50 for two words in one section."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.withColumn("section", F.array(F.concat(F.lit("Part "), (F.col("pos") % 3).cast("string"))))
+    found = lexical.find(lexical.build(rows, ["doc_id", "pos"], "line", "section"), "Ening, de ening", 50, "PART 1")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return found.select("doc_id", "pos", "score", "span_count", spans.alias("spans"))

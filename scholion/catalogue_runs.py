@@ -93,7 +93,7 @@ def _states(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {_STATES}, a AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in metrics.NEXT_ACTIONS.items())})
-SELECT doc_id, state, coalesce(a.col1, CASE WHEN state NOT IN ('verified_pdf', 'duplicate_pdf', 'fulltext_only', 'pending') THEN 'Use content to check eligible alternate formats and inspect the saved attempt evidence.' END) AS next_action
+SELECT doc_id, state, coalesce(a.col1, CASE WHEN state NOT IN ('verified_pdf', 'duplicate_pdf', 'fulltext_only', 'pending') THEN '{metrics.OTHER_ACTION}' END) AS next_action
 FROM p LEFT JOIN a ON a.col0 = state""")
 def run_check(spark, d):
     return _states(spark, d).select("doc_id", "state", metrics.next_action("state").alias("next_action"))
@@ -126,12 +126,24 @@ def _reported(spark, d) -> DataFrame:
     return rows.withColumn("failure_reason", F.when(F.col("doc_id") % 4 == 1, "gone").otherwise("")).withColumn("verified", F.col("doc_id") % 4 == 0)
 
 
-@query(f"""WITH {_REPORTED}, l AS (SELECT doc_id, list_filter(['## ' || title, '- Status: `' || download_status || '`', '- Reason: ' || coalesce(nullif(failure_reason, ''), 'No verified OA PDF candidate'),
-  '- Interpretation: ' || CASE download_status WHEN 'dead_link' THEN '{reports.GUIDANCE["dead_link"]}' WHEN 'deferred' THEN '{reports.GUIDANCE["deferred"].replace("'", "''")}' ELSE '{reports.OTHERWISE}' END,
-  CASE WHEN doi <> '' THEN '- DOI landing page: https://doi.org/' || doi END, CASE WHEN pmid <> '' THEN '- PubMed: https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' END], lambda x: x IS NOT NULL) AS lines FROM r WHERE doc_id % 4 <> 0)
+@query(f"""WITH {_REPORTED}, l AS (
+  SELECT doc_id, list_filter([
+    '## ' || title,
+    '- `' || download_status || '`: ' || CASE download_status WHEN 'dead_link' THEN '{reports.GUIDANCE["dead_link"]}' WHEN 'deferred' THEN '{reports.GUIDANCE["deferred"].replace("'", "''")}' ELSE '{reports.OTHERWISE}' END,
+    '- What was recorded: ' || coalesce(nullif(failure_reason, ''), '{reports.NO_REASON}'),
+    CASE WHEN doc_id % 4 = 2 THEN '- Next attempt from: 2024-01-' || lpad('' || (1 + doc_id % 28), 2, '0') END,
+    '- Attempts so far: ' || doc_id % 3,
+    CASE WHEN doi <> '' THEN '- DOI: https://doi.org/' || doi END,
+    CASE WHEN pmid <> '' THEN '- PubMed: https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' END,
+    CASE WHEN doc_id % 5 = 0 THEN '- Europe PMC: https://europepmc.org/articles/PMC' || doc_id END,
+    CASE WHEN doc_id % 7 = 0 THEN '- Page: https://example.org/' || doc_id END], lambda x: x IS NOT NULL) AS lines
+  FROM r WHERE doc_id % 4 <> 0)
 SELECT doc_id, CAST(unnest(range(0, len(lines))) AS INTEGER) AS line_no, unnest(lines) AS line FROM l""")
 def failure_report(spark, d):
-    return reports.failure_report(_reported(spark, d), "doc_id", "download_status", "verified")
+    rows = _reported(spark, d).withColumn("retry_at", F.expr("CASE WHEN doc_id % 4 = 2 THEN '2024-01-' || lpad(1 + doc_id % 28, 2, '0') END"))
+    rows = rows.withColumn("attempts", F.expr("slice(array('a', 'b', 'c'), 1, cast(doc_id % 3 as int))"))
+    rows = rows.withColumn("pmcid", F.expr("CASE WHEN doc_id % 5 = 0 THEN 'PMC' || doc_id ELSE '' END")).withColumn("url", F.expr("CASE WHEN doc_id % 7 = 0 THEN 'https://example.org/' || doc_id END"))
+    return reports.failure_report(rows, "doc_id", "download_status", "verified")
 
 
 @query(rf"""WITH {_REPORTED} SELECT doc_id, '| ' || doc_id || ' | ' || replace(title, '|', '\|') || ' | ' || coalesce('' || year, '') || ' | J | ' || coalesce(nullif(doi, ''), nullif(pmid, ''), '') || ' | ' || download_status || ' | ' || replace(source, '|', '\|') || ' |' AS value FROM r""")

@@ -248,6 +248,12 @@ def test_mixing(docs, spark):
     assert abs(count["x"] - 10000) < 400 and abs(count["y"] - 10000) < 400
     large = mixing.replicate(spark.range(300).selectExpr("id as doc_id", "if(id < 3, 'x', 'y') as source"), {"x": 1.0}).groupBy("doc_id").count().collect()
     assert abs(sum(r["count"] for r in large) - 300) < 90  # a rate of 100 is drawn in four parts
+    nameless = spark.range(4000).selectExpr("if(id % 2 = 0, id, null) as doc_id", "'text ' || id as text", "'s' as source")
+    for seed in (1, 2, 3):  # rows without an id draw by their texts, each for itself, and are dealt apart
+        drawn = mixing.replicate(nameless, {"s": 1.0}, seed=seed).where("doc_id is null")
+        assert abs(drawn.count() - 2000) < 5 * math.sqrt(2000) and drawn.select("shuffle_key").distinct().count() == drawn.count()
+    twice = spark.range(3000).selectExpr("7L as doc_id", "'text ' || id as text", "'s' as source")
+    assert abs(mixing.replicate(twice, {"s": 1.0}).count() - 3000) < 5 * math.sqrt(3000)
     steps = mixing.poisson_steps(2.5)
     assert math.isclose(steps[2], math.exp(-2.5) * (1 + 2.5 + 2.5**2 / 2)) and mixing.poisson_steps(0.0) == [1.0]
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scholion.functions import normalize as n
 from scholion.operators import families
@@ -157,15 +157,58 @@ def evidence(pairs: DataFrame, who: DataFrame) -> DataFrame:
     )
 
 
+def pairs_across(left: DataFrame, right: DataFrame, group: str, node: str, part: int = PART) -> DataFrame:
+    """(a, b) of every row on the left with every one on the right of its group: two parts of a group meet in a cell."""
+
+    parts = lambda rows, name: rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias(name))
+    sizes = parts(left, "__as").join(parts(right, "__bs"), group)  # groups without one of the sides end here
+    place = lambda count: F.pmod(F.xxhash64(node), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    one = left.select(group, node).join(sizes, group).select(group, F.col(node).alias("a"), place("__as").alias("__i"), every("__bs").alias("__j"))
+    other = right.select(group, node).join(sizes, group).select(group, F.col(node).alias("b"), place("__bs").alias("__j"), every("__as").alias("__i"))
+    return one.join(other, [group, "__i", "__j"]).select("a", "b")
+
+
+def telling_items(items: DataFrame, shared: int) -> DataFrame:
+    """(id, item) without the ``shared - 1`` most frequent items of each id. Two ids with ``shared`` common items have one
+    left in common: of those they share, the rarest. Items of a single id can't be shared and go at once."""
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("__n"), "item"))  # items of one record
+    return items.join(counts, "item").withColumn("__place", place).where(F.col("__place") >= shared).select("id", "item")
+
+
+#: What the evidence asks for at least: words of both titles, five-word runs of both abstracts; years between two versions.
+TITLE_WORDS, ABSTRACT_RUNS, YEARS = 4, 10, 4
+
+
+def near_pairs(who: DataFrame) -> DataFrame:
+    """(a, b), a < b: a preprint and a journal record at most ``YEARS`` apart that share an author and enough of the title or the
+    abstract to be worth comparing.
+
+    They meet by an author, a telling word or run and a band of years together, so a frequent author's records, or those with a
+    frequent sentence, don't meet each other: no pair is made that the evidence couldn't take for that reason.
+    """
+    rows = who.where("role in ('preprint', 'journal') and year is not null").select("id", "role", "year", "nt", "abstract", key_column("authors").alias("people")).where(F.size("people") > 0)
+    rows = cut_lineage(rows)
+    words = F.filter(F.array_distinct(F.split("nt", " ")), lambda w: ~w.isin(STOP_WORDS))
+    titles = telling_items(rows.select("id", F.explode(words).alias("word")).select("id", F.xxhash64(F.lit("t"), "word").alias("item")).distinct(), TITLE_WORDS)
+    read = rows.select("id", F.split(n.title(canonical_numbers("abstract")), " ").alias("words"))
+    texts = telling_items(read.select("id", F.explode(families.shingles("words", 5)).alias("run")).select("id", F.xxhash64(F.lit("a"), "run").alias("item")).distinct(), ABSTRACT_RUNS)
+    keyed = titles.unionByName(texts).join(rows.select("id", "role", "year", F.explode("people").alias("person")), "id")
+    band = F.floor(F.col("year") / (YEARS + 1))
+    drafts = keyed.where("role = 'preprint'").select("id", F.xxhash64("person", "item", band).alias("cell"))
+    printed = keyed.where("role = 'journal'").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).select("id", F.xxhash64("person", "item", "band").alias("cell"))
+    met = cut_lineage(pairs_across(cut_lineage(drafts), cut_lineage(printed), "cell", "id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    side = lambda x: rows.select(F.col("id").alias(x), F.col("year").alias(f"y{x}"), F.col("people").alias(f"p{x}"))
+    return met.join(side("a"), "a").join(side("b"), "b").where(f"abs(ya - yb) <= {YEARS} and arrays_overlap(pa, pb)").select("a", "b")
+
+
 def candidate_pairs(who: DataFrame) -> DataFrame:
     """Pairs with an equal title, and preprint and journal records up to four years apart that share an author and either
     enough of the title or enough of the abstract."""
     same = pairs_within(who.where("nt <> ''"), "nt", "id").select("a", "b")
-    by_author = pairs_within(who.where("role in ('preprint', 'journal') and year is not null").select("id", F.explode(key_column("authors")).alias("person")), "person", "id").select("a", "b").distinct()
-    light = who.select("id", "role", "year")
-    near = by_author.join(light.toDF("a", "ra", "ya"), "a").join(light.toDF("b", "rb", "yb"), "b").where("ra <> rb and abs(ya - yb) <= 4").select("a", "b")
-    near = near.join(same, ["a", "b"], "left_anti")
-    read = evidence(near, who).where("candidate or (shared_fivegrams >= 10 and distinctive_shared_tokens >= 20 and token_containment >= 0.55)")
+    near = near_pairs(who).join(same, ["a", "b"], "left_anti")
+    read = evidence(near, who).where(f"candidate or (shared_fivegrams >= {ABSTRACT_RUNS} and distinctive_shared_tokens >= 20 and token_containment >= 0.55)")
     return same.unionByName(read.select("a", "b")).distinct()
 
 
@@ -176,18 +219,33 @@ def _components(who: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _bad_components(who: DataFrame, edges: DataFrame, apart: DataFrame, explicit: DataFrame, metadata_layer: bool) -> tuple[DataFrame, DataFrame]:
-    """(membership, components with a pair that doesn't belong together)."""
+    """(membership, components with a pair that doesn't belong together).
+
+    All members are compared with the first one of their component, which finds most bad components, and every restricted
+    member, in as many pairs as there are members; only components without a fault there are compared in all pairs.
+    """
     place = _components(who, edges)
-    pairs = cut_lineage(pairs_within(place, "component", "id"))
     said = apart.select("a", "b", F.lit(True).alias("said_apart"))
     known = explicit.select("a", "b", F.lit(True).alias("linked"))
-    read = evidence(pairs, who).join(said, ["a", "b"], "left").join(known, ["a", "b"], "left").join(pairs, ["a", "b"])
-    bad = F.coalesce("said_apart", F.lit(False)) | F.col("restricted")
-    unlinked = F.col("two_journals") | (F.col("disjoint") & ~F.col("titles_equal"))
-    if metadata_layer:
-        unlinked = unlinked | ~F.coalesce("support", F.lit(False))
-    bad = bad | (~F.coalesce("linked", F.lit(False)) & unlinked)
-    return place, cut_lineage(read.where(bad).select("component").distinct())
+
+    def faulty(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs)
+        if pairs.isEmpty():
+            return pairs.select("component")
+        read = evidence(pairs, who).join(said, ["a", "b"], "left").join(known, ["a", "b"], "left").join(pairs, ["a", "b"])
+        bad = F.coalesce("said_apart", F.lit(False)) | F.col("restricted")
+        unlinked = F.col("two_journals") | (F.col("disjoint") & ~F.col("titles_equal"))
+        if metadata_layer:
+            unlinked = unlinked | ~F.coalesce("support", F.lit(False))
+        bad = bad | (~F.coalesce("linked", F.lit(False)) & unlinked)
+        return cut_lineage(read.where(bad).select("component").distinct())
+
+    heads = place.groupBy("component").agg(F.min("id").alias("a"))
+    with_head = place.withColumnRenamed("id", "b").join(heads, "component").where("a < b").select("component", "a", "b")
+    early = faulty(with_head)
+    rest = pairs_within(place.join(early, "component", "left_anti"), "component", "id")
+    late = faulty(rest.join(with_head, ["component", "a", "b"], "left_anti"))
+    return place, early.unionByName(late)
 
 
 def _sorted(edges: DataFrame) -> DataFrame:

@@ -76,3 +76,33 @@ def test_pairs_within_groups(spark):
     rows = spark.createDataFrame([(k % 3, k) for k in range(40)] + [(9, 100)], "g int, id long")
     made = [tuple(r) for r in work_families.pairs_within(rows, "g", "id", part=4).collect()]
     assert sorted(made) == sorted((g, a, b) for g in range(3) for a in range(40) for b in range(40) if a < b and a % 3 == g == b % 3)
+
+
+def test_pairs_across_groups(spark):
+    left, right = [(k % 3, k) for k in range(25)] + [(8, 200)], [(k % 3, 100 + k) for k in range(31)] + [(9, 300)]
+    made = work_families.pairs_across(spark.createDataFrame(left, "g int, id long"), spark.createDataFrame(right, "g int, id long"), "g", "id", part=4)
+    assert sorted(map(tuple, made.collect())) == sorted((a, b) for g, a in left for h, b in right if g == h)
+
+
+def test_near_pairs_lose_no_candidate(spark):
+    """Against all pairs of preprint and journal records that share an author, with sentences that all abstracts hold."""
+    rng, rows = random.Random(5), []
+    names = ["Wei Wang", "Anna Leeson", "Bob Chandler", "Li"]
+    pool = [f"titleword{k}" for k in range(14)]
+    texts = [abstract(random.Random(k), 40) for k in range(3)]
+    for k in range(60):
+        words = rng.choice(texts).split()
+        cut = rng.randrange(0, 30)
+        rows.append((k, " ".join(rng.sample(pool, 8)), rng.sample(names, 2), rng.choice([2001, 2004, 2005, 2009, None]), " ".join(words[:20] + words[20 + cut :]), "", "", "", "", rng.choice(["preprint", "journalArticle"]), None))
+    who = work_families.members(spark.createDataFrame(rows, SCHEMA)).cache()
+    made = {tuple(r) for r in work_families.near_pairs(who).collect()}
+    light = who.select("id", "role", "year", work_families.key_column("authors").alias("people"))
+    every = light.toDF("a", "ra", "ya", "pa").join(light.toDF("b", "rb", "yb", "pb"), F.expr("a < b and ra <> rb and abs(ya - yb) <= 4 and arrays_overlap(pa, pb)")).select("a", "b")
+    wanted = work_families.evidence(every, who).where("candidate or (shared_fivegrams >= 10 and distinctive_shared_tokens >= 20 and token_containment >= 0.55)")
+    wanted = {(r.a, r.b) for r in wanted.collect()}
+    assert wanted and wanted <= made <= {tuple(r) for r in every.collect()}
+
+
+def test_a_frequent_author_and_sentence_do_not_pair_records(spark):
+    rows = [(k, f"Title {k}", ["Wei Wang"], 2020, "One sentence that all of these records hold.", "", "", "", "", "preprint" if k % 2 else "journalArticle", None) for k in range(300)]
+    assert work_families.near_pairs(work_families.members(spark.createDataFrame(rows, SCHEMA))).count() == 0

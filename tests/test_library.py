@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion import catalogue
-from scholion.operators import library
+from scholion.operators import families, library
 from scholion.operators.families import matching_ratio
 from scholion.plans import boolean
 
@@ -82,3 +82,41 @@ def test_terms_and_faults(spark):
     for query, dialect, code in (("a AND", "pubmed", "trailing"), ("(a OR b", "arxiv", "unbalanced"), ("a)", "arxiv", "unbalanced"), ("OR a", "arxiv", "misplaced"), ("x:a", "arxiv", "unknown_field"), ("a[mesh]", "pubmed", "unknown_field"), ('a "b', "arxiv", "unexpected")):
         with pytest.raises(boolean.BooleanError, match=code):
             boolean.parse(query, dialect)
+
+
+def test_blocks_of_long_texts_and_bags(monkeypatch):
+    """Matching blocks equal SequenceMatcher's by listed runs, by bisection and with little left to reach; bags lose no match."""
+    rng, texts = random.Random(5), []
+    for k in range(60):
+        base = "".join(rng.choice("ab" if k % 3 else "abcdefgh ") for _ in range(rng.randint(9, 120)))
+        chars = list(base)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "ab"])
+        texts += [base, "".join(chars)]
+    texts += ["a" * 90 + "bc" * 20, "a" * 80 + "bc" * 24]
+    bags = families.Bags(texts)
+    for window, places in ((1, 8), (1, 0), (1 << 13, 8)):
+        monkeypatch.setattr(families, "WINDOW", window)
+        monkeypatch.setattr(families, "PLACES", places)
+        for k, a in enumerate(texts[::2]):
+            near = set(bags.near(bags, 2 * k, 0, 0.92))
+            for j in {2 * k + 1, *rng.sample(range(len(texts)), 12)}:
+                b = texts[j]
+                held = sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+                assert families._blocks_length(a, b) == families._blocks_length(a, b, held) == held
+                assert j in near or 2 * held / (len(a) + len(b)) < 0.92
+
+
+def test_titles_of_a_library_travel_a_bounded_number_of_times(spark, monkeypatch):
+    """A title of n letters once was n rows that held it whole; now it meets parts of three bands of lengths."""
+    long = "".join(random.Random(1).choice("abcdefghij ") for _ in range(6000)).strip()
+    names = [(1, long), (2, long[:3000] + "q" + long[3001:]), (3, "a quite ordinary title"), (4, "a quite ordinary titles"), (5, "a quite ordinary titlesx")]
+    rows, seen = spark.createDataFrame(names, "k long, t string"), []
+    whole = library._met
+    monkeypatch.setattr(library, "_met", lambda *a: seen.append(whole(*a)) or seen[-1])
+    for part in (2000, 1):
+        monkeypatch.setattr(library, "PART", part)
+        found = library.fuzzy_matches(rows.where("k % 2 = 1"), rows.where("k % 2 = 0").withColumnRenamed("k", "i"), "k", "i", "t").collect()
+        assert sorted((r.k, r.i) for r in found) == [(1, 2), (3, 4), (5, 4)]
+    assert sum(f.count() for f in seen[:2]) <= 15

@@ -129,6 +129,34 @@ def same_publication(doi_a, doi_b, title_a, title_b, year_a, year_b, authors_a,
     return F.when((a != "") & (b != ""), a == b).otherwise(F.coalesce(described, F.lit(False)))
 
 
+def equal_title_pairs(a: DataFrame, b: DataFrame, node: str, part: int = 2000) -> DataFrame:
+    """(a, b, same) for every record of ``a`` with every one of ``b`` of an equal non-empty title: ``same_publication`` of rows (node,
+    raw_doi, title, year, authors). DOI, year and tokens are read once a record, the title is a digest from then on, and a
+    frequent title is met in cells of two parts of about ``part`` records."""
+
+    def slim(rows: DataFrame, side: str) -> DataFrame:
+        name = n.title("title")
+        return rows.where(name != "").select(
+            F.sha2(name, 256).alias("of"), F.col(node).alias(side), F.nullif(n.doi("raw_doi"), F.lit("")).alias(f"{side}_doi"), F.substring(F.col("year").cast("string"), 1, 4).try_cast("int").alias(f"{side}_y"),
+            F.col("year").alias(f"{side}_year"), match_tokens("authors").alias(f"{side}_tokens"),
+        )
+
+    left, right = slim(a, "a"), slim(b, "b")
+    count = lambda rows, side: rows.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias(f"{side}_parts"))
+    sizes = count(left, "a").join(count(right, "b"), "of")
+
+    def dealt(rows: DataFrame, side: str, other: str) -> DataFrame:
+        met = rows.join(sizes, "of").withColumn(f"{side}_part", F.pmod(F.xxhash64(side), f"{side}_parts").cast("int"))
+        return met.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))).drop("a_parts", "b_parts")
+
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows make many pairs: not as few tasks as their bytes fill
+    cell = ["of", "a_part", "b_part"]
+    pairs = dealt(left, "a", "b").repartition(tasks, *cell).hint("merge").join(dealt(right, "b", "a").repartition(tasks, *cell), cell)
+    described = F.coalesce((F.col("a_year") == F.col("b_y")) & F.arrays_overlap("a_tokens", "b_tokens"), F.lit(False))
+    same = F.when(F.col("a_doi").isNotNull() & F.col("b_doi").isNotNull(), F.col("a_doi") == F.col("b_doi")).otherwise(described)
+    return pairs.select("a", "b", same.alias("same"))
+
+
 def shared_author_pairs(rows: DataFrame, node: str, names: str, *more: str, part: int = 200) -> DataFrame:
     """Pairs (a, b, …) of records that share an author key, each pair once, without a task for a frequent name.
 

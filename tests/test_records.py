@@ -78,3 +78,16 @@ def test_metered_policy():
     assert r.content_policy() == ("disabled", 0) and r.content_policy(enabled=True) == ("blocked", 0)
     assert r.content_policy(enabled=True, free_only=False, allow_paid=True, max_files=9, max_cost=0.05, has_key=True) == ("enabled", 5)
     assert r.canonical({"b": "é", "a": [1, None]}) == '{"a":[1,null],"b":"é"}'
+
+
+def test_equal_titles_meet_in_cells(spark):
+    """Pairs of a frequent title are dealt over cells and equal the comparison pair by pair."""
+    from scholion.operators import authors as people
+
+    rows = [(k, "https://doi.org/10.1000/A" if k % 5 == 0 else "10.1000/b" if k % 5 == 1 else "", "One Title!" if k % 7 else "other", 2000 + k % 3 if k % 4 else None, ["Lee Chan"] if k % 3 else ["Bo Nowak"]) for k in range(60)]
+    frame = spark.createDataFrame(rows, "id long, raw_doi string, title string, year int, authors array<string>")
+    found = people.equal_title_pairs(frame.where("id % 2 = 0"), frame.where("id % 2 = 1"), "id", part=4)
+    a, b = [frame.where(f"id % 2 = {k}").select(*[F.col(c).alias(f"{s}_{c}") for c in frame.columns]) for k, s in ((0, "a"), (1, "b"))]
+    same = people.same_publication("a_raw_doi", "b_raw_doi", "a_title", "b_title", "a_year", "b_year", "a_authors", "b_authors")
+    want = a.join(b, F.lower(F.regexp_replace("a_title", "!", "")) == F.lower(F.regexp_replace("b_title", "!", ""))).select("a_id", "b_id", same)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.where("same").count() > 9

@@ -82,6 +82,8 @@ def test_metered_policy():
 
 def test_equal_titles_meet_in_cells(spark):
     """Pairs of a frequent title are dealt over cells and equal the comparison pair by pair."""
+    from pyspark.sql import functions as F
+
     from scholion.operators import authors as people
 
     rows = [(k, "https://doi.org/10.1000/A" if k % 5 == 0 else "10.1000/b" if k % 5 == 1 else "", "One Title!" if k % 7 else "other", 2000 + k % 3 if k % 4 else None, ["Lee Chan"] if k % 3 else ["Bo Nowak"]) for k in range(60)]
@@ -91,3 +93,31 @@ def test_equal_titles_meet_in_cells(spark):
     same = people.same_publication("a_raw_doi", "b_raw_doi", "a_title", "b_title", "a_year", "b_year", "a_authors", "b_authors")
     want = a.join(b, F.lower(F.regexp_replace("a_title", "!", "")) == F.lower(F.regexp_replace("b_title", "!", ""))).select("a_id", "b_id", same)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.where("same").count() > 9
+
+
+def test_udfs_work_in_slices_and_heavy_rows_are_spread(spark, tmp_path, monkeypatch):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from scholion import catalogue, catalogue_plans
+    from scholion.functions import arrow
+
+    texts = pd.Series(["a" * k for k in (3, 3, 9, 20, 1)], dtype=object)
+    monkeypatch.setattr(arrow, "LETTERS", 10)
+    assert [(x.start, x.stop) for x in arrow.slices((texts, pd.Series(range(5))))] == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    monkeypatch.setattr(arrow, "ROWS", 1)
+    assert len(list(arrow.slices((texts,)))) == 5 and [x.stop for x in arrow.slices((texts[:0],))] == [0]
+    monkeypatch.undo()
+
+    @arrow.arrow_udf("int")
+    def rows_at_once(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(a)] * len(a))
+
+    held = spark.range(5000, numPartitions=1).select(rows_at_once(F.lit("x"), F.col("id")).alias("n"))
+    assert held.agg(F.max("n"), F.count("n")).first() == (arrow.ROWS, 5000)
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert len({r[0] for r in catalogue_plans.plans(spark, str(tmp_path)).select(F.spark_partition_id()).collect()}) == 4
+    spark.range(9).selectExpr("id AS doc_id", "'a b  a' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES["inverted_abstract"](spark, str(tmp_path))
+    assert found.count() == 9
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1

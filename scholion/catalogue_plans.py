@@ -23,7 +23,8 @@ def plans(spark, d) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     routes = F.array(route("p", "pubmed"), route("e", "europe_pmc"), route("o", "openalex", query=F.expr(_NAME), ids=none))
-    rows = table(spark, d, "part").select("p_partkey", "p_size", F.struct(F.lit(1).alias("schema_version"), F.expr(f"'Which ' || {_NAME}").alias("question"), F.array(concept).alias("concepts"), routes.alias("routes")).alias("plan"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the table is a few small files, and a plan is much work
+    rows = table(spark, d, "part").select("p_partkey", "p_size").repartition(tasks).select("p_partkey", "p_size", F.struct(F.lit(1).alias("schema_version"), F.expr(f"'Which ' || {_NAME}").alias("question"), F.array(concept).alias("concepts"), routes.alias("routes")).alias("plan"))
     return rows.select("p_partkey", "p_size", F.to_json("plan").alias("plan"))
 
 

@@ -509,7 +509,9 @@ def conversation_receipts(spark, d):
 
 
 def _inverted(docs):
-    rows = docs.select("doc_id", n.clean_text("text").alias("t")).where("t <> ''")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # texts move once, by document; words and positions are then grouped where they are
+    rows = docs.select("doc_id", n.clean_text("text").alias("t")).where("t <> ''").repartition(tasks, "doc_id")
     words = rows.select("doc_id", F.posexplode(F.split("t", " ")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("positions"))
     return reading.rebuild_inverted(index, "doc_id", "w", "positions").select("doc_id", F.sha2("text", 256).alias("text_sha"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from scholion.functions.arrow import arrow_udf
-from scholion.session import cut_lineage
+from scholion.session import cut_lineage, stored
 
 #: Elements of a block; elements of a document that stay together; blocks scored first; spans returned of an element.
 BLOCK, NEIGHBOURS, SEEDS, SPANS = 512, 64, 16, 1000
@@ -103,9 +103,9 @@ def build(elements: DataFrame, keys: list[str], text: str, section: str | None =
                 names=["word", "shape", "block", *keys, "n", "starts"],
             )
 
-    postings = cut_lineage(rows.select("block", *keys, "text").mapInArrow(tokens, schema))
+    postings = stored(rows.select("block", *keys, "text").mapInArrow(tokens, schema))  # a checkpoint would tokenise twice
     most = postings.groupBy("word", "shape", "block").agg(F.max("n").alias("most"))  # an element may hold several shapes of a word
-    blocks = cut_lineage(most.groupBy("word", "block").agg(F.sum("most").alias("most")))
+    blocks = stored(most.groupBy("word", "block").agg(F.sum("most").alias("most")))
     return Index(list(keys), rows.drop("text"), postings, blocks)
 
 

@@ -75,3 +75,21 @@ def test_a_saved_index_finds_the_same_and_an_empty_table_nothing(spark, tmp_path
     again = lexical.find(lexical.load(spark, str(tmp_path / "index"), ["doc", "pos"]), "method aa", 6).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, lexical.find(index, "method aa", 6).collect()))
     assert lexical.find(lexical.build(frame(spark, []), ["doc", "pos"], "text", "headings"), "x", 2).count() == 0
+
+
+def test_an_index_is_tokenised_once(spark):
+    """A checkpoint counts its rows and then computes them again to write them."""
+    from pyspark.sql import functions as F
+
+    from scholion.operators import lexical
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    rows = spark.range(8, numPartitions=1).select(F.col("id").alias("k"), told(F.concat(F.lit("a word "), "id")).alias("text"))
+    index = lexical.build(rows, ["k"], "text")
+    assert seen.value <= 8 and index.postings.count() == 24

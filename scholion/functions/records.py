@@ -98,11 +98,13 @@ def value_at(document, *path) -> Column:
 DEVICES = ["CON", "PRN", "AUX", "NUL", *(f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10))]
 
 
-def safe_filename(x, length: int = 150) -> Column:
+def safe_filename(x, length: int = 150, devices: bool = True) -> Column:
+    """With ``devices``, names of devices get a prefix."""
     text = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(_col(x), F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " "))
     text = F.regexp_replace(text, r"^[ .]+|[ .]+$", "")
     text = F.when(text == "", "paper").otherwise(text)
-    text = F.when(F.upper(text).isin(DEVICES), F.concat(F.lit("paper-"), text)).otherwise(text)
+    if devices:
+        text = F.when(F.upper(text).isin(DEVICES), F.concat(F.lit("paper-"), text)).otherwise(text)
     return F.regexp_replace(F.substring(text, 1, length), r"[ .]+$", "")
 
 

@@ -121,3 +121,14 @@ def test_udfs_work_in_slices_and_heavy_rows_are_spread(spark, tmp_path, monkeypa
     found = catalogue.QUERIES["inverted_abstract"](spark, str(tmp_path))
     assert found.count() == 9
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_file_names_of_device_words_equal_their_sql(spark, tmp_path):
+    import oracle
+
+    from scholion import catalogue
+
+    spark.createDataFrame([(1, "aux\nmore"), (2, "CON"), (3, ""), (4, " nul. ")], "doc_id long, text string").selectExpr("*", "'s' AS source", "'en' AS lang", "1L AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/w")
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    ours, theirs = oracle.rows_of(spark, catalogue.QUERIES["file_names"], catalogue.ORACLE_SQL["file_names"], str(tmp_path))
+    assert ours == theirs

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def works(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, route, lang, abstract, title, nt, title_key)."""
-    line = F.element_at(F.split("text", "\n"), 1)
+    line = F.substring_index("text", "\n", 1)
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("route"), "lang", "n_chars", F.col("text").alias("abstract"), line.alias("title"))
     rows = rows.withColumn("nt", n.title("title"))
     return rows.withColumn("title_key", F.when(F.length("nt") >= 20, F.col("nt")))

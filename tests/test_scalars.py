@@ -240,3 +240,17 @@ def test_fuzzy_titles_compare_all_of_a_block_without_junk(spark, monkeypatch):
     for x in titles:
         for y in titles:
             assert families.matching_ratio(x, y) == difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+
+def test_near_copies_are_compared_by_packed_runs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "same block " + "".join(rng.choice("abcdefghij ") for _ in range(600))
+    other = base[:200] + "xx" + base[203:450] + base[470:]
+    spread = "漢字" + base
+    for a, b in ((base, other), (other, base), (spread, "漢字" + other), (base[:30] * 30, base[:29] * 30), (base, base[::-1])):
+        assert families.matching_ratio(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    frame = spark.createDataFrame([(1, base), (2, other), (3, base[:300])], "id long, t string")
+    monkeypatch.setattr(families, "PART_LETTERS", 500)  # each title a part
+    assert [(r.head, r.id) for r in families.fuzzy_titles(frame, "id", "t").collect()] == [(1, 2)]
+    monkeypatch.setattr(families.np, "unique", None)  # a near copy's runs aren't named
+    assert families.matching_ratio(base, other, 0.92) > 0.92

@@ -143,9 +143,11 @@ def merge_additions(records: DataFrame, original: str, candidate: str, rank: str
     but never rename them. An entity without an original has its first record's candidate. An original entity that a later one turns out to be
     the same as joins it, and its pin goes.
     """
+    keep = [candidate, rank, *pinned]
+    used = dict.fromkeys(("pos", "keys", *STRONG, "year", "authors", original, *keep))
+    records = stored(records.select([x for x in used if x in records.columns]))  # read again at every step; what they are made of isn't
     first = records.where(F.col(original))
     found = stored(identities(first))
-    keep = [candidate, rank, *pinned]
     pins = records.select(F.col("pos").alias("entity"), *keep)
     ones = entity_fields(first, found).join(pins, "entity")
     placed = ranking.rank_within(ones.select("entity", F.col(rank).alias("__rank"), F.col(candidate).alias("__candidate")).withColumn("__all", F.lit(0)), "__all", ["__rank", "__candidate", "entity"], "place")

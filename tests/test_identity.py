@@ -128,3 +128,19 @@ def test_additions_never_rename_originals(spark):
         (4, "cand-0", True, False, "include"), (5, "cand-3", False, True, None), (6, "cand-0", True, False, "include"),
     ]
     assert identity.identities(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_additions_read_their_records_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(p, [f"doi:d{p % 9}"], f"d{p % 9}", p % 3 == 0, f"cand-{p:02d}", p, "x" * 99) for p in range(40)]
+    schema = "pos long, keys array<string>, doi string, original boolean, candidate string, rank long, body string"
+    records = spark.createDataFrame(rows, schema).mapInArrow(once, schema)
+    found = identity.merge_additions(records, "original", "candidate", "rank")
+    assert found.count() == 40 and {r.candidate_id for r in found.where("pos % 9 = 3").collect()} == {"cand-03"}
+    assert made.value == 40

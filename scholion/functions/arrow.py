@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 ROWS, LETTERS = 256, 1 << 20
@@ -55,3 +56,11 @@ def arrow_udf(kind: str):
         return call
 
     return wrap
+
+
+def exploded(rows: DataFrame, keep: list[str], made: Column, item: str, place: str = "__place") -> DataFrame:
+    """The kept columns, ``place`` and ``item``: a row an item of the array that a UDF makes, none for null or empty ones.
+
+    From a plain explode Spark infers a filter on the array's size and runs the UDF for it once more, in a second worker.
+    """
+    return rows.select(*keep, F.posexplode_outer(made).alias(place, item)).where(F.col(place).isNotNull())

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from scholion.functions.arrow import arrow_udf
+from scholion.functions.arrow import arrow_udf, exploded
 
 CHUNK, PACK = 4000, 24_000
 
@@ -51,7 +51,7 @@ def _cut_points(texts: pd.Series, sizes: pd.Series) -> pd.Series:
 def chunk(rows: DataFrame, document: str, text: str, size: int = CHUNK) -> DataFrame:
     """(document, pos, start, end, text) of every chunk."""
     ends = rows.select(F.col(document), F.col(text).alias("__text"), _cut_points(F.col(text), F.lit(size)).alias("__ends"))
-    out = ends.select(document, "__text", "__ends", F.posexplode("__ends").alias("pos", "end"))
+    out = exploded(ends, [document, "__text", "__ends"], F.col("__ends"), "end", "pos")
     start = F.when(F.col("pos") == 0, 0).otherwise(F.try_element_at("__ends", F.col("pos")))
     out = out.withColumn("start", start)
     return out.select(document, "pos", "start", "end", F.substring("__text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from scholion.functions import normalize as n
-from scholion.functions.arrow import arrow_udf
+from scholion.functions.arrow import arrow_udf, exploded
 
 RECORD = (
     "title string, authors array<string>, year int, journal string, abstract string, doi string, pmid string, pmcid string, arxiv_id string, "
@@ -181,7 +181,7 @@ def _parse(sources: pd.Series, bodies: pd.Series) -> pd.Series:
 
 def records(pages: DataFrame) -> DataFrame:
     """Saved pages (route_id, source, page, raw) -> one row a record with its place on the page and normalised identifiers."""
-    flat = pages.select("route_id", "source", "page", F.posexplode(_parse("source", "raw")).alias("place", "r")).select("route_id", "source", "page", "place", "r.*")
+    flat = exploded(pages, ["route_id", "source", "page"], _parse("source", "raw"), "r", "place").select("route_id", "source", "page", "place", "r.*")
     clean = {"doi": n.doi, "pmid": n.pmid, "pmcid": n.pmcid, "arxiv_id": n.arxiv_id}
     return flat.withColumns({k: f(k) for k, f in clean.items()})
 

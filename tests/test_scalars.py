@@ -254,3 +254,16 @@ def test_near_copies_are_compared_by_packed_runs(spark, monkeypatch):
     assert [(r.head, r.id) for r in families.fuzzy_titles(frame, "id", "t").collect()] == [(1, 2)]
     monkeypatch.setattr(families.np, "unique", None)  # a near copy's runs aren't named
     assert families.matching_ratio(base, other, 0.92) > 0.92
+
+
+def test_udfs_that_are_exploded_run_once(spark):
+    from scholion.operators import reading, shredding
+    from scholion.sources import replay
+
+    rows = spark.createDataFrame([(1, "<article><p>a. b</p></article>"), (2, ""), (3, None)], "id long, t string")
+    pages = rows.selectExpr("'r' AS route_id", "'europe_pmc' AS source", "id AS page", """'{"resultList":{"result":[{"title":"t"},{"title":"u"}]}}' AS raw""")
+    frames = (reading.chunk(rows, "id", "t", 9), replay.records(pages), shredding.html_elements(rows.na.fill(""), "id", "t"), shredding.jats_elements(rows.where("id = 1"), "id", "t"))
+    for found in frames:
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in frames[0].orderBy("pos").collect()] == [(1, 0, 0, 9, "<article>"), (1, 1, 9, 15, "<p>a. "), (1, 2, 15, 24, "b</p></ar"), (1, 3, 24, 30, "ticle>")]
+    assert [(r.page, r.place, r.title) for r in frames[1].orderBy("page", "place").collect()] == [(p, k, x) for p in (1, 2, 3) for k, x in enumerate("tu")]

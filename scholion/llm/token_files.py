@@ -12,10 +12,11 @@ few bytes as it needs; a control byte holds the byte counts, less one, of four i
 byte is a row of a 256 x 16 table that says where the data bytes go. Ids by rank lie in a file of their own, as long as the
 vocabulary at most.
 
-``TextCodec`` gives the tokenizer's own ids. White space between words starts a new unit of such a vocabulary, so a text is
-cut at single spaces between words and each worker keeps the ids of the units it met last (``MEMO``). Letters of
-a new unit are one word of the vocabulary's pattern and go to the tokenizer's model directly, other units to the tokenizer;
-texts where a cut isn't certain go to the tokenizer whole.
+``TextCodec`` gives the tokenizer's own ids. Texts are cut at once, as arrays of bytes, into the pieces of the vocabulary's pattern
+(words, numbers, runs of signs, white space); the different pieces of a chunk are looked up among those a worker met last
+(``MEMO``), and only new ones go to the tokenizer's model. Where bytes are of no simple class (apostrophes, letters beyond
+U+023F, other signs), all between two single spaces is a piece and goes to the tokenizer; texts with special tokens and texts
+longer than ``SEGMENT`` go to it by themselves.
 
 Defined results: a null text is the empty text, which gives the end id alone. Null document ids come first; rows that
 share an id are documents of their own, ordered by a hash of their text. Ids other than integers are refused. Strings of
@@ -25,12 +26,12 @@ rows and no files but that of the ranks. A block, and a worker's memory, holds t
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from array import array
-from itertools import islice
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,9 @@ from scholion.sources.replay import _opened
 
 MODEL, END = "byte_bpe_50k.json", 2
 BLOCK_IDS, FILE_BYTES = 1 << 20, 64 << 20
-MEMO = 400_000  # units of a generation; a worker holds two
+MEMO = 400_000  # pieces of a generation; a worker holds two
 LONGEST_UNIT = 64
-SEGMENT = 1 << 20  # characters of a text split at once
+SEGMENT = 1 << 20  # bytes of a text cut at once
 MAGIC, HEADER = b"TOKFILE1", struct.Struct("<5q")
 RANKS = "ranks.ids"
 STORE = "zstd"  # of ids between the two passes
@@ -76,6 +77,42 @@ def load_model(spark: SparkSession, path: str | None = None) -> str:
 #: How byte-level vocabularies spell the bytes that aren't printable: as the letters from U+0100 on, in order.
 SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
+#: Classes of bytes in the vocabulary's pattern. Letters are those of ASCII and U+00C0 to U+023F; a following byte counts as the letter it ends.
+_LETTER, _DIGIT, _SIGN, _SPACE, _HARD = range(5)
+_CLASS = np.full(256, _HARD, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[ord("'")] = _HARD  # begins 's, 't, 're, ...
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = _LETTER
+_CLASS[[32, 9, 10, 13]] = _SPACE
+_SIMPLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+|[0-9]+|[!-&(-/:-@[-`{-~]+)")
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start that have ids of their own: the words, numbers, runs of signs and of white space of the
+    vocabulary's pattern; where bytes are of no simple class, all from one single space between simple bytes to the next."""
+    n = len(raw)
+    kind, blank = _CLASS[raw], raw == 32
+    space, first = kind == _SPACE, np.zeros(n + 1, bool)
+    first[offsets] = True
+    cut = first[:n].copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) & ~blank[:-1]  # a space goes with what follows it
+    cut[:-1] |= space[:-1] & ~space[1:] & ~first[1:n]  # so does the last of a run of white space, or it is alone
+    hard = kind == _HARD
+    sign = np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))  # no letters
+    hard[sign] = True
+    if hard.any():
+        for _ in range(3):  # to the end of their characters
+            hard[1:] |= hard[:-1] & (raw[1:] & 0xC0 == 0x80)
+        solid = ~(hard | space)
+        safe = first[:n].copy()
+        safe[1:-1] |= blank[1:-1] & solid[:-2] & solid[2:]
+        unit = np.r_[np.flatnonzero(safe), n]
+        inside = np.zeros(len(unit) - 1, bool)
+        inside[np.searchsorted(unit, np.flatnonzero(hard), "right") - 1] = True
+        cut = np.where(np.repeat(inside, np.diff(unit)), safe, cut)
+    return np.flatnonzero(cut)
+
 
 class TextCodec:
     def __init__(self, model: str, special: bool = True):
@@ -89,81 +126,68 @@ class TextCodec:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.size <= 1 << 16 else "I"
         # cuts are proven for vocabularies that split words by the usual pattern and change no text before
-        self.cuts = '"normalizer":null' in model.replace(" ", "").replace("\n", "") and '"type":"ByteLevel","add_prefix_space":false' in model.replace(" ", "").replace("\n", "")
+        told = json.loads(model)
+        split = told.get("pre_tokenizer") or {}
+        self.cuts = told.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
         self.model = self.tokenizer.model
-        self.signs: dict[str, bytes] = {}
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: set[str]) -> None:
-        """Ids of units that follow a space; None for those that touch other white space."""
+    def _ids(self, found: list[bytes]) -> list[bytes]:
+        """Ids of pieces: those that are one word of the pattern from the tokenizer's model, others from the tokenizer."""
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        young, old, rest = self.young, self.old, []
-        for unit in units.difference(young):
-            if unit in old:
-                young[unit] = old[unit]
-            elif not unit or _loose(unit[0]) or _loose(unit[-1]):
-                young[unit] = None
-            else:
-                ids = self._word(unit, True)
-                if ids is None and "\n" in unit:  # a line's last word and the next one's first
-                    left, _, right = unit.partition("\n")
-                    some = (self._word(left, True), self._word(right, False))
-                    ids = None if None in some else some[0] + self._signs("\n") + some[1]
-                if ids is None:
-                    rest.append(unit)
-                else:
-                    young[unit] = ids
+        young, old, tokenize, rest = self.young, self.old, self.model.tokenize, []
+        out = list(map(young.get, found))
+        for k in [k for k, x in enumerate(out) if x is None]:
+            piece = found[k]
+            ids = old.get(piece)
+            if ids is None:
+                if not _SIMPLE.fullmatch(piece):
+                    rest.append(k)
+                    continue
+                spelled = piece.decode()  # refuses what is no text
+                spelled = spelled.replace(" ", "\u0120") if piece.isascii() else piece.decode("latin-1").translate(SPELLED)
+                ids = array(self.code, [t.id for t in tokenize(spelled)]).tobytes()
+            out[k] = ids
+            if len(piece) <= LONGEST_UNIT:
+                young[piece] = ids
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            young.update(zip(part, self.whole([" " + u for u in part])))
-
-    def _word(self, unit: str, spaced: bool) -> bytes | None:
-        """Ids of letters with ASCII signs after them, which the vocabulary's pattern always parts; None if it is anything else."""
-        stem = unit.rstrip(punctuation)
-        if not stem.isalpha() or not stem.isascii() and max(stem) >= "\u0250":
-            return None
-        tail = self._signs(unit[len(stem) :]) if len(stem) < len(unit) else b""
-        known = (self.young.get(stem) or self.old.get(stem)) if spaced and tail else None
-        if known is None:
-            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELLED)
-            known = array(self.code, [t.id for t in self.model.tokenize("\u0120" + spelled if spaced else spelled)]).tobytes()
-        return known + tail
-
-    def _signs(self, signs: str) -> bytes:
-        if signs not in self.signs:
-            if len(self.signs) > MEMO // 10:
-                self.signs.clear()
-            self.signs[signs] = self.whole([signs])[0]
-        return self.signs[signs]
+            for k, ids in zip(part, self.whole([found[k].decode() for k in part])):
+                out[k] = ids
+                if len(found[k]) <= LONGEST_UNIT:
+                    young[found[k]] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
-        out: list[bytes | None] = [b"" if not t else None for t in texts]
-        split = {}
-        for k, text in enumerate(texts):
-            if text and self.cuts and len(text) <= SEGMENT and not any(m in text for m in self.marks):
-                split[k] = text.split(" ")
-        heads = {k: units[0] for k, units in split.items()}
-        units = set().union(*split.values())
-        self._learn(units)
-        young, late = self.young, [k for k, x in enumerate(out) if x is None and k not in split]
-        first = self.whole(list(heads.values()))
-        for (k, some), head in zip(split.items(), first):
-            try:
-                if not some[0] or _loose(some[0][-1]):
-                    raise TypeError
-                out[k] = head + b"".join(map(young.__getitem__, islice(some, 1, None)))
-            except TypeError:  # a unit without ids of its own
-                late.append(k)
-        for unit in [u for u in units if len(u) > LONGEST_UNIT]:
-            young.pop(unit, None)
-        for k in late:
-            out[k] = self._long(texts[k])
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a column, packed; null is the empty text."""
+        raw, offsets = c.text_buffer(texts)
+        apart = np.diff(offsets) > (SEGMENT if self.cuts else 0)
+        everything = raw.tobytes() if self.cuts else b""
+        if any(m.encode() in everything for m in self.marks):
+            apart |= np.array([any(m.encode() in everything[a:b] for m in self.marks) for a, b in zip(offsets, offsets[1:])], bool)
+        alone = np.flatnonzero(apart)
+        if len(alone):
+            raw, offsets = c.text_buffer(pa.array(["" if x else t for x, t in zip(apart, texts.to_pylist())], pa.string()))
+        out = [b""] * len(texts)
+        if len(raw):
+            start = pieces(raw, offsets)
+            cut = pa.array(np.append(start, len(raw)), pa.int32()).buffers()[1]
+            found = pa.Array.from_buffers(pa.binary(), len(start), [None, cut, pa.py_buffer(raw)]).dictionary_encode()
+            ids = pa.array(self._ids(found.dictionary.to_pylist()), pa.binary()).take(found.indices)
+            data, bounds = c.text_buffer(ids)
+            data, bounds = data.tobytes(), bounds[np.searchsorted(start, offsets)].tolist()
+            out = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+        for k in alone.tolist():
+            out[k] = self._long(texts[k].as_py())
         return out
 
     def _long(self, text: str) -> bytes:
@@ -206,8 +230,8 @@ def tokenized(docs: DataFrame, model: str, special: bool = True, end: int = END)
         codec = codec_of(shared, special)
         tail = np.array([end], codec.kind).tobytes()
         for batch in batches:
-            for part in c.chunks(batch, "text", 2 * c.CHUNK_BYTES):
-                packed = [x + tail for x in codec.encode([t or "" for t in c.column(part, "text").to_pylist()])]
+            for part in c.chunks(batch, "text", 4 * c.CHUNK_BYTES):
+                packed = [x + tail for x in codec.encode_column(c.column(part, "text"))]
                 size = np.array([len(x) for x in packed], np.int64) // codec.kind.itemsize
                 packed = [pa.compress(x, codec=STORE, asbytes=True) for x in packed]
                 yield pa.RecordBatch.from_arrays([c.column(part, "doc_id"), pa.array(packed, pa.binary()), pa.array(size)], ["doc_id", "ids", "n_tokens"])

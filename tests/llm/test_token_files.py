@@ -88,3 +88,39 @@ def test_no_documents_and_ids_that_are_no_integers(spark):
     assert token_files.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
     with pytest.raises(TypeError):
         token_files.round_trip(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_pieces_are_those_of_the_tokenizers_pattern(tokenizer):
+    rng = random.Random(4)
+    parts = [" ", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "a", "Word", "\xe9t\xe9", "\xdf", "\u0111\u023f", "12", "7", "...", "$$$", "<", "|", ","]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(x) for x in raw]))
+    whole = b"".join(raw)
+    start = token_files.pieces(np.frombuffer(whole, np.uint8), offsets).tolist()
+    want, at = [], 0
+    for text in texts:
+        for spelled, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            want.append(at)
+            at += len(spelled)  # a letter a byte
+    assert start == want and at == len(whole)
+
+
+def test_a_word_is_kept_once_whatever_signs_follow():
+    with open(token_files.default_path(), encoding="utf-8") as file:
+        codec = token_files.TextCodec(file.read())
+    stems = [a + b + d for a in ("an", "er", "th") for b in ("tion", "sh", "ble") for d in ("ou", "\xe9l", "st")]
+    signs = ["", ",", ".", "!!", "$$$", "%%%", "***", "###"]
+    codec.encode([" ".join(["a"] + [stem + sign for stem in stems for sign in signs])])
+    assert len(codec.young) <= len(stems) + len(signs) + 1  # not a unit for every word with every sign
+
+
+@pytest.mark.parametrize("gap", [" ", "\xd7", "\xf7", "\u0301", "\xa0", "\x1c", "\u2019", "'", "\u0250", "\u65e5"])
+def test_pieces_end_at_document_borders_and_around_other_characters(tokenizer, gap):
+    with open(token_files.default_path(), encoding="utf-8") as file:
+        codec = token_files.TextCodec(file.read())
+    texts = [None, f"a{gap}", f"{gap}s", f"a {gap} s", f"it{gap}s {gap}a b", " ", f"\n{gap}", "", f"b  {gap}\n\nc d", "end ", " start"]
+    column = token_files.pa.array(texts, token_files.pa.string())
+    for some, rows in ((column, texts), (column.slice(3, 6), texts[3:9])):
+        for text, packed in zip(rows, codec.encode_column(some)):
+            assert np.frombuffer(packed, codec.kind).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)

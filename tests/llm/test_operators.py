@@ -142,6 +142,20 @@ def test_suffix_matches_brute_force(docs):
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
+def test_planted_passages_go_by_their_bytes_not_their_words(spark):
+    """Passages of over 50 words: from 400 bytes on they go everywhere, shorter ones stay, as the 400-byte rule says."""
+    rng = random.Random(11)
+    draw = lambda n, least, most: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(least, most))) for _ in range(n))
+    long, short = [draw(60, 7, 9) for _ in range(6)], [draw(55, 3, 6) for _ in range(6)]
+    assert min(map(len, long)) >= 400 > max(map(len, short)) + 2
+    texts = [f"{draw(20, 3, 8)} {p} {draw(20, 3, 8)}" for p in long + short for _ in range(3)] + [draw(120, 3, 8) for _ in range(20)]
+    found = sorted(suffix.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect(), key=lambda r: r.doc_id)
+    assert [r.n_bytes for r in found] == [len(t) for t in texts]  # of the whole text: it tells nothing of repeats
+    for r, p in zip(found, [p for p in long for _ in range(3)]):
+        assert p not in r.text and len(p) <= r.n_removed <= len(p) + 8 and r.n_spans == 1
+    assert all(r.n_removed == 0 and r.text == texts[r.doc_id] for r in found[18:])
+
+
 def test_keys_of_many_contents_are_split(spark):
     """One passage in many different surroundings: its key is halved until a task can hold it, the result stays the same."""
     rng = random.Random(4)

@@ -43,7 +43,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _suffix.repeats(c.table(spark, sf_dir, "documents"))
+    return _suffix.repeats(c.table(spark, sf_dir, "documents"), words=50)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

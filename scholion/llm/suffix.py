@@ -20,9 +20,10 @@ Texts are UTF-8 bytes, matches stay within a document, occurrences may overlap,
    those windows repeat. Keys are independent, so a batch holds as many as fit ``BATCH`` bytes.
 4. Spans are merged by document and joined with the texts.
 
-``cut_repeats`` can count words instead of bytes: the same steps then read every text as a row of word codes, ``UNIT`` bytes a
-word (48 bits of its hash), so that a window of n + 1 words has one length whatever the words' letters, and white space
-doesn't count. Each window of codes is judged by itself; what is cut runs from the first to the last word of a maximal run.
+Words can count instead of bytes: the same steps then read every text as a row of symbols, a word's 64-bit hash each, so
+that a window of n + 1 words has one length whatever the words' letters, and white space doesn't count; grams have
+``WORD_GRAM`` words, bounds of bytes count symbols. Each window is judged by itself; what is cut runs from the first to the
+last word of a maximal run. ``cut_repeats`` cuts by either, ``repeats`` can give both side by side.
 
 Defined results: a null text is empty; texts below 400 bytes lose nothing by themselves and are no match; equal
 rows are occurrences of each other; a null id is kept; other columns are ignored (``cut_repeats`` carries them
@@ -40,8 +41,8 @@ from pyspark.sql import DataFrame, functions as F
 from scholion.llm import common as c
 
 LEAST, GRAM, CLASSES = 400, 64, 3
+WORD_GRAM = 8
 BATCH, LARGE = 1 << 20, 4 << 20
-UNIT = 8  # bytes of a word's code
 _PLACE = 33  # bits of a position in a chunk: the same for all chunks, so that equal windows always agree
 FLUSH_SEGMENTS, FLUSH_BYTES = 250_000, 8 << 20
 BUCKET_BYTES = 48 << 20
@@ -62,29 +63,41 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def word_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with every word ``[^\\x20\\x09-\\x0D]+`` as ``UNIT`` printable bytes and nothing between."""
+    """The texts with every word ``[^\\x20\\x09-\\x0D]+`` as one symbol, its hash, and nothing between."""
     start, end, first = c.words(raw, offsets)
     if not len(start):
-        return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
-    value = c.span_hash(c.prefix_hash(raw), start, end)
-    codes = (value[:, None] >> (c.U(6) * np.arange(UNIT, dtype=c.U))) & c.U(63)
-    return (codes + c.U(48)).astype(np.uint8).ravel(), first * UNIT
+        return np.zeros(0, c.U), np.zeros(len(offsets), np.int64)
+    return c.span_hash(c.prefix_hash(raw), start, end), first
 
 
 def _read(text: str, view) -> np.ndarray:
-    """A text's bytes, as ``view`` shows them."""
+    """A text's symbols: its bytes, or what ``view`` makes of them."""
     raw = np.frombuffer(text.encode(), np.uint8)
     return raw if view is None else view(raw, np.array([0, len(raw)]))[0]
 
 
+def _gram(raw: np.ndarray, least: int) -> int:
+    return min(GRAM if raw.dtype == np.uint8 else WORD_GRAM, least)
+
+
+def _prefix(raw: np.ndarray) -> np.ndarray:
+    """``prefix_hash`` of a row of symbols; words are hashes already."""
+    if raw.dtype == np.uint8:
+        return c.prefix_hash(raw)
+    out = np.zeros(len(raw) + 1, c.U)
+    with np.errstate(over="ignore"):
+        np.cumsum(raw * c.powers(len(raw) + 1)[0][: len(raw)], out=out[1:])
+    return out
+
+
 def segments(raw: np.ndarray, offsets: np.ndarray, docs: np.ndarray, least: int = LEAST) -> np.ndarray:
     """The segments of a chunk of texts."""
-    gram = min(GRAM, least)
+    gram = _gram(raw, least)
     width = least - gram + 1
     starts = np.maximum(np.diff(offsets) - least + 1, 0)
     if not starts.any():
         return np.zeros(0, _SEGMENT)
-    prefix = c.prefix_hash(raw)
+    prefix = _prefix(raw)
     n = len(raw) - gram + 1
     at = np.arange(n)
     bits = c.U(_PLACE)
@@ -130,10 +143,10 @@ def _halves(offset: int, width: int, level: int) -> tuple[int, int]:
 
 def halved(raw: np.ndarray, start: int, end: int, level: int, least: int) -> list[tuple]:
     """The windows of the segment raw[start:end], by their distance from its minimizer: (key, digest, start, windows)."""
-    gram = min(GRAM, least)
+    gram = _gram(raw, least)
     width = least - gram + 1
     body = raw[start:end]
-    prefix = c.prefix_hash(body)
+    prefix = _prefix(body)
     at = np.arange(width)
     value = c.span_hash(prefix, at, at + gram) >> c.U(_PLACE)
     anchor = int(np.argmin(value))  # the leftmost of equals, as in ``segments``
@@ -277,22 +290,22 @@ def _by_document(table: pa.Table) -> pa.Table:
 def suffix_array(text: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
     """Suffixes sorted by their first ``least`` symbols or more; each segment ends in a separator of its own.
 
-    text: bytes, separators at ``ends`` (any value). Prefix doubling from eight bytes on; suffixes that reach their
-    separator within them are unique at once.
+    text: bytes or words, separators at ``ends`` (any value). Prefix doubling from eight bytes or one word on; suffixes that
+    reach their separator within them are unique at once.
     """
     n = len(text)
     distance = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    step = 8 if text.dtype == np.uint8 else 1
     key = np.zeros(n, np.uint64)
-    padded = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
-    for k in range(8):
+    padded = np.r_[text, np.zeros(step, text.dtype)].astype(np.uint64)
+    for k in range(step):
         key = (key << np.uint64(8)) | np.where(distance > k, padded[k : n + k], np.uint64(0))
-    # suffixes that end before eight bytes: their order beyond the separator is by segment
-    short = distance < 8
-    order = np.lexsort((np.where(short, np.arange(n), -1), np.where(short, distance, 9), key))
+    # suffixes that end before so many: their order beyond the separator is by segment
+    short = distance < step
+    order = np.lexsort((np.where(short, np.arange(n), -1), np.where(short, distance, step + 1), key))
     new = np.r_[True, (key[order][1:] != key[order][:-1]) | short[order][1:] | short[order][:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(new) - 1
-    step = 8
     while step < least:
         # only suffixes that still share a rank can move, and only among their equals
         run = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
@@ -322,8 +335,8 @@ def open_boundaries(text: np.ndarray, ends: np.ndarray, order: np.ndarray, least
     right boundary, where still open, has a common prefix of l and is closed. Separators differ from each other.
     """
     n = len(text)
-    symbol = text.astype(np.int64)
-    symbol[ends] = 256 + np.arange(len(ends))
+    symbol = text.astype(np.int64) if text.dtype == np.uint8 else np.unique(text, return_inverse=True)[1]
+    symbol[ends] = symbol.max() + 1 + np.arange(len(ends))
     transform = symbol[order - 1]  # the first suffix is preceded by the last symbol, a separator
     by_symbol = np.lexsort((np.arange(n), transform))
     forward = np.empty(n, np.int64)
@@ -355,10 +368,10 @@ def open_boundaries(text: np.ndarray, ends: np.ndarray, order: np.ndarray, least
 
 
 def repeated_windows(pieces: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
-    """Per piece the starts of its ``least``-byte strings that start more than once in the pieces."""
+    """Per piece the starts of its strings of ``least`` symbols that start more than once in the pieces."""
     sizes = np.array([len(p) for p in pieces])
     stop = np.cumsum(sizes + 1) - 1
-    text = np.zeros(stop[-1] + 1, np.uint8)
+    text = np.zeros(stop[-1] + 1, pieces[0].dtype)
     text[np.delete(np.arange(len(text)), stop)] = np.concatenate(pieces)
     order = suffix_array(text, stop, least)
     shared = open_boundaries(text, stop, order, least)
@@ -372,7 +385,7 @@ _FETCHED = "bucket int, heads binary, content binary"
 
 
 def _fetch(buckets: int, view=None):
-    """Documents with wants -> their bytes, packed by key."""
+    """Documents with wants -> their symbols, packed by key."""
 
     def run(batches):
         heads, parts, total = [], [], 0
@@ -398,10 +411,10 @@ def _fetch(buckets: int, view=None):
                 want = want[want["level"] == 0]
                 if not len(want):
                     continue
-                raw = _read(text, view).tobytes()
+                raw = _read(text, view)
                 heads.append(want)
-                parts += [raw[a:b] for a, b in zip(want["start"].tolist(), want["end"].tolist())]
-                total += int((want["end"] - want["start"]).sum())
+                parts += [raw[a:b].tobytes() for a, b in zip(want["start"].tolist(), want["end"].tolist())]
+                total += int((want["end"] - want["start"]).sum()) * raw.itemsize
                 if total >= FLUSH_BYTES:
                     yield flush()
                     heads, parts, total = [], [], 0
@@ -433,13 +446,13 @@ def _resegment(buckets: int, least: int, view=None):
     return run
 
 
-def _search(buckets: int, least: int):
-    """One bucket of keys with their bytes -> spans, dealt by document."""
+def _search(buckets: int, least: int, view=None):
+    """One bucket of keys with their symbols -> spans, dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
         heads = [np.frombuffer(x, _WANT) for x in table["heads"].to_pylist()]
         head = np.concatenate(heads)
-        content = np.frombuffer(b"".join(table["content"].to_pylist()), np.uint8)
+        content = np.frombuffer(b"".join(table["content"].to_pylist()), np.uint8 if view is None else c.U)
         size = (head["end"] - head["start"]).astype(np.int64)
         begin = np.cumsum(size) - size
         order = np.lexsort((head["start"], head["doc"], head["key"]))
@@ -475,7 +488,7 @@ _MARKS = "doc long, spans binary, wants binary"
 
 def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least: int = LEAST, large: int = LARGE, view=None) -> DataFrame:
     """(doc, spans: list of packed spans) of the documents that lose bytes; ``doc`` is a 64-bit key. With ``view``
-    (``word_codes``) the bytes are those of the texts as it shows them."""
+    (``word_codes``) ``least`` and the spans count its symbols."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).head()[0] or 0
@@ -485,7 +498,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least:
     def settled(routed: DataFrame) -> DataFrame:
         return routed.groupBy("bucket").applyInArrow(_match(buckets, least, large), _PACKED).groupBy("bucket").applyInArrow(_by_document, _MARKS)
 
-    shortest = least if view is None else 2 * (least // UNIT) - 1  # so many words with white space between
+    shortest = least if view is None else 2 * least - 1  # so many words with white space between
     marks = c.cut_lineage(settled(rows.where(F.octet_length("text") >= shortest).mapInArrow(_route(buckets, least, view), _PACKED)), free=True)
     rounds, last = [marks], marks
     while last.where(F.expr("wants is not null")).mapInArrow(_any_to_halve, "n int").limit(1).count():
@@ -497,7 +510,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc", text: str = "text", least:
         wanted = marked.where("wants is not null").select("doc", "wants")
         fetched = rows.join(wanted, "doc").select("text", "wants").mapInArrow(_fetch(buckets, view), _FETCHED)
         # dealt by hand: coalescing by bytes would leave a few tasks with all the sorting
-        searched = fetched.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_search(buckets, least), _PACKED)
+        searched = fetched.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_search(buckets, least, view), _PACKED)
         found += [marked.where("spans is not null").select("doc", "spans"), searched.groupBy("bucket").applyInArrow(_by_document, _MARKS).select("doc", "spans")]
     both = found[0]
     for more in found[1:]:
@@ -512,14 +525,14 @@ def _any_to_halve(batches):
 
 
 def _cut(raw: bytes, packed: list[bytes] | None, by_words: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and the spans that go; spans of word codes become those of the words they hold whole."""
+    """What is left of a text, and the spans of bytes that go; those of words run from the first one's start to the last one's end."""
     if not packed:
         return raw, []
     spans = merge_spans(np.concatenate([np.frombuffer(x, _SPAN) for x in packed]))
     cuts = list(zip(spans["start"].tolist(), spans["end"].tolist()))
     if by_words:
         start, end, _ = c.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        cuts = [(int(start[-(-a // UNIT)]), int(end[b // UNIT - 1])) for a, b in cuts]
+        cuts = [(int(start[a]), int(end[b - 1])) for a, b in cuts]
     kept, at = [], 0
     for a, b in cuts:
         kept.append(raw[at:a])
@@ -532,35 +545,56 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_column), body).alias("doc"), F.col(id_column).alias("id"), body.alias("text"))
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST, words: int = 0) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans, text) of every row; spans are (start, end) in bytes, text is what is
-    kept, without characters that were cut in two."""
+    kept, without characters that were cut in two. If ``words`` is given, (n_passages, passages, prose) follow: the maximal runs
+    of passages of more than ``words`` words that repeat, however short these are, as (start, end) in bytes, and the whole text
+    without them; the columns before don't depend on it."""
     rows = _keyed(docs, id_column, text)
-    joined = rows.join(repeated_spans(rows, least=least), "doc", "left").select("id", "text", "spans")
+    found = repeated_spans(rows, least=least)
+    if words:
+        found = found.join(repeated_spans(rows, least=words + 1, view=word_codes).withColumnRenamed("spans", "runs"), "doc", "full")
+    joined = rows.join(found, "doc", "left").drop("doc")
+
+    bytes_kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _RUNS), ("text", pa.string())])
+    words_kind = pa.struct([("n_passages", pa.int64()), ("passages", _RUNS), ("prose", pa.string())])
+
+    def by_bytes(raw: bytes, packed: list[bytes] | None) -> tuple:
+        kept, cuts = _cut(raw, packed)
+        return len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), cuts, kept.decode("utf-8", "ignore")
+
+    def by_words(raw: bytes, packed: list[bytes] | None) -> tuple:
+        kept, cuts = _cut(raw, packed, True)
+        return len(cuts), cuts, kept.decode()
+
+    views = [("spans", by_bytes, bytes_kind), *[("runs", by_words, words_kind)] * bool(words)]
 
     def run(batches):
         for batch in batches:
             for part in c.chunks(batch, "text"):
-                out = []
-                for body, packed in zip(c.column(part, "text").to_pylist(), c.column(part, "spans").to_pylist()):
-                    raw = body.encode()
-                    kept, cuts = _cut(raw, packed)
-                    out.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in cuts], kept.decode("utf-8", "ignore")))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(part, "id"), *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]],
-                    ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"],
-                )
+                raws = [body.encode() for body in c.column(part, "text").to_pylist()]
+                columns, names = [c.column(part, "id")], ["id"]
+                for spans, cut, kind in views:
+                    made = [cut(raw, packed) for raw, packed in zip(raws, c.column(part, spans).to_pylist())]
+                    for k, field in enumerate(kind):
+                        values = [x[k] for x in made]
+                        columns.append(pa.array([[{"start": a, "end": b} for a, b in v] for v in values] if field.type == _RUNS else values, field.type))
+                        names.append(field.name)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, text string"
+    schema += ", n_passages long, passages array<struct<start:long,end:long>>, prose string" * bool(words)
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST, words: int = 0) -> DataFrame:
     """``docs`` with what repeats cut out of the text: strings of ``least`` bytes, where a character cut in two goes too, or, if
     ``words`` is given, passages of more than ``words`` words, of any number of bytes. Other columns are kept."""
-    view, least = (word_codes, (words + 1) * UNIT) if words else (None, least)
+    view, least = (word_codes, words + 1) if words else (None, least)
     names, schema = docs.columns, docs.schema
     mark = "__cut"
     while any(name.startswith(mark) for name in names):

@@ -77,6 +77,17 @@ def test_repeated_windows(seed):
     assert [x.tolist() for x in suffix.repeated_windows(made, least)] == expected
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_windows_of_words(seed):
+    """The same search where a symbol is a word's 64-bit hash."""
+    rng = random.Random(seed)
+    names = c.stream(seed, 3 + seed)
+    made = [names[[rng.randrange(len(names)) for _ in range(rng.randint(0, 120))]] for _ in range(12)] + [names[np.zeros(40, int)]] * 2
+    windows = [[tuple(p[i : i + 5].tolist()) for i in range(len(p) - 4)] for p in made]
+    count = Counter(w for p in windows for w in p)
+    assert [x.tolist() for x in suffix.repeated_windows(made, 5)] == [[i for i, w in enumerate(p) if count[w] > 1] for p in windows]
+
+
 def test_halves_hold_every_window_once_and_equal_windows_share_their_key():
     rng = random.Random(2)
     core = bytes(rng.randrange(256) for _ in range(600))

@@ -156,6 +156,31 @@ def test_planted_passages_go_by_their_bytes_not_their_words(spark):
     assert all(r.n_removed == 0 and r.text == texts[r.doc_id] for r in found[18:])
 
 
+def test_passages_of_over_50_words_are_found_beside_the_400_bytes(spark):
+    """The query's further columns: every word in a 51-word window that repeats goes, however short the words are; the columns before stay as they are."""
+    rng = random.Random(12)
+    draw = lambda n, least, most: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(least, most))) for _ in range(n))
+    passages = [draw(60, 7, 9), draw(51, 3, 6), draw(55, 3, 6), draw(50, 3, 6), draw(50, 8, 9)]
+    texts = [f"{draw(20, 3, 8)} {p} {draw(20, 3, 8)}" for p in passages for _ in range(3)] + [draw(120, 3, 8) for _ in range(10)]
+    texts += [f"{passages[1]}\n", passages[2].replace(" ", " \t "), "one " * 52, "é " * 40 + passages[2], "", None, texts[0], texts[0]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    by_id = lambda f: sorted(f.collect(), key=lambda r: r.doc_id)
+    plain, found = by_id(suffix.repeats(frame)), by_id(suffix.repeats(frame, words=50))
+    assert [tuple(r)[:7] for r in found] == [tuple(r) for r in plain]
+    places = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    words = [[(t or "").encode()[a:b] for a, b in p] for t, p in zip(texts, places)]
+    count = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    for r, t, w, p in zip(found, texts, words, places):
+        gone = [any(count[tuple(w[i : i + 51])] > 1 for i in range(max(0, k - 50), min(k, len(w) - 51) + 1)) for k in range(len(w))]
+        runs = [(p[a][0], p[b - 1][1]) for a, b in zip([k for k in range(len(w)) if gone[k] and not (k and gone[k - 1])], [k + 1 for k in range(len(w)) if gone[k] and not (k + 1 < len(w) and gone[k + 1])])]
+        raw = (t or "").encode()
+        left = b"".join(raw[a:b] for a, b in zip([0, *[b for _, b in runs]], [*[a for a, _ in runs], len(raw)]))
+        assert r.n_passages == len(runs) and [(x.start, x.end) for x in r.passages] == runs and r.prose == left.decode()
+    assert [r.n_passages for r in found[:15]] == [1] * 9 + [0] * 6 and [r.n_spans for r in found[3:9]] == [0] * 6
+    assert [r.n_passages for r in found[15:25]] == [0] * 10 and [r.n_passages for r in found[25:]] == [1, 1, 1, 1, 0, 0, 1, 1]
+    assert suffix.repeats(frame.where("doc_id < 0"), words=50).count() == 0
+
+
 def test_keys_of_many_contents_are_split(spark):
     """One passage in many different surroundings: its key is halved until a task can hold it, the result stays the same."""
     rng = random.Random(4)
